@@ -7,20 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import neardup, tokens
+from mosaiq.llm import avi, neardup, tokens, warc
 from mosaiq.llm.common import table
 
 
+def op4_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"), least_bytes=1000)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_avi": op4_avi,
     "op6_minhash": op6_minhash,
+    "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
 }
 
@@ -45,4 +55,12 @@ reach AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT r.d, e.b F
 comp AS (SELECT d, min(o) AS c FROM reach GROUP BY d)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept
 FROM documents JOIN comp ON d = doc_id LEFT JOIN n USING (doc_id)""",
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN last IS NOT NULL AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)""",
 }

@@ -35,6 +35,8 @@ CHUNK = 1 << 20
 #: Members of a bucket that are compared in one block.
 BLOCK = 256
 SHINGLE = 5
+#: Coordinates of a sketch. Bands use the first of them, estimates of similarity all.
+COORDINATES = 512
 
 
 def band_shape(percent: int) -> tuple[int, int]:
@@ -82,7 +84,7 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def sketched(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, sig (of the whole set; null if empty), keys (one per band), bytes8 (8 bits per coordinate)."""
-    t, hashes = bands * rows, WordHash()
+    t, hashes = COORDINATES, WordHash()
 
     def run(batch: pa.RecordBatch):
         ids, texts = batch.column(0).cast(pa.int64()), utf8(batch.column(1))
@@ -106,15 +108,31 @@ def sketched(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str)
     return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_shingles long, sig binary, keys array<long>, bytes8 binary")
 
 
+def least_agreement(percent: int) -> int:
+    """Equal coordinates below which a pair misses the threshold, by five deviations."""
+    j = percent / 100
+    return int((j - 5 * math.sqrt(j * (1 - j) / COORDINATES)) * COORDINATES)
+
+
+def likely(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b), those whose sizes and whole sketches let them reach the threshold. info: doc_id, n_shingles, bytes8."""
+    least = least_agreement(percent)
+    side = lambda c: info.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bytes8").alias(f"s_{c}"))
+    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
+    both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+
+    def run(batch: pa.RecordBatch):
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+        keep = pa.array((x == y).sum(axis=1) >= least)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return arrow_map(both.select("a", "b", "s_a", "s_b"), run, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of distinct (a, b), those whose full sets have 100 * intersection >= percent * union."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    needed = written(texts.join(ends, "doc_id", "left_semi"), "pair-texts")
-    both = (
-        pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-    )
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     hashes: WordHash = WordHash()
     last: list = [None, None]
 
@@ -122,15 +140,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         keep = []
         for k, (a, text_a, text_b) in enumerate(zip(a_ids, utf8(batch.column(2)), utf8(batch.column(3)), strict=True)):
-            if last[0] != a:
-                last[:] = a, shingles(text_a, hashes)
+            if last[0] != (a, len(text_a)):
+                last[:] = (a, len(text_a)), shingles(text_a, hashes)
             x, y = last[1], shingles(text_b, hashes)
             common = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * common >= percent * (len(x) + len(y) - common):
                 keep.append(k)
         yield pa.RecordBatch.from_arrays([pa.array([a_ids[k] for k in keep], pa.int64()), pa.array([b_ids[k] for k in keep], pa.int64())], names=["a", "b"])
 
-    return arrow_map(both, run, "a long, b long")
+    return arrow_map(both, run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -161,9 +179,7 @@ def leftovers(members: DataFrame, percent: int, bands: int, rows: int) -> DataFr
     members: key, band, doc_id, comp, n_shingles, bytes8. A bucket of m members is dealt into c = ceil(m / BLOCK)
     blocks; each pair of blocks is one group of at most about 2 * BLOCK rows, whatever the bucket holds.
     """
-    t, j = bands * rows, percent / 100
-    spread = math.sqrt(j * (1 - j) / t)
-    least = int((j - 6 * spread) * t)
+    least = least_agreement(percent)
     sized = members.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("c"))
     dealt = members.join(sized, "key").withColumn("x", F.pmod(F.xxhash64("doc_id", "key"), "c").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
@@ -202,18 +218,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     # Equal sets: one representative each. Only ids and signatures are shuffled.
     classes = written(all_rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
     reps = all_rows.join(classes.select(F.col("rep").alias("doc_id"), "sig"), ["doc_id", "sig"], "left_semi")
-    keys = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))
+    # One exchange by key serves both the counting of buckets and the choice of their members.
+    keys = reps.select("doc_id", F.posexplode("keys").alias("band", "key")).repartition("key")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("pivot <> top").select("key", "pivot")
-    members = written(keys.join(shared, "key"), "members")
-    first = written(members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "star-pairs")
-    links = written(confirmed(first, texts, percent).distinct(), "star-links")
+    members = written(keys.join(shared.hint("merge"), "key"), "members")
+    info = written(reps.select("doc_id", "n_shingles", "bytes8").join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "info")
+    # Texts are shuffled once, those of candidates alone go further.
+    texts = written(texts.join(info.select("doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
+    first = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = written(confirmed(likely(first, info, percent), texts, percent), "star-links")
     found = components(links)
-    info = reps.select("doc_id", "n_shingles", "bytes8").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     info = written(info.join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "labelled")
-    open_keys = members.join(info.select("doc_id", "comp"), "doc_id").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = leftovers(members.join(open_keys, "key", "left_semi").drop("pivot").join(info, "doc_id"), percent, bands, rows)
+    labelled = members.drop("pivot").join(info.hint("merge"), "doc_id")
+    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = leftovers(labelled.join(open_keys, "key", "left_semi"), percent, bands, rows)
     rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest-pairs")
-    more = written(confirmed(rest, texts, percent).distinct(), "rest-links")
+    more = written(confirmed(rest, texts, percent), "rest-links")
     labels = components(links.union(more)) if not more.isEmpty() else found
     of_class = classes.join(labels, classes["rep"] == labels["doc_id"], "left").select("sig", F.coalesce("comp", "rep").alias("component_id"))
     out = all_rows.select("doc_id", "n_shingles", "sig").join(of_class, "sig", "left")

@@ -229,9 +229,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     links = written(confirmed(likely(first, info, percent), texts, percent), "star-links")
     found = components(links)
     info = written(info.join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "labelled")
-    labelled = members.drop("pivot").join(info.hint("merge"), "doc_id")
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = leftovers(labelled.join(open_keys, "key", "left_semi"), percent, bands, rows)
+    # Only ids and labels are dealt to buckets; sketches follow for the buckets that still hold several components.
+    labelled = members.select("key", "band", "doc_id").join(info.select("doc_id", "comp").hint("merge"), "doc_id")
+    mixed_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    undecided = written(labelled.join(mixed_keys.hint("merge"), "key", "left_semi"), "undecided")
+    rest = leftovers(undecided.join(info.select("doc_id", "n_shingles", "bytes8").hint("merge"), "doc_id"), percent, bands, rows)
     rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest-pairs")
     more = written(confirmed(rest, texts, percent), "rest-links")
     labels = components(links.union(more)) if not more.isEmpty() else found

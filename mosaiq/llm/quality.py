@@ -1,8 +1,8 @@
 """Quality by compression: a text that the dictionary of good texts packs better than that of bad ones is good.
 
 Two zstandard dictionaries are built from bounded samples of good and bad labelled texts. A text is cut into pieces, all
-of which are compressed with either dictionary; (bad size - good size) / (bad size + good size) over the whole text is
-its normalised difference. A logistic fit on labelled rows that went into no dictionary turns it into a probability.
+of which are compressed with either dictionary; (bad size - good size) / raw size over the whole text is its normalised
+difference. A logistic fit on labelled rows that went into no dictionary turns it into a probability.
 Only rows that may be learned from are used, and ids, languages and sources are never inputs.
 
 Defined results: null and empty texts have difference 0 and the score of that; without labelled rows of both classes
@@ -11,6 +11,8 @@ every score is the share of good labels (0.5 without any); repeated rows each ge
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -21,8 +23,8 @@ from mosaiq.llm.common import arrow_map, train_fold, utf8
 from mosaiq.llm.labelled import logistic, sample, sigmoid
 
 #: Bytes of a piece; of the samples, at most so many evenly spaced pieces of a text go into a dictionary.
-PIECE, PIECES = 4096, 8
-DICTIONARY_BYTES, LEVEL = 1 << 16, 3
+PIECE, PIECES = 1024, 16
+DICTIONARY_BYTES, LEVEL = 112_640, 3
 #: Labelled rows of a class that are learned from, at most.
 PER_CLASS = 2000
 
@@ -39,7 +41,7 @@ class Packer:
         if not text:
             return 0.0
         good, bad = (sum(len(c.compress(text[k : k + PIECE])) for k in range(0, len(text), PIECE)) for c in self.codecs)
-        return (bad - good) / (bad + good)
+        return (bad - good) / len(text)
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -48,8 +50,8 @@ def pieces(text: bytes) -> list[bytes]:
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary; too little text for training serves as its own."""
-    short = [x[k : k + 1024] for x in samples for k in range(0, len(x), 1024)]
+    """A trained dictionary of distinct pieces, in an order that depends on them alone; too little text serves as its own."""
+    short = sorted(set(samples), key=lambda x: hashlib.sha1(x).digest())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, short, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -67,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["label", "piece"])
 
     found = arrow_map(rows.where(~calibrates).select("text", "label"), cut, "label int, piece binary").collect()
-    by = {k: sorted(bytes(r.piece) for r in found if r.label == k) for k in (0, 1)}
+    by = {k: [bytes(r.piece) for r in found if r.label == k] for k in (0, 1)}
     good_share = (1 + labels.where("quality in (0, 1)").agg(F.coalesce(F.sum(F.col("quality")), F.lit(0))).first()[0]) / (2 + labels.where("quality in (0, 1)").count())
     if not by[0] or not by[1]:
         return {"good": b"\0" * 8, "bad": b"\0" * 8, "slope": 0.0, "base": float(np.log(good_share / (1 - good_share)))}

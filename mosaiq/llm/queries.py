@@ -7,14 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import avi, neardup, tokens, warc
+from mosaiq.llm import avi, mix, neardup, quality, tokens, toxicity, urls, warc
 from mosaiq.llm.common import table
 
 
+#: Host, path, and whether URLs under them are allowed.
+URL_RULES = [("org", "/", True), ("example.org", "/es/", False), ("example.org", "/en/1", False), ("com", "/fr/", True), ("com", "/de/", False)]
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_report(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.0)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -27,11 +43,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": op1_mix,
+    "op2_url_filter": op2_url_filter,
     "op4_avi": op4_avi,
+    "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import avi, mix, neardup, quality, tokens, toxicity, urls, warc
+from mosaiq.llm import avi, decontam, mix, neardup, pii, quality, tokens, toxicity, urls, warc
 from mosaiq.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.media_digests(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"), least_bytes=1000)
 
@@ -50,9 +58,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_url_filter": op2_url_filter,
+    "op3_pii": op3_pii,
     "op4_avi": op4_avi,
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
+    "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,

@@ -5,8 +5,8 @@ p_k(c | ctx) = (n(ctx, c) + d(ctx) * p_{k-1}(c | shorter ctx)) / (n(ctx) + d(ctx
 characters seen after ctx. A URL's score is the mean over its characters of ln p_accepted - ln p_rejected. Held-out URLs of
 both kinds calibrate it: normal curves of one width about the two kinds' mean scores give the probability of rejection.
 
-URLs to learn from: those whose host holds a word of a seed list are rejected ones; those that a rule allows, without
-such a word, accepted ones. Counts cover all of them; one fold of five only calibrates.
+URLs to learn from: those whose host holds a word of a seed list are rejected ones; those without such a word that no rule
+blocks are accepted ones. Counts cover all of them; one fold of five only calibrates.
 
 Plan: distinct URLs are cut into windows of ORDER + 1 characters; windows are counted once, and all lower orders are sums
 of those counts. Scores of distinct windows are joined back in SALTS copies, so a window that every URL holds is spread.
@@ -104,7 +104,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, bool]], seeds: tu
     for s in seeds:
         seed = seed | F.contains(F.col("host"), F.lit(s))
     # The rules' and seeds' answers are functions of host and path; texts that two pairs share take one of them.
-    urls = written(rows.select("text", F.when(seed, F.lit(False)).when(F.col("allowed"), F.lit(True)).alias("kind")).groupBy("text").agg(F.min("kind").alias("kind")), "urls")
+    urls = written(rows.select("text", F.when(seed, F.lit(False)).when(F.coalesce("allowed", F.lit(True)), F.lit(True)).alias("kind")).groupBy("text").agg(F.min("kind").alias("kind")), "urls")
     held_out = F.crc32(F.col("text").cast("binary")) % 5 == 0
     scores = written(model_scores(urls, ~held_out, F.col("kind")).join(urls, "text"), "url-scores")
     p = rejection(scores.where(held_out & F.col("kind").isNotNull()))

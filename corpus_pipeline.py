@@ -17,9 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier doesn't reject."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    scored = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"), threshold=0.5, keep=rest)
-    return scored.where("predicted = 0").select(*docs.columns)
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"), threshold=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

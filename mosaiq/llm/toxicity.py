@@ -193,23 +193,40 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     return {"terms": terms, "voter": voter, "w": np.append(w[:-1] * max(slope, 1e-3), w[-1] * max(slope, 1e-3) + base)}
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, held_out, score, predicted of each row, and the columns named in keep."""
-    model = fit(docs, labels, per_class)
-    terms, voter, w = model["terms"], model["voter"], model["w"]
-    held: list[Terms] = []
-    n = len(terms)
+class Scorer:
+    """Scores texts by a fitted model; made on first use in each worker."""
 
-    def run(batch: pa.RecordBatch):
-        if not held:
-            held.append(Terms(terms))
+    def __init__(self, model: dict):
+        self.model, self.terms = model, None
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.terms is None:
+            self.terms = Terms(self.model["terms"])
+        w, n, voter = self.model["w"], len(self.model["terms"]), self.model["voter"]
         z = []
-        for text in batch.column(2).to_pylist():
-            ids, votes, hits = features(text or "", held[0], voter)
+        for text in texts:
+            ids, votes, hits = features(text or "", self.terms, voter)
             z.append(w[-1] + w[ids].sum() + w[[n + v for v in votes]].sum() + w[-2] * np.log1p(hits) if hits else w[-1])
-        score = sigmoid(np.array(z, float))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *keep])
+        return sigmoid(np.array(z, float))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, score and predicted of each row."""
+    scorer = Scorer(fit(docs, labels, per_class))
+
+    def run(batch: pa.RecordBatch):
+        score = scorer.scores(batch.column(2).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), train_fold(F.col(id_col))[0].alias("held_out"), F.col(text_col).alias("text"))
+    return arrow_map(rows, run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+    scorer, at = Scorer(fit(docs, labels, per_class)), docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch):
+        yield batch.filter(pa.array(scorer.scores(batch.column(at).to_pylist()) < threshold))
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), train_fold(F.col(id_col))[0].alias("held_out"), F.col(text_col).alias("text"), *(F.col(c) for c in keep))
-    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return arrow_map(rows, run, f"doc_id long, held_out boolean, score double, predicted int{kinds}")
+    return arrow_map(docs, run, docs.schema)

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from mosaiq.plans import curation
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = curation.QUERIES
+ORACLES: dict[str, str] = curation.ORACLES

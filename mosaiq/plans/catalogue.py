@@ -1,12 +1,4 @@
-"""Queries by name and their DuckDB twins."""
+"""All queries by name and their DuckDB twins: importing the modules registers them."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from mosaiq.plans import curation
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = curation.QUERIES
-ORACLES: dict[str, str] = curation.ORACLES
+from mosaiq.plans import curation, fusion, metrics, reports, streams, texts  # noqa: F401
+from mosaiq.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -8,20 +8,7 @@ from mosaiq.functions import policy, texts
 from mosaiq.operators import curation as C
 from mosaiq.operators import ranks as R
 from mosaiq.plans.common import table
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from mosaiq.plans.registry import query
 
 SOURCE_NO = F.substring("source", 4, 9).try_cast("int")
 #: Tags by source number, so that every role rule is met.

@@ -94,14 +94,15 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
     return out.withColumn("target", F.least(F.col("cap"), F.lit(level) * F.col("weight"))).drop("cap")
 
 
-def assign(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, schedules: tuple = SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, positions (one per copy, ascending by copy), and the carried columns."""
+def assign(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, schedules: tuple = SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, positions (one per copy, ascending by copy); with carry, also the struct
+    `carried` of all columns of docs, whatever their names."""
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(source_col), F.lit("")).alias("source"),
         F.col(source_col).isNull().alias("no_source"),
         words(F.col(text_col)).alias("size"),
-        *[F.col(c).alias(f"carried_{c}") for c in carry],
+        *([F.struct(*[F.col(c) for c in docs.columns]).alias("carried")] if carry else []),
     )
     # The draw: 40 bits of a hash as a number from 0 to 1.
     base = base.withColumn("draw", F.xxhash64("doc_id", "size").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40)))
@@ -131,7 +132,7 @@ def assign(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share:
         return F.when(F.col("copies") > epoch, out)
 
     positions = F.array_compact(F.array(*[position(e) for e in range(MOST_COPIES)]))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", positions.alias("positions"), *[F.col(f"carried_{c}").alias(c) for c in carry if c != "doc_id"])
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", positions.alias("positions"), *(["carried"] if carry else []))
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
@@ -141,8 +142,8 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 
 
 def curriculum(docs: DataFrame, **how) -> DataFrame:
-    """The training order: all columns of docs, copy (from 0) and position, one row per copy taken, range-sorted by position."""
-    names = tuple(docs.columns)
-    rows = assign(docs, carry=names, **how)
-    rows = rows.select(*names, F.posexplode("positions").alias("copy", "position"))
-    return rows.orderBy("position", F.xxhash64("doc_id"), "copy")
+    """The training order: all columns of docs, copy (from 0) and position, one row per copy taken, range-sorted by position.
+    Columns of docs that are named copy or position give way to these."""
+    rows = assign(docs, carry=True, **how).select("doc_id", "carried", F.posexplode("positions").alias("copy", "position"))
+    rows = rows.orderBy("position", F.xxhash64("doc_id"), "copy")
+    return rows.select(*[F.col(f"carried.{c}").alias(c) for c in docs.columns if c not in ("copy", "position")], "copy", "position")

@@ -70,7 +70,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
 
     found = arrow_map(rows.where(~calibrates).select("text", "label"), cut, "label int, piece binary").collect()
     by = {k: [bytes(r.piece) for r in found if r.label == k] for k in (0, 1)}
-    good_share = (1 + labels.where("quality in (0, 1)").agg(F.coalesce(F.sum(F.col("quality")), F.lit(0))).first()[0]) / (2 + labels.where("quality in (0, 1)").count())
+    _, usable = train_fold(F.col("doc_id"))
+    marks = labels.where(usable & F.col("quality").isin(0, 1)).agg(F.count("*").alias("n"), F.coalesce(F.sum("quality"), F.lit(0)).alias("good")).first()
+    good_share = (1 + marks.good) / (2 + marks.n)
     if not by[0] or not by[1]:
         return {"good": b"\0" * 8, "bad": b"\0" * 8, "slope": 0.0, "base": float(np.log(good_share / (1 - good_share)))}
     model = {"good": dictionary(by[1]), "bad": dictionary(by[0])}

@@ -104,17 +104,15 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> dict:
     q = np.where(any_vote, 0.9, 0.02)
     share = np.ones(m)
     rates = np.full((2, m), 0.5)
-    for step in range(rounds):
+    for _ in range(rounds):
         for y, p in ((0, 1 - q), (1, q)):
             rates[y] = (p @ votes + (0.02, 0.5)[y]) / (p.sum() + 1)
         prior = float(np.clip((q.sum() + 1) / (n + 2), 0.005, 0.6))
-        if step % 10 == 9:
-            # Agreement that the class doesn't explain, per pair of voters.
-            z = votes - (q[:, None] * rates[1] + (1 - q)[:, None] * rates[0])
-            c = z.T @ z / n
-            sd = np.sqrt(np.maximum(np.diag(c), 1e-9))
-            corr = np.clip(c / sd[:, None] / sd, 0, 1)
-            share = 1 / np.maximum(corr.sum(axis=0), 1)
+        # Agreement that the class doesn't explain, per pair of voters.
+        z = votes - (q[:, None] * rates[1] + (1 - q)[:, None] * rates[0])
+        c = z.T @ z / n
+        sd = np.sqrt(np.maximum(np.diag(c), 1e-9))
+        share = 1 / np.maximum(np.clip(c / sd[:, None] / sd, 0, 1).sum(axis=0), 1)
         q = posterior(votes, rates, share, prior)
     return {"rates": rates, "share": share, "prior": prior, "posterior": q}
 

@@ -1,0 +1,93 @@
+import hashlib
+import random
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from mosaiq.llm import pii
+
+PATTERNS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def holds(kind, s):
+    digits = re.sub("[^0-9]", "", s)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in s.split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def brute(text):
+    return [(k, m.start(), m.end()) for k in pii.BASE for m in PATTERNS[k].finditer(text) if holds(k, m.group())]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="a@.-+ 0123456789(%x\u00e9,1@..", max_size=60))
+def test_base_spans_equal_the_patterns(text):
+    assert pii.base_spans(text) == brute(text)
+
+
+def test_documents_against_brute_force(documents):
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in pii.find_pii(documents).collect():
+        base = brute(texts[r.doc_id])
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in base) for x in pii.BASE]
+        assert r.spans.startswith(line)
+
+
+def test_field_on_unseen_sentences():
+    weights = pii.trained()
+    good = extra = missed = 0
+    for text, gold in pii.examples(300, seed=1234):
+        found = set(pii.decode(text, weights))
+        good, extra, missed = good + len(found & set(gold)), extra + len(found - set(gold)), missed + len(set(gold) - found)
+    assert good / (good + extra) > 0.95 and good / (good + missed) > 0.9
+
+
+def test_decoding_is_the_best_of_all_sets():
+    weights = pii.trained()
+
+    def best(cells, end):
+        out = 0.0
+        for k, (a, b, f) in enumerate(cells):
+            if a >= end:
+                top = max(sum(weights.get((t, x), 0.0) for x in f) for t in pii.ADDED)
+                out = max(out, top + best(cells[k + 1 :], b))
+        return out
+
+    for text, _ in pii.examples(60, seed=5):
+        cells = pii.lattice(text)
+        if len(cells) > 14:
+            continue
+        score = {(a, b): f for a, b, f in cells}
+        got = sum(sum(weights.get((k, x), 0.0) for x in score[a, b]) for k, a, b in pii.decode(text, weights))
+        assert abs(got - best(sorted(cells), 0)) < 1e-9
+
+
+def test_adversarial_texts_stay_fast():
+    weights = pii.trained()
+    rng = random.Random(3)
+    for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 50_000, "12 " * 20_000, ":" * 50_000, "+1(" * 30_000, "".join(rng.choice("0123456789. ") for _ in range(50_000))):
+        base, added = pii.spans_of(text, weights)
+        assert all(b <= len(text) for _, _, b in base + added)
+
+
+def test_hard_inputs_and_redaction(spark, hard, empty):
+    found = pii.find_pii(hard).collect()
+    assert len(found) == hard.count()
+    assert all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in found if r.doc_id in (2, 3))
+    assert pii.find_pii(empty).collect() == [] and pii.redacted(empty).collect() == []
+    kept = pii.redacted(hard)
+    assert kept.schema == hard.schema
+    assert sorted(map(str, kept.where("doc_id <> 9").collect())) == sorted(map(str, hard.where("doc_id <> 9").collect()))
+    one = spark.createDataFrame([(1, "mail joe.b@ex-ample.co.uk or +1 (555) 123-4567, host 10.0.0.1")], "doc_id long, text string")
+    assert pii.redacted(one).first().text == "mail [EMAIL] or [PHONE], host [IP]"

@@ -10,13 +10,17 @@ from mosaiq.operators import ranks as R
 from mosaiq.plans.common import table
 from mosaiq.plans.registry import query
 
-SOURCE_NO = F.substring("source", 4, 9).try_cast("int")
+def source_no():
+    """The number in a source's name."""
+    return F.substring("source", 4, 9).try_cast("int")
+
+
 #: Tags by source number, so that every role rule is met.
 TAG_RULES = [("uid", 0), ("roster", 1), ("cinema", 2), ("w_engine", 3), ("disc", 4), ("inventory", 5), ("stats", 6), ("account", 7)]
 
 
 def documents_as_sources(spark, sf):
-    tag = policy.cases([(SOURCE_NO % 10 == k, F.lit(t)) for t, k in TAG_RULES], F.lit("combat"))
+    tag = policy.cases([(source_no() % 10 == k, F.lit(t)) for t, k in TAG_RULES], F.lit("combat"))
     return table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.array(tag).alias("tags"))
 
 
@@ -257,7 +261,7 @@ SELECT m.doc_id, wanted, quality AS current, CASE WHEN quality = wanted THEN 'ap
 def cluster_apply(spark, sf):
     """Decisions on clusters of rows are applied to their members; members that say otherwise are conflicts."""
     clusters = table(spark, sf, "documents").groupBy("source").agg(F.collect_list("doc_id").alias("members"))
-    clusters = clusters.select("members", F.when(SOURCE_NO % 2 == 0, 1).otherwise(0).cast("string").alias("wanted"))
+    clusters = clusters.select("members", F.when(source_no() % 2 == 0, 1).otherwise(0).cast("string").alias("wanted"))
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
     out = C.clusters_applied(clusters, "members", "wanted", labels, "doc_id", "quality")
     return out.withColumn("wanted", F.col("wanted").cast("int")).withColumn("current", F.col("current").cast("int"))

@@ -34,6 +34,8 @@ from mosaiq.llm.common import WordHash, arrow_map, mixed, slices, small_batches,
 CHUNK = 1 << 20
 #: Members of a bucket that are compared in one block.
 BLOCK = 256
+#: Parts into which the rows of a bucket are dealt before they are given to blocks.
+SALTS = 16
 SHINGLE = 5
 #: Coordinates of a sketch. Bands use the first of them, estimates of similarity all.
 COORDINATES = 512
@@ -181,7 +183,9 @@ def leftovers(members: DataFrame, percent: int, bands: int, rows: int) -> DataFr
     """
     least = least_agreement(percent)
     sized = members.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("c"))
-    dealt = members.join(sized, "key").withColumn("x", F.pmod(F.xxhash64("doc_id", "key"), "c").cast("int"))
+    salted = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["key", "salt"])
+    dealt = dealt.withColumn("x", F.pmod(F.xxhash64("doc_id", "key"), "c").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     dealt = dealt.withColumn("p", F.least("x", "other")).withColumn("q", F.greatest("x", "other"))
 

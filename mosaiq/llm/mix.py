@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm.common import WORD, written
 
-PER_BUCKET = 20_000
+PER_BUCKET = 2_000
 #: Size up to which the table of sources is broadcast.
 BROADCAST_BYTES = 4 << 20
 MOST_COPIES = 3

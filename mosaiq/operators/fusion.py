@@ -158,7 +158,7 @@ def equipment_source(flags: dict[str, Column]) -> Column:
     return out
 
 
-def scan_status(lock: Column, layout_ok: Column, anchors_ok: Column, reasons: Column) -> tuple[Column, Column]:
+def scan_status(lock_active: Column, layout_ok: Column, anchors_ok: Column, reasons: Column) -> tuple[Column, Column]:
     """(status, code): gates in order fail a session; open reasons degrade it but keep its result."""
-    code = F.when(lock, F.lit("INPUT_LOCK_ACTIVE")).when(~layout_ok, "UNSUPPORTED_LAYOUT").when(~anchors_ok, "ANCHOR_MISMATCH").when(F.size(reasons) > 0, "LOW_CONFIDENCE")
+    code = F.when(~lock_active, F.lit("INPUT_LOCK_NOT_ACTIVE")).when(~layout_ok, "UNSUPPORTED_LAYOUT").when(~anchors_ok, "ANCHOR_MISMATCH").when(F.size(reasons) > 0, "LOW_CONFIDENCE")
     return F.when(code.isNull(), "ok").when(code == "LOW_CONFIDENCE", "degraded").otherwise("error"), code

@@ -118,12 +118,12 @@ def capture_identity(spark, sf):
 
 
 @query("""
-WITH x AS (SELECT conv_id, count_if(role = 'system') > 0 AS lock, max(turn) >= 2 AS layout, count_if(role = 'user') >= 1 AS anchors, count_if(length(text) < 60) AS open FROM conversations GROUP BY 1),
-y AS (SELECT *, CASE WHEN lock THEN 'INPUT_LOCK_ACTIVE' WHEN NOT layout THEN 'UNSUPPORTED_LAYOUT' WHEN NOT anchors THEN 'ANCHOR_MISMATCH' WHEN open > 0 THEN 'LOW_CONFIDENCE' END AS code FROM x)
+WITH x AS (SELECT conv_id, count_if(role = 'system') = 0 AS lock, max(turn) >= 2 AS layout, count_if(role = 'user') >= 1 AS anchors, count_if(length(text) < 60) AS open FROM conversations GROUP BY 1),
+y AS (SELECT *, CASE WHEN NOT lock THEN 'INPUT_LOCK_NOT_ACTIVE' WHEN NOT layout THEN 'UNSUPPORTED_LAYOUT' WHEN NOT anchors THEN 'ANCHOR_MISMATCH' WHEN open > 0 THEN 'LOW_CONFIDENCE' END AS code FROM x)
 SELECT conv_id, CASE WHEN code IS NULL THEN 'ok' WHEN code = 'LOW_CONFIDENCE' THEN 'degraded' ELSE 'error' END AS status, code FROM y""")
 def scan_status(spark, sf):
     """Gates of a scan as columns: failing sessions are routed, not thrown."""
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg((F.count_if(F.col("role") == "system") > 0).alias("lock"), (F.max("turn") >= 2).alias("layout"), (F.count_if(F.col("role") == "user") >= 1).alias("anchors"), F.collect_set(F.when(F.length("text") < 60, F.col("turn"))).alias("open"))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg((F.count_if(F.col("role") == "system") == 0).alias("lock"), (F.max("turn") >= 2).alias("layout"), (F.count_if(F.col("role") == "user") >= 1).alias("anchors"), F.collect_set(F.when(F.length("text") < 60, F.col("turn"))).alias("open"))
     status, code = X.scan_status(F.col("lock"), F.col("layout"), F.col("anchors"), F.col("open"))
     return c.select("conv_id", status.alias("status"), code.alias("code"))
 

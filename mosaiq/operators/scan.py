@@ -27,7 +27,8 @@ def occupancy(weapon: Column, discs: Column, stated_weapon: Column, stated_slots
     slots = F.transform(F.coalesce(discs, F.array().cast(discs_type())), lambda d: d["slot"])
     keys = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: k.cast("string"))
     filled = F.transform(keys, lambda k: F.coalesce(F.array_contains(slots, k.cast("int")), F.lit(False)) | F.coalesce(stated_slots[k], F.lit(False)))
-    present = F.coalesce(stated_weapon, F.coalesce(weapon["weaponId"], F.lit("")) != "")
+    any_value = (F.coalesce(weapon["weaponId"], F.lit("")) != "") | (F.coalesce(weapon["displayName"], F.lit("")) != "") | weapon["level"].isNotNull()
+    present = F.coalesce(stated_weapon, any_value, F.lit(False))
     return present, F.map_from_arrays(keys, filled)
 
 

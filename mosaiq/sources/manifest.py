@@ -50,7 +50,11 @@ def read_manifest(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         fields = split_fields(schemas.struct(schema)[7:-1])
         return items.select("ordinal", *[F.try_variant_get("v", f"$.{n}", t).alias(n) for n, t in fields])
 
-    pieces = [F.transform(F.coalesce(F.try_variant_get("m", f"$.splits.{s}", "array<string>"), F.array().cast("array<string>")), lambda x, s=s: F.struct(x.alias("record_id"), F.lit(s).alias("split"))) for s in ("train", "val", "test")]
+    def piece(name: str) -> Column:
+        ids = F.coalesce(F.try_variant_get("m", f"$.splits.{name}", "array<string>"), F.array().cast("array<string>"))
+        return F.transform(ids, lambda x: F.struct(x.alias("record_id"), F.lit(name).alias("split")))
+
+    pieces = [piece(name) for name in ("train", "val", "test")]
     splits = doc.select(F.posexplode(F.concat(*pieces)).alias("ordinal", "e")).select("ordinal", "e.*")
     # An id in several lists belongs to the last of train, val, test.
     splits = first_per_key(splits, ["record_id"], [F.desc("ordinal")]).drop("ordinal")

@@ -45,7 +45,7 @@ def markdown(report: dict) -> str:
     lines = []
     for name, value in report.items():
         if isinstance(value, (list, tuple)):
-            lines += [f"## {name}", *[f"- {v}" for v in value] or ["- none"]]
+            lines += [f"## {name}", *([f"- {v}" for v in value] or ["- none"])]
         elif isinstance(value, dict):
             lines += [f"## {name}", *[f"- {k}: {v}" for k, v in value.items()]]
         else:

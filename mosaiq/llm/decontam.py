@@ -5,7 +5,7 @@ sentence) become typed placeholders, so a question with other numbers or names h
 template words of a document are looked up among those of the benchmark; a window needs more plain words than placeholders.
 Hits on one diagonal (the same shift between document and item) make up an aligned run. Its slots must be consistent: an
 item's value always stands for one value of the document, and different values of the item for different ones. A document is
-contaminated by an item when a consistent run covers at least half of the item's words.
+contaminated by an item when a consistent run covers at least half of the item's words, or ENOUGH of them.
 
 Plan: windows of the benchmark are broadcast after a check of their number; every document is then judged where it is
 read, without a shuffle. A larger benchmark is joined by window hash in salted copies instead.
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import arrow_map, small_batches, utf8, windows
 
 WIDTH, LEAST = 8, 5
+#: Covered words that suffice however long the item is.
+ENOUGH = 13
 #: Windows of a benchmark that are broadcast at most, 24 bytes each.
 MOST_BROADCAST = 2_000_000
 SALTS = 16
@@ -125,7 +127,7 @@ def consistent(pairs: list[tuple[int, int]]) -> bool:
 
 
 def judge(hits: list[tuple[int, int, int]], items: list, raw: list[bytes]) -> list[tuple[int, int]]:
-    """(item, words covered) of the items whose best consistent run covers half of them. hits: (item, item position, position)."""
+    """(item, words covered) of the items whose best consistent run covers enough of them. hits: (item, item position, position)."""
     runs: dict[tuple[int, int], list[int]] = {}
     for item, p, k in hits:
         runs.setdefault((item, k - p), []).append(p)
@@ -133,7 +135,7 @@ def judge(hits: list[tuple[int, int, int]], items: list, raw: list[bytes]) -> li
     for (item, shift), at in runs.items():
         _, length, width, values = items[item]
         covered = sorted({p + i for p in at for i in range(width)})
-        if 2 * len(covered) < length:
+        if len(covered) < min(ENOUGH, length / 2):
             continue
         if consistent([(values[p], value(raw[p + shift])) for p in covered if p in values]):
             best[item] = max(best.get(item, 0), len(covered))
@@ -234,7 +236,7 @@ def joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for p, w, a, b in zip(pdf["item_at"], pdf["width"], pdf["item_values"], pdf["doc_values"], strict=True):
             covered.update(range(p, p + w))
             pairs += [(x, y) for x, y in zip(a, b, strict=True) if x is not None and x == x]
-        ok = 2 * len(covered) >= length and consistent(pairs)
+        ok = len(covered) >= min(ENOUGH, length / 2) and consistent(pairs)
         return pd.DataFrame({"doc_id": pdf["doc_id"][:1], "item_id": pdf["item_id"][:1], "n_words": [length], "covered": [len(covered)]}) if ok else pd.DataFrame({"doc_id": [], "item_id": [], "n_words": [], "covered": []})
 
     small_batches(docs.sparkSession)

@@ -144,3 +144,71 @@ def fixpoint(seeds: DataFrame, step, most_rounds: int = 50) -> DataFrame:
             break
         trusted = written(trusted.unionByName(new), "fixpoint")
     return trusted
+
+
+def backfilled(df: DataFrame, fields: dict[str, Column], only_missing: bool = True) -> DataFrame:
+    """Fields set to derived values, missing ones only or all; adds `changed`, null-safe, for the count of changed rows."""
+    new = {f: F.coalesce(F.col(f), c) if only_missing else c for f, c in fields.items()}
+    same = F.lit(True)
+    for f, c in new.items():
+        same = same & c.eqNullSafe(F.col(f))
+    return df.withColumn("changed", ~same).withColumns(new)
+
+
+def pack_plan(files: DataFrame, roles: DataFrame, order: str) -> DataFrame:
+    """Files in order against the planned (ordinal, agent, role) list: file, agent, role, target; `error` if counts differ.
+
+    Positions come from a window over one batch of files, which a person sorted by hand."""
+    plan = roles.withColumn("n", F.count("*").over(W.partitionBy()))
+    listed = files.withColumn("ordinal", F.row_number().over(W.orderBy(order)).cast("long")).withColumn("m", F.count("*").over(W.partitionBy()))
+    both = listed.join(plan, "ordinal", "full_outer")
+    error = F.when(F.col("path").isNull(), "file_missing").when(F.col("role").isNull(), "role_missing")
+    return both.select("ordinal", "path", "agent", "role", F.concat_ws("/", "agent", F.concat_ws("_", F.lpad(F.col("ordinal").cast("string"), 4, "0"), "role")).alias("target"), error.alias("error"))
+
+
+def sheet_layout(df: DataFrame, group: str, order: list[Column], columns: int = 3) -> DataFrame:
+    """Row and column of each thumbnail on its group's contact sheet."""
+    at = F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1
+    return df.withColumn("sheet_row", F.floor(at / columns).cast("int")).withColumn("sheet_col", (at % columns).cast("int"))
+
+
+def sampled_frames(frames: DataFrame, clip: str, index: str, fps: Column, wanted: float, most: int) -> DataFrame:
+    """Every round(fps / wanted)-th frame of a clip, at most `most` of them; both are features of the sampling."""
+    step = F.greatest(F.lit(1), F.round(fps / wanted).cast("int"))
+    kept = frames.where(F.col(index) % step == 0).withColumn("_rn", F.row_number().over(W.partitionBy(clip).orderBy(index)))
+    return kept.where(F.col("_rn") <= most).drop("_rn")
+
+
+def pack_reviews(packs: DataFrame, key: list[str], role: str, slot: str) -> DataFrame:
+    """Per capture pack: its counts by role, whether it is ambiguous (not exactly one overview, more than one amplifier, or a slot
+    twice), and the occupancy its discs prove."""
+    one = packs.groupBy(*key).agg(
+        F.count_if(F.col(role) == "equipment").alias("overviews"), F.count_if(F.col(role) == "amplifier_detail").alias("amplifiers"),
+        F.count_if(F.col(role) == "disk_detail").alias("discs"), F.array_sort(F.collect_set(F.when(F.col(role) == "disk_detail", F.col(slot)))).alias("slots"),
+    )
+    ambiguous = (F.col("overviews") != 1) | (F.col("amplifiers") > 1) | (F.size("slots") < F.col("discs"))
+    return one.withColumn("ambiguous", ambiguous)
+
+
+def typed_tokens(df: DataFrame, keys: list[str], order: str, value: str, height: str, share: float = 0.72) -> DataFrame:
+    """Tokens of a recognised field: small ones are marks, a last mark is a percent sign; the rest are digits, joined in order."""
+    w = W.partitionBy(*keys)
+    middle = F.percentile(height, F.lit(0.5)).over(w)
+    last = F.lead(order).over(w.orderBy(order)).isNull()
+    rows = df.withColumn("kind", F.when(F.col(height) >= share * middle, "digit").when(last, "percent").otherwise("mark"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("kind") == "digit", F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v")))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["v"]), "").alias("digits"), F.bool_or(F.col("kind") == "percent").alias("percent"), F.count_if(F.col("kind") == "mark").alias("marks"))
+
+
+def catalogue_entries(rows: DataFrame, catalogue: DataFrame, key: str, name: str, pos: str) -> DataFrame:
+    """Reviewed rows against a catalogue: an id keeps its catalogue name, else the first filled name seen; aliases are the distinct
+    other names in order of appearance. Entries of either side stay."""
+    seen = rows.where(F.coalesce(F.trim(key), F.lit("")) != "").groupBy(key).agg(
+        F.min_by(F.trim(name), F.when(F.coalesce(F.trim(name), F.lit("")) != "", F.col(pos))).alias("seen_name"),
+        F.array_sort(F.collect_list(F.when(F.coalesce(F.trim(name), F.lit("")) != "", F.struct(F.col(pos).alias("p"), F.trim(name).alias("n"))))).alias("names"),
+        F.count("*").alias("samples"),
+    )
+    both = seen.join(catalogue.select(key, F.col("display").alias("known")), key, "full_outer")
+    shown = F.coalesce("known", "seen_name")
+    aliases = F.array_distinct(F.transform(F.coalesce("names", F.array().cast("array<struct<p:long,n:string>>")), lambda x: x["n"]))
+    return both.select(key, shown.alias("display"), F.filter(aliases, lambda a: a != shown).alias("aliases"), F.coalesce("samples", F.lit(0).cast("long")).alias("samples"))

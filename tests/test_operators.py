@@ -241,3 +241,53 @@ def test_pixel_kernels():
 def test_probabilities():
     p = models.probabilities(np.array([[0.2, 0.8], [3.0, 1.0]]))
     assert p[0] == pytest.approx([0.2, 0.8]) and p.sum(axis=1) == pytest.approx([1, 1]) and p[1, 0] > 0.8
+
+
+def test_digit_segmentation():
+    img = np.full((12, 80), 10.0)
+    for k in range(10):
+        img[2:10, 8 * k + 2 : 8 * k + 6] = 240
+    assert pixels.digit_boxes(pixels.inked(img)) == [(8 * k + 2, 8 * k + 6) for k in range(10)]
+    img[5, 2:70] = 240
+    boxes = pixels.digit_boxes(pixels.inked(img))
+    assert len(boxes) == 10 and boxes[0][0] == 2 and boxes[-1][1] == 78
+    assert pixels.digit_boxes(pixels.inked(255 - img)) == boxes
+
+
+def test_backfill_and_packs(spark):
+    df = frame(spark, [(1, None), (2, "b")], "k int, v string")
+    assert {tuple(r) for r in curation.backfilled(df, {"v": F.lit("a")}).select("k", "v", "changed").collect()} == {(1, "a", True), (2, "b", False)}
+    assert {tuple(r) for r in curation.backfilled(df, {"v": F.lit("b")}, only_missing=False).select("k", "v", "changed").collect()} == {(1, "b", True), (2, "b", False)}
+    packs = frame(spark, [("p", "equipment", None), ("p", "disk_detail", 1), ("p", "disk_detail", 1), ("q", "equipment", None), ("q", "disk_detail", 2)], "k string, role string, slot int")
+    assert {r.k: r.ambiguous for r in curation.pack_reviews(packs, ["k"], "role", "slot").collect()} == {"p": True, "q": False}
+
+
+def field(number, value):
+    """One protobuf field: an int, or bytes."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def softmax_model():
+    """An ONNX model of one node, written by hand: y = Softmax(x), x of shape (?, 3)."""
+    def info(name):
+        dims = field(1, field(2, b"n")) + field(1, field(1, 3))
+        return field(1, name) + field(2, field(1, field(1, 1) + field(2, dims)))
+
+    node = field(1, b"x") + field(2, b"y") + field(4, b"Softmax")
+    graph = field(1, node) + field(2, b"g") + field(11, info(b"x")) + field(12, info(b"y"))
+    return field(1, 8) + field(7, graph) + field(8, field(1, b"") + field(2, 13))
+
+
+def test_onnx_prediction(spark):
+    df = frame(spark, [(1, [0.0, 2.0, 1.0]), (2, [5.0, 0.0, 0.0])], "k long, v array<double>")
+    found = {r.k: r for r in models.onnx_predict(df, "k", "v", softmax_model(), ["a", "b", "c"]).collect()}
+    assert (found[1].label, found[2].label) == ("b", "a")
+    assert found[2].confidence == pytest.approx(np.exp(5) / (np.exp(5) + 2), rel=1e-5)
+    with pytest.raises(Exception, match="(?i)onnx|protobuf|model"):
+        models.onnx_predict(df, "k", "v", b"not a model", ["a"]).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -97,14 +98,15 @@ def greedy_survivors(df: DataFrame, key: str, bits: str, most: int = 6, shift: i
     reps = df.groupBy(bits).agg(F.min(key).alias("rep")).withColumn("bucket", F.shiftrightunsigned(F.col(bits), shift))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        flags = []
         pdf = pdf.sort_values("rep")
-        for value in pdf[bits]:
-            ok = all(((int(value) ^ k) & (2**64 - 1)).bit_count() > most for k in kept)
+        values = pdf[bits].to_numpy().astype(np.int64).view(np.uint64)
+        kept, n, flags = np.empty(len(values), np.uint64), 0, []
+        for value in values:
+            ok = not n or int(np.bitwise_count(kept[:n] ^ value).min()) > most
             flags.append(ok)
             if ok:
-                kept.append(int(value))
+                kept[n] = value
+                n += 1
         return pdf.assign(accepted=flags)[["rep", "accepted"]]
 
     verdicts = reps.groupBy("bucket").applyInPandas(run, "rep long, accepted boolean")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,16 +58,35 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("_w", raw).withColumn("weight", F.round(F.col("_w") / F.avg("_w").over(everything), 6)).drop("_w")
 
 
-def nearest_templates(df: DataFrame, key: str, vector: str, templates: DataFrame, label: str, template: str) -> DataFrame:
-    """key, label of the nearest template by mean squared error, its error, and the margin to the second label. templates are a
-    dimension of a few rows per label and are broadcast by Spark if small."""
-    pairs = df.select(key, vector).join(F.broadcast(templates.select(label, template)))
-    gaps = F.zip_with(vector, template, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    error = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / F.size(vector)
-    per = pairs.select(key, label, error.alias("error")).groupBy(key, label).agg(F.min("error").alias("error"))
-    w = W.partitionBy(key).orderBy("error", label)
-    top = per.withColumn("rn", F.row_number().over(w)).withColumn("margin", F.lead("error").over(w) - F.col("error"))
-    return top.where("rn = 1").drop("rn")
+def nearest_templates(df: DataFrame, key: str, vector: str, templates: DataFrame, label: str, template: str, most: int = 10_000) -> DataFrame:
+    """key, label of the nearest template by mean squared error, its error, and the margin to the second label.
+
+    Templates are a table of at most `most` rows, which each task holds as one matrix; rows only pass through. Vectors that are
+    null or of another length have no answer and are left out.
+    """
+    rows = sorted((r[0], list(r[1])) for r in templates.select(label, template).limit(most + 1).collect())
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates")
+    names = sorted({r[0] for r in rows})
+    matrix = np.array([r[1] for r in rows], float)
+    owner = np.array([names.index(r[0]) for r in rows])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[[v is not None and len(v) == matrix.shape[1] for v in pdf[vector]]] if len(rows) else pdf[:0]
+            if not len(pdf):
+                continue
+            x = np.stack([np.asarray(v, float) for v in pdf[vector]])
+            best = np.full((len(x), len(names)), np.inf)
+            for k, t in enumerate(matrix):
+                best[:, owner[k]] = np.minimum(best[:, owner[k]], ((x - t) ** 2).mean(axis=1))
+            order = best.argsort(axis=1, kind="stable")
+            first = best[np.arange(len(x)), order[:, 0]]
+            margin = best[np.arange(len(x)), order[:, 1]] - first if len(names) > 1 else np.full(len(x), np.nan)
+            yield pd.DataFrame({key: pdf[key].to_numpy(), label: [names[k] for k in order[:, 0]], "error": first, "margin": margin})
+
+    kind = lambda d, c: d.schema[c].dataType.simpleString()
+    return df.select(key, vector).mapInPandas(run, f"{key} {kind(df, key)}, {label} {kind(templates, label)}, error double, margin double")
 
 
 # Fixed values of the template confidence: base, its two shares, and where error and margin saturate.

@@ -38,9 +38,18 @@ def zero_filled(dimension: DataFrame, counts: DataFrame, key: str, n: str) -> Da
     return dimension.join(counts, key, "left").withColumn(n, F.coalesce(n, F.lit(0).cast("long")))
 
 
-def complement(left: DataFrame, dimension: DataFrame, owned: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of a row and a dimension entry that aren't owned. Both sides are dimensions of a few rows by definition."""
-    return left.join(F.broadcast(dimension)).join(owned, keys, "left_anti")
+def roster_array(dimension: DataFrame, ident: str, order: str, most: int = 100_000) -> Column:
+    """The ids of a dimension as one literal list, in order; a dimension of more than `most` rows is refused."""
+    rows = dimension.select(ident, order).orderBy(order, ident).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a roster of more than {most} rows is no dimension")
+    return F.lit([r[0] for r in rows]).cast(f"array<{dimension.schema[ident].dataType.simpleString()}>")
+
+
+def complement(owned: DataFrame, key: str, ident: str, roster: Column) -> DataFrame:
+    """(key, ident) of what each key lacks of a roster (see roster_array). Lists are compared, so nothing is joined."""
+    mine = owned.groupBy(key).agg(F.collect_set(ident).alias("mine"))
+    return mine.select(key, F.explode(F.array_except(roster, "mine")).alias(ident))
 
 
 def completeness(df: DataFrame, key: str, split: str, fields: dict[str, Column]) -> DataFrame:

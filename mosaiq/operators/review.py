@@ -115,10 +115,8 @@ def demoted(suggestions: Column, labels: Column, protected: list[str]) -> Column
     return F.map_zip_with(suggestions, moved, lambda k, a, b: F.coalesce(b, a))
 
 
-def owned_lists(owned: DataFrame, key: str, ident: str, roster: DataFrame) -> DataFrame:
-    """Per session the owned ids in roster order and the rest of the roster. roster: ident, ordinal; unknown ids are told."""
-    both = owned.select(key, ident).distinct().join(roster, ident, "left")
-    mine = both.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", ident)))).alias("o"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("ordinal").isNull(), F.col(ident)))), ";").alias("unknown"))
-    everyone = roster.agg(F.array_sort(F.collect_list(F.struct("ordinal", ident))).alias("all"))
-    out = mine.join(F.broadcast(everyone))
-    return out.select(key, F.transform("o", lambda x: x[ident]).alias("owned"), F.transform(F.array_except("all", "o"), lambda x: x[ident]).alias("not_owned"), "unknown")
+def owned_lists(owned: DataFrame, key: str, ident: str, roster: Column) -> DataFrame:
+    """Per session the owned ids in roster order, the rest of the roster, and unknown ids. roster: see reports.roster_array."""
+    mine = owned.groupBy(key).agg(F.collect_set(ident).alias("mine"))
+    unknown = F.array_join(F.array_sort(F.transform(F.array_except("mine", roster), lambda x: x.cast("string"))), ";")
+    return mine.select(key, F.array_intersect(roster, "mine").alias("owned"), F.array_except(roster, "mine").alias("not_owned"), unknown.alias("unknown"))

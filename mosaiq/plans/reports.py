@@ -33,7 +33,9 @@ SELECT r_regionkey, n_nationkey FROM region, nation WHERE n_regionkey <> r_regio
 def owned_complement(spark, sf):
     """What each owner lacks of a roster."""
     nation = table(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
-    return P.complement(table(spark, sf, "region").select("r_regionkey"), nation.select("n_nationkey"), nation, ["r_regionkey", "n_nationkey"]).select("r_regionkey", "n_nationkey")
+    roster = P.roster_array(nation.withColumn("ordinal", F.col("n_nationkey")), "n_nationkey", "ordinal")
+    owned = table(spark, sf, "region").select("r_regionkey").join(nation, "r_regionkey", "left")
+    return P.complement(owned, "r_regionkey", "n_nationkey", roster)
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mosaiq.functions import details
-from mosaiq.operators import pixels, review, scan
+from mosaiq.operators import pixels, reports, review, scan
 from mosaiq.plans.common import table
 from mosaiq.plans.registry import query
 from mosaiq.sources import manifest, sinks
@@ -134,7 +134,7 @@ SELECT k, string_agg(CASE WHEN n < 25 THEN n::VARCHAR END, ',' ORDER BY n) AS ow
   coalesce(string_agg(CASE WHEN n >= 25 THEN n::VARCHAR END, ';' ORDER BY n::VARCHAR), '') AS unknown FROM x GROUP BY k""")
 def owned_roster(spark, sf):
     """Owned and missing entries of a roster per session, in roster order; unknown ids are told."""
-    roster = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("agent"), F.col("n_nationkey").alias("ordinal"))
+    roster = reports.roster_array(table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("agent"), F.col("n_nationkey").alias("ordinal")), "agent", "ordinal")
     owned = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 27).cast("string").alias("agent"))
     out = review.owned_lists(owned, "k", "agent", roster)
     return out.select("k", F.nullif(F.array_join("owned", ","), F.lit("")).alias("owned"), F.size("owned").alias("n_owned"), F.size("not_owned").alias("n_missing"), "unknown")

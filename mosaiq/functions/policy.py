@@ -35,13 +35,13 @@ ROLE_TAGS = [
 ]
 #: Substrings of a lower-cased path that tell a role, in the order in which they are tried.
 PATH_ROLES = [
-    ("uid_panel", "uid|profile"),
+    ("uid_panel", r"\buid\b|profile"),
     ("roster", "roster|agent_menu|agents_menu"),
-    ("mindscape", "mindscape|cinema|mind"),
+    ("mindscape", r"mindscape|cinema|\bmind\b"),
     ("amplifier_detail", "amplificator|amplifier|w_engine|wengine"),
-    ("disk_detail", "(?:disk|disc)[ _-]?[1-6]"),
+    ("disk_detail", r"\bdis[ck][_\-\s]*[1-6]\b"),
     ("agent_detail", "agent_detail|characteristics|stats"),
-    ("equipment", "equipment|loadout|gear"),
+    ("equipment", r"\bequipment\b|loadout|gear"),
 ]
 
 
@@ -171,3 +171,50 @@ def group_key(source_id: Column, session_id: Column, match_id: Column, record_id
         .when(F.coalesce(match_id, F.lit("")) != "", F.concat(source, F.lit("::match::"), match_id))
         .otherwise(F.concat(source, F.lit("::record::"), F.coalesce(record_id, F.lit(""))))
     )
+
+
+def path_slot(path: Column) -> Column:
+    """Slot 1 to 6 that a path names after disk or disc; null if none."""
+    return F.nullif(F.regexp_extract(F.lower(F.coalesce(path, F.lit(""))), r"\bdis[ck][_\-\s]*([1-6])\b", 1), F.lit("")).try_cast("int")
+
+
+#: Tags of a new source by its role.
+SOURCE_TAGS = {
+    "uid_panel": ["account", "profile", "uid"],
+    "roster": ["account", "roster", "agents"],
+    "agent_detail": ["account", "agent_detail", "agent", "stats"],
+    "equipment": ["account", "equipment", "inventory"],
+    "disk_detail": ["account", "equipment", "inventory", "disc_detail", "disc"],
+    "amplifier_detail": ["account", "equipment", "inventory", "amplifier"],
+    "mindscape": ["account", "mindscape", "cinema"],
+}
+
+
+def source_tags(role: Column, slot: Column) -> Column:
+    out = cases([(role == r, words(t)) for r, t in SOURCE_TAGS.items()], words(["account"]))
+    return F.when((role == "disk_detail") & slot.isNotNull(), F.array_append(out, F.concat(F.lit("slot_"), slot.cast("string")))).otherwise(out)
+
+
+def global_slot(page: Column, slot: Column) -> Column:
+    """Slots of three per page count through the pages; larger ones do already."""
+    return F.when(page.isNotNull() & slot.between(1, 3), page * 3 + slot).otherwise(slot)
+
+
+#: Layout of a supported screen.
+ASPECT, ASPECT_TOLERANCE, TALL = 16 / 9, 0.2, 1296
+
+
+def runtime_resolution(stated: Column, width: Column, height: Column) -> Column:
+    """1440p or 1080p; '' if the layout isn't 16:9 or what is stated and what is seen differ. width, height: null if nothing was seen."""
+    text_ = F.lower(text(stated))
+    lines = F.coalesce(F.regexp_extract(text_, r"^(\d+)p$", 1).try_cast("int"), F.regexp_extract(text_, r"^\d+x(\d+)$", 1).try_cast("int"))
+    name = lambda h: F.when(h >= TALL, "1440p").otherwise("1080p")
+    said = F.when(lines.isNotNull(), name(lines)).otherwise("")
+    seen = width.isNotNull() & height.isNotNull()
+    good = (width > 0) & (height > 0) & (F.abs(width / F.greatest(height, F.lit(1)) - ASPECT) <= ASPECT_TOLERANCE)
+    return F.when(~seen, said).when(~good | ((said != "") & (said != name(height))), "").otherwise(name(height))
+
+
+def focus_fields(ids: Column) -> tuple[Column, Column]:
+    """(first id, the list only if it has more than one)."""
+    return F.try_element_at(ids, F.lit(1)), F.when(F.size(ids) > 1, ids)

@@ -142,8 +142,8 @@ def owned_roster(spark, sf):
 
 @query("""
 WITH r AS (SELECT page_id, lower(url) AS u, url AS path, sha256(url) AS sha256 FROM pages),
-c AS (SELECT *, CASE WHEN regexp_matches(u, 'uid|profile') THEN 'uid_panel' WHEN regexp_matches(u, 'roster|agent_menu|agents_menu') THEN 'roster' WHEN regexp_matches(u, 'mindscape|cinema|mind') THEN 'mindscape' WHEN regexp_matches(u, 'amplificator|amplifier|w_engine|wengine') THEN 'amplifier_detail'
-  WHEN regexp_matches(u, '(?:disk|disc)[ _-]?[1-6]') THEN 'disk_detail' WHEN regexp_matches(u, 'agent_detail|characteristics|stats') THEN 'agent_detail' WHEN regexp_matches(u, 'equipment|loadout|gear') THEN 'equipment' END AS role
+c AS (SELECT *, CASE WHEN regexp_matches(u, '\\buid\\b|profile') THEN 'uid_panel' WHEN regexp_matches(u, 'roster|agent_menu|agents_menu') THEN 'roster' WHEN regexp_matches(u, 'mindscape|cinema|\\bmind\\b') THEN 'mindscape' WHEN regexp_matches(u, 'amplificator|amplifier|w_engine|wengine') THEN 'amplifier_detail'
+  WHEN regexp_matches(u, '\\bdis[ck][_\\-\\s]*[1-6]\\b') THEN 'disk_detail' WHEN regexp_matches(u, 'agent_detail|characteristics|stats') THEN 'agent_detail' WHEN regexp_matches(u, '\\bequipment\\b|loadout|gear') THEN 'equipment' END AS role
   FROM (SELECT page_id, sha256(path) AS sha256, path, lower(path) AS u FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'roster/' WHEN 1 THEN 'x/Disc 3/' WHEN 2 THEN 'ru/gear/' ELSE 'misc/' END || page_id % 50 || '.png' AS path FROM pages)))
 SELECT DISTINCT 'b_' || role || '_' || substr(sha256, 1, 12) || '_record' AS id, role, path, CASE WHEN path LIKE 'ru/%' THEN 'RU' ELSE 'UNKNOWN' END AS locale, '1440p' AS resolution FROM c WHERE role IS NOT NULL AND page_id % 50 <> 8""")
 def ingest_batch(spark, sf):

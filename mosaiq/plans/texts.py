@@ -109,9 +109,9 @@ def level_pair(spark, sf):
 @query("""
 WITH t AS (SELECT page_id, list_filter(regexp_split_to_array(lower(url), '[^0-9a-zЀ-ӿ]+'), lambda x: x <> '') AS tokens, lower(url) AS u FROM pages)
 SELECT page_id, len(tokens)::INT AS n_tokens, CASE WHEN list_has_any(tokens, ['ru', 'rus', 'russian']) THEN 'RU' WHEN list_has_any(tokens, ['en', 'eng', 'english']) THEN 'EN' ELSE 'UNKNOWN' END AS locale,
-  CASE WHEN regexp_matches(u, 'uid|profile') THEN 'uid_panel' WHEN regexp_matches(u, 'roster|agent_menu|agents_menu') THEN 'roster' WHEN regexp_matches(u, 'mindscape|cinema|mind') THEN 'mindscape'
-    WHEN regexp_matches(u, 'amplificator|amplifier|w_engine|wengine') THEN 'amplifier_detail' WHEN regexp_matches(u, '(?:disk|disc)[ _-]?[1-6]') THEN 'disk_detail'
-    WHEN regexp_matches(u, 'agent_detail|characteristics|stats') THEN 'agent_detail' WHEN regexp_matches(u, 'equipment|loadout|gear') THEN 'equipment' END AS role FROM t""")
+  CASE WHEN regexp_matches(u, '\\buid\\b|profile') THEN 'uid_panel' WHEN regexp_matches(u, 'roster|agent_menu|agents_menu') THEN 'roster' WHEN regexp_matches(u, 'mindscape|cinema|\\bmind\\b') THEN 'mindscape'
+    WHEN regexp_matches(u, 'amplificator|amplifier|w_engine|wengine') THEN 'amplifier_detail' WHEN regexp_matches(u, '\\bdis[ck][_\\-\\s]*[1-6]\\b') THEN 'disk_detail'
+    WHEN regexp_matches(u, 'agent_detail|characteristics|stats') THEN 'agent_detail' WHEN regexp_matches(u, '\\bequipment\\b|loadout|gear') THEN 'equipment' END AS role FROM t""")
 def path_tokens_locale(spark, sf):
     url = F.col("url")
     return table(spark, sf, "pages").select("page_id", F.size(policy.path_tokens(url)).alias("n_tokens"), policy.path_locale(url).alias("locale"), policy.path_role(url).alias("role"))

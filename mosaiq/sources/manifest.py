@@ -132,7 +132,7 @@ def captures(sessions: DataFrame) -> DataFrame:
     text = policy.text
     listed = sessions.select("sessionId", F.posexplode("screenCaptures").alias("i", "c"))
     role = policy.first_text(F.col("c.role"), F.col("c.screenRole"))
-    slot = F.when(F.col("c.pageIndex").isNotNull() & F.col("c.agentSlotIndex").between(1, 3), F.col("c.pageIndex") * 3 + F.col("c.agentSlotIndex")).otherwise(F.col("c.agentSlotIndex"))
+    slot = policy.global_slot(F.col("c.pageIndex"), F.col("c.agentSlotIndex"))
     screens = listed.select("sessionId", role.alias("role"), text(F.col("c.path")).alias("path"), policy.first_text(F.col("c.screenAlias"), F.col("c.alias"), F.concat_ws("_", role, F.col("i").cast("string"))).alias("alias"), policy.first_text(F.col("c.agentId"), F.col("c.focusAgentId")).alias("agentId"), F.col("c.slotIndex").alias("slotIndex"), slot.alias("agentSlotIndex"), F.col("c.pageIndex").alias("pageIndex"))
     none = F.lit(None).cast("int")
     uid = sessions.select("sessionId", F.lit("uid_panel").alias("role"), text(F.col("uidImagePath")).alias("path"), F.lit("legacy_uid_crop").alias("alias"), F.lit("").alias("agentId"), none.alias("slotIndex"), none.alias("agentSlotIndex"), none.alias("pageIndex"))
@@ -162,3 +162,9 @@ def ingested(files: DataFrame, dimensions: DataFrame, batch: str, existing: Data
     new = new.join(dimensions, "path", "left")
     records = new.select(F.concat(source, F.lit("_record")).alias("id"), source.alias("sourceId"), "role", "path", "sha256", policy.path_locale(F.col("path")).alias("locale"), policy.resolution(F.coalesce("width", F.lit(0)), F.coalesce("height", F.lit(0))).alias("resolution"))
     return records, rejects
+
+
+def bootstrap(spark: SparkSession) -> dict[str, DataFrame]:
+    """The empty tables of a new manifest."""
+    kinds = {"meta": schemas.META, "sources": schemas.SOURCE, "records": schemas.RECORD, "splits": "record_id string, split string"}
+    return {name: spark.createDataFrame([], schema) for name, schema in kinds.items()}

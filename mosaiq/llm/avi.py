@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mosaiq.llm.common import arrow_map, slices, utf8
+from mosaiq.llm.common import arrow_map, slices, spread, utf8
 
 UNIT, BLOCKS_WIDE, BLOCKS_HIGH, FPS = 192, 16, 12, 25
 #: Payload bytes that are coded together.
@@ -378,7 +378,7 @@ def to_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for a, b in slices(texts, CHUNK):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64())[a:b], pa.array(encode(texts[a:b]), pa.binary())], names=[id_col, "media"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, media binary")
+    return arrow_map(spread(docs.select(id_col, text_col)), run, f"{id_col} long, media binary")
 
 
 def clip_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -414,4 +414,4 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([ids[a:b], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_map(spread(docs.select(id_col, text_col)), run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Texts are whole, so a batch must stay small even if every text is long.
 ARROW_ROWS = 512
+#: Estimated bytes below which a table counts as small for `spread`.
+SMALL_BYTES = 16 << 20
 #: Java form of a word: a run of anything but the ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,6 +46,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in few files goes to all cores before Python works on it; larger ones have partitions enough."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow for a function of one batch."""
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import arrow_map, small_batches, utf8, windows
+from mosaiq.llm.common import arrow_map, small_batches, spread, utf8, windows
 
 WIDTH, LEAST = 8, 5
 #: Covered words that suffice however long the item is.
@@ -182,7 +182,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             out += [(doc_id, *index.items[i][:2], n) for i, n in matches(text, index, words)]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "n_words", "covered"])
 
-    return arrow_map(rows, run, "doc_id long, item_id long, n_words long, covered long")
+    return arrow_map(spread(rows), run, "doc_id long, item_id long, n_words long, covered long")
 
 
 def broadcast_index(benchmark: DataFrame, item_col: str, text_col: str):
@@ -204,7 +204,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
         keep = [not matches(x, shared.value, words) for x in utf8(batch.column(at))]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return arrow_map(docs, run, docs.schema)
+    return arrow_map(spread(docs), run, docs.schema)
 
 
 def joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

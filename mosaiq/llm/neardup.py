@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import WordHash, arrow_map, mixed, slices, small_batches, utf8, windows, word_ids, written
+from mosaiq.llm.common import WordHash, arrow_map, mixed, slices, small_batches, spread, utf8, windows, word_ids, written
 
 #: Bytes of text that are sketched together.
 CHUNK = 1 << 20
@@ -107,7 +107,7 @@ def sketched(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str)
                 names=["doc_id", "n_shingles", "sig", "keys", "bytes8"],
             )
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_shingles long, sig binary, keys array<long>, bytes8 binary")
+    return arrow_map(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), run, "doc_id long, n_shingles long, sig binary, keys array<long>, bytes8 binary")
 
 
 def least_agreement(percent: int) -> int:

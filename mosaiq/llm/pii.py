@@ -27,7 +27,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mosaiq.llm.common import arrow_map
+from mosaiq.llm.common import arrow_map, spread
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("mail_text", "phone_local", "ip_v6", "secret")
@@ -345,7 +345,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return arrow_map(spread(docs.select(id_col, text_col)), run, f"{id_col} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -359,4 +359,4 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts.append(masked(text, found) if found else text)
         yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return arrow_map(docs, run, docs.schema)
+    return arrow_map(spread(docs), run, docs.schema)

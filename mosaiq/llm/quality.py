@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import arrow_map, train_fold, utf8
+from mosaiq.llm.common import arrow_map, spread, train_fold, utf8
 from mosaiq.llm.labelled import logistic, sample, sigmoid
 
 #: Bytes of a piece; of the samples, at most so many evenly spaced pieces of a text go into a dictionary.
@@ -106,4 +106,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(d)], names=["doc_id", "held_out", "score", "predicted", "difference"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), train_fold(F.col(id_col))[0].alias("held_out"), F.col(text_col).alias("text"))
-    return arrow_map(rows, run, "doc_id long, held_out boolean, score double, predicted int, difference double")
+    return arrow_map(spread(rows), run, "doc_id long, held_out boolean, score double, predicted int, difference double")

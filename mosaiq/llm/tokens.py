@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from mosaiq.llm.common import arrow_map
+from mosaiq.llm.common import arrow_map, spread
 
 #: Fixed value: white space as the vocabulary's pre-tokeniser knows it (the Unicode property White_Space).
 SPACE = r"\p{White_Space}"
@@ -105,4 +105,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
         counts = [tokens(x) for x in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([x > limit for x in counts], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(spread(docs.select(id_col, text_col)), run, f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean")

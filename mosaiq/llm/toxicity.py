@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import arrow_map, train_fold
+from mosaiq.llm.common import arrow_map, spread, train_fold
 from mosaiq.llm.labelled import logistic, sample, sigmoid
 
 #: Everyday words of abuse by kind.
@@ -217,7 +217,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), train_fold(F.col(id_col))[0].alias("held_out"), F.col(text_col).alias("text"))
-    return arrow_map(rows, run, "doc_id long, held_out boolean, score double, predicted int")
+    return arrow_map(spread(rows), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS, text_col: str = "text") -> DataFrame:
@@ -227,4 +227,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_cla
     def run(batch: pa.RecordBatch):
         yield batch.filter(pa.array(scorer.scores(batch.column(at).to_pylist()) < threshold))
 
-    return arrow_map(docs, run, docs.schema)
+    return arrow_map(spread(docs), run, docs.schema)

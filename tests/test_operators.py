@@ -252,6 +252,9 @@ def test_digit_segmentation():
     boxes = pixels.digit_boxes(pixels.inked(img))
     assert len(boxes) == 10 and boxes[0][0] == 2 and boxes[-1][1] == 78
     assert pixels.digit_boxes(pixels.inked(255 - img)) == boxes
+    bright = np.zeros((20, 40))
+    bright[2:18, 4:12] = bright[2:18, 20:30] = 200
+    assert pixels.glyph_boxes(pixels.inked(bright)) == [(4, 12), (20, 30)]
 
 
 def test_backfill_and_packs(spark):

@@ -104,8 +104,9 @@ def assign(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share:
         words(F.col(text_col)).alias("size"),
         *([F.struct(*[F.col(c) for c in docs.columns]).alias("carried")] if carry else []),
     )
-    # The draw: 40 bits of a hash as a number from 0 to 1.
-    base = base.withColumn("draw", F.xxhash64("doc_id", "size").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40)))
+    # The draw: the first 40 bits of a hash as a number from 0 to 1.
+    mark = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    base = base.withColumn("draw", F.conv(F.substring(F.md5(mark.cast("binary")), 1, 10), 16, 10).cast("long") / F.lit(float(1 << 40)))
     slim = written(base.select("doc_id", "source", "no_source", "size", "draw"), "sizes")
     per_source = slim.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     table = written(targets(numbered(per_source), weights, share).withColumn("buckets", F.ceil(F.col("n") / PER_BUCKET).cast("long")), "targets")

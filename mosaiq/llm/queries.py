@@ -70,7 +70,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def inverse_sql(knots: tuple[tuple[float, float], ...], share: str) -> str:
+    """The time at which a schedule has wanted a share of its words, as SQL."""
+    real = lambda x: f"{x!r}::DOUBLE"
+    whole = sum((r0 + r1) * (t1 - t0) / 2 for (t0, r0), (t1, r1) in zip(knots, knots[1:], strict=False))
+    out, done = "", 0.0
+    for (t0, r0), (t1, r1) in zip(knots, knots[1:], strict=False):
+        area, slope = f"({share} * {real(whole)} - {real(done)})", (r1 - r0) / (t1 - t0)
+        x = f"{area} / {real(r0)}" if abs(slope) < 1e-12 else f"(sqrt(greatest({real(r0 * r0)} + {real(2 * slope)} * {area}, 0.0::DOUBLE)) - {real(r0)}) / {real(slope)}"
+        done += (r0 + r1) * (t1 - t0) / 2
+        out += f" WHEN {share} * {real(whole)} <= {real(done)} THEN least({real(t1)}, greatest({real(t0)}, {real(t0)} + {x}))"
+    return f"CASE{out} ELSE {real(knots[-1][0])} END"
+
+
+#: Rounds of resharing in the twin of the mix; more than any table of sources of the tests needs.
+RESHARES = 60
+SQL_POSITION = "CASE o % {n} {whens} END".format(n=len(mix.SCHEDULES), whens=" ".join(f"WHEN {k} THEN {inverse_sql(s, '(middle / target)')}" for k, s in enumerate(mix.SCHEDULES)))
+
 ORACLES: dict[str, str] = {
+    "op1_mix": rf"""
+WITH RECURSIVE b AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+d AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 10))::BIGINT / 1099511627776::DOUBLE AS draw FROM b),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS o FROM d GROUP BY source),
+w AS (SELECT *, ([5.0, 2.0, 1.0])[o % 3 + 1]::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap FROM s),
+lv AS (SELECT 0 AS i, 0.0::DOUBLE AS level UNION ALL
+  SELECT i + 1, coalesce((SELECT ((SELECT sum(source_size) FROM w)::DOUBLE - coalesce(sum(cap) FILTER (cap < lv.level * weight), 0.0)) / nullif(sum(weight) FILTER (NOT cap < lv.level * weight), 0) FROM w), level) FROM lv WHERE i < {RESHARES}),
+t AS (SELECT w.*, least(cap, (SELECT level FROM lv WHERE i = {RESHARES}) * weight) AS target FROM w),
+m AS (SELECT d.*, source_size, o, target, sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2::DOUBLE AS middle FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN source_size > 0 AND target > middle THEN least(ceil((target - middle) / source_size)::INT, 3) ELSE 0 END AS copies FROM m)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies, CASE WHEN copies > 0 THEN {SQL_POSITION} END AS position FROM c""",
     "op6_minhash": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws

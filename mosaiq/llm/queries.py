@@ -20,7 +20,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+    return urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def inverse_sql(knots: tuple[tuple[float, float], ...], share: str) -> str:
     """The time at which a schedule has wanted a share of its words, as SQL."""
     real = lambda x: f"{x!r}::DOUBLE"
@@ -85,6 +87,40 @@ def inverse_sql(knots: tuple[tuple[float, float], ...], share: str) -> str:
     return f"CASE{out} ELSE {real(knots[-1][0])} END"
 
 
+def url_sql() -> str:
+    """The twin of the URL filter: the same counts and smoothing, order by order."""
+    k_all, sides = range(1, urls.ORDER + 1), ("good", "bad")
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    ordered = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in ordered)
+    allowed = " ".join(f"WHEN {fits(h, p)} THEN {str(a).lower()}" for h, p, a in ordered)
+    seed = " OR ".join(f"contains(host, '{w}')" for w in urls.SEEDS)
+    parts = [
+        rf"r AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
+        f"q AS (SELECT *, host || path AS text, CASE {rule} END AS rule, CASE {allowed} END AS allowed FROM r)",
+        f"u AS (SELECT text, bool_and(kind) AS kind FROM (SELECT text, CASE WHEN {seed} THEN false WHEN coalesce(allowed, true) THEN true END AS kind FROM q) GROUP BY text)",
+        f"x AS (SELECT *, ('0x' || substr(md5(text), 1, 8))::BIGINT % 5 = 0 AS held, repeat(chr(2), {urls.ORDER}) || text || chr(3) AS padded FROM u)",
+        f"c AS (SELECT text, kind, held, substr(padded, k::INT, {urls.ORDER + 1}) AS gram FROM x, range(1, length(text) + 2) t(k))",
+        "g AS (SELECT gram, count_if(NOT held AND coalesce(kind, false)) AS good, count_if(NOT held AND NOT coalesce(kind, true)) AS bad FROM c GROUP BY gram)",
+        f"l AS (SELECT substr(gram, {urls.ORDER + 1}, 1) AS gram, sum(good) AS good, sum(bad) AS bad FROM g GROUP BY 1)",
+        "z AS (SELECT 1.0::DOUBLE / (count(*) + 1) AS floor, " + ", ".join(f"sum({c}) AS n_{c}, greatest(count_if({c} > 0), 1) AS d_{c}" for c in sides) + " FROM l)",
+        "p0 AS (SELECT gram, " + ", ".join(f"({c} + d_{c} * floor) / (n_{c} + d_{c})::DOUBLE AS p_{c}" for c in sides) + " FROM l, z)",
+    ]
+    for k in k_all:
+        parts += [
+            f"h{k} AS (SELECT substr(gram, {urls.ORDER + 1 - k}, {k + 1}) AS gram, sum(good) AS good, sum(bad) AS bad FROM g GROUP BY 1)",
+            f"n{k} AS (SELECT substr(gram, 1, {k}) AS ctx, " + ", ".join(f"sum({c}) AS n_{c}, count_if({c} > 0) AS d_{c}" for c in sides) + f" FROM h{k} GROUP BY 1)",
+            f"p{k} AS (SELECT h.gram, " + ", ".join(f"CASE WHEN n_{c} > 0 THEN ({c} + d_{c} * p_{c}) / (n_{c} + d_{c})::DOUBLE ELSE p_{c} END AS p_{c}" for c in sides) + f" FROM h{k} h JOIN n{k} n ON n.ctx = substr(h.gram, 1, {k}) JOIN p{k - 1} p ON p.gram = substr(h.gram, 2, {k}))",
+        ]
+    parts += [
+        f"e AS (SELECT gram, round((ln(p_good) - ln(p_bad)) * 1000000)::BIGINT AS gain FROM p{urls.ORDER})",
+        "s AS (SELECT text, any_value(kind) AS kind, any_value(held) AS held, sum(gain) / count(*) / 1000000 AS score FROM c JOIN e USING (gram) GROUP BY text)",
+        "m AS (SELECT avg(score) FILTER (kind) AS mg, avg(score) FILTER (NOT kind) AS mb, (coalesce(var_pop(score) FILTER (kind), 0) * count_if(kind) + coalesce(var_pop(score) FILTER (NOT kind), 0) * count_if(NOT kind)) / count(*) AS v FROM s WHERE held AND kind IS NOT NULL)",
+    ]
+    verdict = "CASE WHEN coalesce(allowed, mg IS NULL OR mb IS NULL OR ((score - mg) ** 2 - (score - mb) ** 2) / (2 * greatest(v, 0.0001)) <= 0) THEN 'allow' ELSE 'block' END"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT page_id, host, path, rule, {verdict} AS verdict FROM q JOIN s USING (text), m"
+
+
 #: Rounds of resharing in the twin of the mix; more than any table of sources of the tests needs.
 RESHARES = 60
 SQL_POSITION = "CASE o % {n} {whens} END".format(n=len(mix.SCHEDULES), whens=" ".join(f"WHEN {k} THEN {inverse_sql(s, '(middle / target)')}" for k, s in enumerate(mix.SCHEDULES)))
@@ -101,6 +137,7 @@ t AS (SELECT w.*, least(cap, (SELECT level FROM lv WHERE i = {RESHARES}) * weigh
 m AS (SELECT d.*, source_size, o, target, sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2::DOUBLE AS middle FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, CASE WHEN source_size > 0 AND target > middle THEN least(ceil((target - middle) / source_size)::INT, 3) ELSE 0 END AS copies FROM m)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies, CASE WHEN copies > 0 THEN {SQL_POSITION} END AS position FROM c""",
+    "op2_url_filter": url_sql(),
     "op6_minhash": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws

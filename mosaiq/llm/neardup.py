@@ -178,16 +178,22 @@ def components(links: DataFrame) -> DataFrame:
 def leftovers(members: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
     """Distinct pairs of bucket members in different components that may reach the threshold, found in bounded blocks.
 
-    members: key, band, doc_id, comp, n_shingles, bytes8. A bucket of m members is dealt into c = ceil(m / BLOCK)
-    blocks; each pair of blocks is one group of at most about 2 * BLOCK rows, whatever the bucket holds.
+    members: key, band, doc_id, comp, n_shingles, bytes8. A bucket's largest component needs no look at itself: its rows and
+    the rest are dealt into blocks of BLOCK rows apart, and only pairs with a block of the rest are groups, each of at most
+    about 2 * BLOCK rows. So a bucket in which few rows are left open costs about as much as it has rows.
     """
     least = least_agreement(percent)
-    sized = members.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("c"))
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sized = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("m")).where("m > n_main")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sized = sized.select("key", "main", blocks(F.col("n_main")).alias("c_main"), blocks(F.col("m") - F.col("n_main")).alias("c_rest"))
     salted = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["key", "salt"])
-    dealt = dealt.withColumn("x", F.pmod(F.xxhash64("doc_id", "key"), "c").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    dealt = dealt.withColumn("p", F.least("x", "other")).withColumn("q", F.greatest("x", "other"))
+    # Blocks of the rest have the first numbers, those of the largest component the ones after.
+    in_main, draw = F.col("comp") == F.col("main"), F.xxhash64("doc_id", "key")
+    dealt = dealt.withColumn("x", F.when(in_main, F.col("c_rest") + F.pmod(draw, "c_main")).otherwise(F.pmod(draw, "c_rest")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_main, F.col("c_rest")).otherwise(F.col("c_rest") + F.col("c_main")) - 1)))
+    dealt = dealt.withColumn("p", F.least("x", "other")).withColumn("q", F.greatest("x", "other")).drop("main", "c_main", "c_rest", "salt", "other")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.frombuffer(b"".join(pdf["bytes8"]), dtype=np.uint8).reshape(len(pdf), -1)

@@ -324,7 +324,15 @@ def interval_merge(spark, sf):
     return R.merged_intervals(rows, ["k"], "a", "b")
 
 
-@query()
+#: Row by row, each user's last kept value goes along.
+SQL_SCENES = """
+WITH RECURSIVE r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+k AS (SELECT user_id, event_id, value, n, value AS last, true AS kept FROM r WHERE n = 1
+  UNION ALL SELECT r.user_id, r.event_id, r.value, r.n, CASE WHEN abs(r.value - k.last) >= 10 THEN r.value ELSE k.last END, abs(r.value - k.last) >= 10 FROM k JOIN r ON r.user_id = k.user_id AND r.n = k.n + 1)
+SELECT user_id, event_id, value FROM k WHERE kept"""
+
+
+@query(SQL_SCENES)
 def scene_filter(spark, sf):
     """Observations that differ enough from the last one kept, per user."""
     return C.scene_keepers(table(spark, sf, "events"), "user_id", "event_id", "value", 10.0)

@@ -106,9 +106,11 @@ def strict_scan(spark, sf):
     return scan.scan(s, uid, icons, seen, weapons, discs).select("sessionId", "status", "code", "uid", "agents_confidence", "equipment_confidence", F.size("agents").alias("n_agents"), F.array_join("lowConfReasons", ";").alias("reasons"))
 
 
-@query()
+@query("""
+SELECT p_partkey, list_aggregate(list_transform(string_split(regexp_replace(p_name, '^new ', ''), ' '), lambda w: upper(w[1]) || substr(w, 2)), 'string_agg', ' ') AS title, (p_size % 6 * 10 + 10)::INT AS level, 60 AS level_cap,
+  'attack_flat' AS base_key, (p_size * 10 + 100)::DOUBLE AS base_value, 'crit_rate_pct' AS advanced_key, (p_size % 30 + 1)::DOUBLE AS advanced_value FROM part""")
 def item_cards(spark, sf):
-    """Titles, levels and statistics out of recognised card texts."""
+    """Titles, levels and statistics out of recognised card texts; a badge before the title is none of it."""
     rows = table(spark, sf, "part").select("p_partkey", F.concat(F.initcap("p_name"), F.lit(" Lv. "), (F.col("p_size") % 6 * 10 + 10).cast("string"), F.lit("/60")).alias("t"), F.concat(F.lit("Base Stats Base ATK Advanced Stats Crit Rate W-Engine Effect "), (F.col("p_size") * 10 + 100).cast("string"), F.lit(" "), (F.col("p_size") % 30 + 1).cast("string"), F.lit("%")).alias("i"))
     blank = F.lit(None).cast("string")
     return rows.select("p_partkey", details.card("t", "i", blank, blank, blank).alias("c")).select("p_partkey", "c.*")

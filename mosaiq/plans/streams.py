@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mosaiq.plans.curation import SQL_SCENES
 from mosaiq.plans.registry import query
 from mosaiq.streaming import capture
 
@@ -21,7 +22,7 @@ def stream_dedup(spark, sf):
     return capture.run_to_end(stream.select("event_id"), "append", "dedup")
 
 
-@query()
+@query(SQL_SCENES)
 def stream_scene_filter(spark, sf):
     """Observations kept per user: each differs enough from the last one kept."""
     stream = capture.read_stream(spark, f"{sf}/events.parquet").select("user_id", "event_id", "value")

@@ -44,7 +44,8 @@ def kept_scenes(stream: DataFrame, key: str, order: str, value: str, least: floa
                 if (last is None or abs(v - last) >= least) and (most is None or n < most):
                     keep.append((clip[0], getattr(row, order), v))
                     last, n = float(v), n + 1
-            yield pd.DataFrame(keep, columns=[key, order, value])
+            if keep:
+                yield pd.DataFrame(keep, columns=[key, order, value])
         state.update((last, n))
 
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} long, {order} long, {value} double", "last double, n long", "append", GroupStateTimeout.NoTimeout)

@@ -69,3 +69,19 @@ def test_nothing_else_imports_the_corpus_subpackage():
     for p in (ROOT / "mosaiq").rglob("*.py"):
         if "llm" not in p.parts:
             assert "mosaiq.llm" not in p.read_text(), p
+
+
+def test_workers_without_a_path_get_the_package():
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()
+import __spark_entry__ as e
+print('ROWS', e.queries()['scene_filter'](s, '/root/testdata/sf0.001').count())
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=120)
+    assert "ROWS 8" in done.stdout, done.stderr[-2000:]

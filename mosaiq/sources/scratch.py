@@ -21,3 +21,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/mosaiq-{uuid.uuid4().hex[:12]}-{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all intermediate tables of the shared folder, and tell how many. Results that still read them must be written first."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mosaiq-*")
+    store = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in store.globStatus(pattern) or []]
+    for path in found:
+        store.delete(path, True)
+    return len(found)

@@ -141,3 +141,15 @@ def test_review_forms(spark):
 def test_capture_specs(spark):
     rows = spark.createDataFrame([("roster|p.png",), ("a| b |c|1|2|d|3",), ("a",), (None,), ("a|b||x",)], "s string").select(manifest.parse_capture_spec(F.col("s")).alias("c")).collect()
     assert [tuple(r.c) for r in rows] == [("roster", "p.png", None, None, None, None, None, ""), ("a", "b", "c", 1, 2, "d", 3, ""), ("a", None, None, None, None, None, None, "role_and_path_required"), (None, None, None, None, None, None, None, "role_and_path_required"), ("a", "b", None, None, None, None, None, "slotIndex_not_integer")]
+
+
+def test_scratch_is_cleared(spark):
+    from mosaiq.sources import scratch
+
+    kept = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"{kept}/own")
+    try:
+        df = scratch.written(spark.range(3), "x")
+        assert df.count() == 3 and scratch.clear(spark) == 1 and scratch.clear(spark) == 0
+    finally:
+        spark.conf.set("spark.checkpoint.dir", kept)

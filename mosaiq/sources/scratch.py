@@ -8,11 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that were made because none was set, by application.
+OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='mosaiq-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        # The setting can't be changed in a running session; the folder is kept for the application.
+        app = spark.sparkContext.applicationId
+        base = OWN.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='mosaiq-')}"
+        OWN[app] = base
     return base.rstrip("/")
 
 

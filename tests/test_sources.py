@@ -143,13 +143,24 @@ def test_capture_specs(spark):
     assert [tuple(r.c) for r in rows] == [("roster", "p.png", None, None, None, None, None, ""), ("a", "b", "c", 1, 2, "d", 3, ""), ("a", None, None, None, None, None, None, "role_and_path_required"), (None, None, None, None, None, None, None, "role_and_path_required"), ("a", "b", None, None, None, None, None, "slotIndex_not_integer")]
 
 
-def test_scratch_is_cleared(spark):
+def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
     from mosaiq.sources import scratch
 
-    kept = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"{kept}/own")
-    try:
-        df = scratch.written(spark.range(3), "x")
-        assert df.count() == 3 and scratch.clear(spark) == 1 and scratch.clear(spark) == 0
-    finally:
-        spark.conf.set("spark.checkpoint.dir", kept)
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    df = scratch.written(spark.range(3), "x")
+    assert df.count() == 3 and scratch.clear(spark) == 1 and scratch.clear(spark) == 0
+
+
+def test_a_folder_is_made_only_where_none_is_set(spark):
+    from mosaiq.sources import scratch
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    assert scratch.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    own = scratch.shared_dir(Session())
+    assert own.startswith("file://") and scratch.shared_dir(Session()) == own

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import small_batches, utf8, written
+from mosaiq.llm.common import batch_rows, small_batches, utf8, written
 
 #: Raw bytes after which a frame, and compressed bytes after which a bundle, is closed.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 8 << 20
@@ -188,9 +188,9 @@ def read_bundles(stored: DataFrame) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    # A bundle holds megabytes: few per batch.
-    stored.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return stored.select("data").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # A bundle holds megabytes: few per batch, whatever the session is set to when the result is used.
+    with batch_rows(stored.sparkSession, 4):
+        return written(stored.select("data").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "records")
 
 
 def archive(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
@@ -219,4 +219,5 @@ def export(stored: DataFrame, folder_uri: str) -> DataFrame:
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes, pa.int64())], names=["bundle", "size"])
 
-    return stored.select("bundle", "data").mapInArrow(run, "bundle string, size long")
+    with batch_rows(stored.sparkSession, 4):
+        return written(stored.select("bundle", "data").mapInArrow(run, "bundle string, size long"), "exported")

@@ -78,3 +78,10 @@ def test_nulls_repeats_and_no_rows(spark):
     assert [r[3:] for r in found if r[1] == 2000 and r[0] == 4] == [("revisit", 5)]
     assert [r[3:] for r in found if r[1] == 2000 and r[0] is None] == [("revisit", 5)]
     assert warc.archive(frame(spark, [])).collect() == []
+
+
+def test_batch_size_of_the_session_is_left_alone(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    found = warc.archive(frame(spark, ROWS))
+    before = spark.conf.get(name)
+    assert before != "4" and found.count() == len(ROWS) and spark.conf.get(name) == before

@@ -175,10 +175,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp"))
 
 
-def leftovers(members: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
+def leftovers(members: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of bucket members in different components that may reach the threshold, found in bounded blocks.
 
-    members: key, band, doc_id, comp, n_shingles, bytes8. A bucket's largest component needs no look at itself: its rows and
+    members: key, doc_id, comp, n_shingles, keys, bytes8. A bucket's largest component needs no look at itself: its rows and
     the rest are dealt into blocks of BLOCK rows apart, and only pairs with a block of the rest are groups, each of at most
     about 2 * BLOCK rows. So a bucket in which few rows are left open costs about as much as it has rows.
     """
@@ -198,7 +198,7 @@ def leftovers(members: DataFrame, percent: int, bands: int, rows: int) -> DataFr
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.frombuffer(b"".join(pdf["bytes8"]), dtype=np.uint8).reshape(len(pdf), -1)
         ids, comps, sizes, block = (pdf[c].to_numpy() for c in ("doc_id", "comp", "n_shingles", "x"))
-        band = int(pdf["band"].iloc[0])
+        keys, here = np.stack(pdf["keys"].to_list()), pdf["key"].iloc[0]
         same_block = pdf["p"].iloc[0] == pdf["q"].iloc[0]
         out = []
         for i in range(len(pdf)):
@@ -209,11 +209,11 @@ def leftovers(members: DataFrame, percent: int, bands: int, rows: int) -> DataFr
             if not len(at):
                 continue
             equal = grid[at] == grid[i]
-            enough = equal.sum(axis=1) >= least
-            # A pair that meets in several bands is told by the first of them.
-            met = equal[:, : bands * rows].reshape(len(at), bands, rows).all(axis=2)
-            first = met.argmax(axis=1) == band
-            out += [(ids[i], x) for x in ids[at[enough & first]]]
+            at = at[equal.sum(axis=1) >= least]
+            # A pair that meets in several buckets is told by the first of them, which only whole keys can name.
+            met = keys[at] == keys[i]
+            first = keys[i][met.argmax(axis=1)] == here
+            out += [(ids[i], x) for x in ids[at[first]]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     small_batches(members.sparkSession)
@@ -229,10 +229,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     classes = written(all_rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
     reps = all_rows.join(classes.select(F.col("rep").alias("doc_id"), "sig"), ["doc_id", "sig"], "left_semi")
     # One exchange by key serves both the counting of buckets and the choice of their members.
-    keys = reps.select("doc_id", F.posexplode("keys").alias("band", "key")).repartition("key")
+    keys = reps.select("doc_id", F.explode("keys").alias("key")).repartition("key")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("pivot <> top").select("key", "pivot")
     members = written(keys.join(shared.hint("merge"), "key"), "members")
-    info = written(reps.select("doc_id", "n_shingles", "bytes8").join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "info")
+    info = written(reps.select("doc_id", "n_shingles", "keys", "bytes8").join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "info")
     # Texts are shuffled once, those of candidates alone go further.
     texts = written(texts.join(info.select("doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
     first = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -240,10 +240,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     found = components(links)
     info = written(info.join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "labelled")
     # Only ids and labels are dealt to buckets; sketches follow for the buckets that still hold several components.
-    labelled = members.select("key", "band", "doc_id").join(info.select("doc_id", "comp").hint("merge"), "doc_id")
+    labelled = members.select("key", "doc_id").join(info.select("doc_id", "comp").hint("merge"), "doc_id")
     mixed_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     undecided = written(labelled.join(mixed_keys.hint("merge"), "key", "left_semi"), "undecided")
-    rest = leftovers(undecided.join(info.select("doc_id", "n_shingles", "bytes8").hint("merge"), "doc_id"), percent, bands, rows)
+    rest = leftovers(undecided.join(info.select("doc_id", "n_shingles", "keys", "bytes8").hint("merge"), "doc_id"), percent)
     rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest-pairs")
     more = written(confirmed(rest, texts, percent), "rest-links")
     labels = components(links.union(more)) if not more.isEmpty() else found

@@ -69,6 +69,20 @@ def test_blocks_find_what_the_star_misses(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, 80)
 
 
+def test_a_chance_agreement_in_an_earlier_band_loses_no_link(spark, monkeypatch):
+    """Two similar rows share the bucket of band 1 with an unlike pivot; in band 0 only the low bits of their coordinates agree."""
+    words = [f"t{k}" for k in range(100)]
+    rows = [(1, " ".join(f"u{k}" for k in range(100))), (2, " ".join(words)), (3, " ".join([*words[:-1], "other"]))]
+    bands, per_band = neardup.band_shape(80)
+    same, unlike = bytes(neardup.COORDINATES), b"\1" * per_band + b"\0" * per_band + b"\1" * (neardup.COORDINATES - 2 * per_band)
+    keys = {k: [1000 * k + b if b != 1 else 7 for b in range(bands)] for k in (1, 2, 3)}
+    made_up = [(k, 96, bytes([k]), keys[k], unlike if k == 1 else same) for k in (1, 2, 3)]
+    schema = "doc_id long, n_shingles long, sig binary, keys array<long>, bytes8 binary"
+    monkeypatch.setattr(neardup, "sketched", lambda *_: spark.createDataFrame(made_up, schema))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 2, 3: 2}
+
+
 def test_every_coordinate_fills_and_estimates_concentrate():
     rng = np.random.default_rng(1)
     for n in (1, 3, 50, 700):

@@ -2,7 +2,7 @@
 
 Base patterns give emails, IPv4 addresses, card numbers and international phone numbers; their matches always stay. The
 field adds what has no fixed form: spelled-out emails, local phone numbers, IPv6 addresses and secrets. Loose shapes
-propose candidate segments at token boundaries, of bounded length; features of a whole segment (lengths and separators of its
+propose candidate segments at token boundaries; features of a whole segment (lengths and separators of its
 groups, digit counts, words in and before it) score it under every type. Dynamic programming over the candidates jointly
 chooses which segments are entities, their boundaries and their types; all else is text. Weights are fitted by
 likelihood, with the forward-backward sums of the same lattice, on sentences that this module makes up from templates; no
@@ -101,13 +101,14 @@ def base_spans(text: str) -> list[Span]:
 
 # The field.
 
-MOST_CHARS, MOST_TOKENS = 96, 24
+MOST_CHARS, MOST_GROUPS = 96, 6
 SHAPES = {
-    "dot": re.compile(r"[\w.%+-]{1,48}(?:[ ._-]{0,2}[\[({<]?\s?\b(?:at|AT|At|dot|DOT|Dot)\b\s?[\])}>]?[ ._-]{0,2}[\w-]{1,32}){2,5}"),
-    "digits": re.compile(r"(?<![\w+])\(?\d{2,6}\)?(?:[ ./-]{1,2}\(?\d{2,6}\)?){1,5}(?!\w)"),
+    "dot": re.compile(r"[\w.%+-]{1,48}(?:[ ._-]{0,2}[\[({<]?\s?\b(?:at|AT|At|dot|DOT|Dot)\b\s?[\])}>]?[ ._-]{0,2}[\w-]{1,32}){2,}"),
+    "digits": re.compile(r"(?<![\w+])\(?\d{2,6}+(?!\w)\)?(?:[ ./-]{1,2}\(?\d{2,6}+(?!\w)\)?)++"),
     "colons": re.compile(r"(?<![\w:])[0-9A-Fa-f]{0,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?![\w:])"),
-    "assigned": re.compile(r"(?<=[=:])\s{0,2}[\"']?[A-Za-z0-9+/_\-]{8,64}[\"']?"),
+    "assigned": re.compile(r"(?<=[=:])\s{0,2}[\"']?[A-Za-z0-9+/_\-]{8,}[\"']?"),
 }
+GROUP = re.compile(r"\(?(?P<n>\d+)\)?")
 DOT = re.compile(r"\b[dD][oO][tT]\b")
 COLONS = re.compile(r"[0-9A-Fa-f:]:[0-9A-Fa-f]{1,4}:|::")
 ASSIGNED = re.compile(r"(?i)(?:token|passw(?:or)?d|pwd|secret|key|auth)\w{0,8}[\"']?\s{0,2}[=:]")
@@ -117,28 +118,51 @@ CUES = {"tel": "call", "phone": "call", "call": "call", "fax": "call", "mobile":
 
 
 def proposals(text: str) -> list[tuple[int, int]]:
-    """Candidate segments: matches of the loose shapes, and their parts that begin or end up to three tokens further in."""
-    areas: list[tuple[int, int]] = []
-    if DIGIT.search(text):
-        areas += [m.span() for m in SHAPES["digits"].finditer(text)]
-    for mark, shape, reach in ((DOT, "dot", MOST_CHARS), (COLONS, "colons", 48), (ASSIGNED, "assigned", 80)):
-        done = 0
-        for m in mark.finditer(text):
-            if m.start() >= done:
-                low, high = max(0, m.start() - (0 if shape == "assigned" else reach)), min(len(text), m.end() + reach)
-                spans = [x.span() for x in SHAPES[shape].finditer(text, low, high)]
-                areas += spans
-                done = max((e for _, e in spans), default=done)
+    """Candidate segments. Of a run of numbers, all that hold 2 to MOST_GROUPS of them; of a spelled-out area, all that begin
+    and end at tokens, up to MOST_CHARS; of a colon chain or an assigned value, the whole and its parts that begin or end up to
+    three tokens further in. Areas have any length."""
     out = set()
-    for a, b in set(areas):
-        if b - a > 4 * MOST_CHARS:
-            continue
+    if DIGIT.search(text):
+        for m in SHAPES["digits"].finditer(text):
+            # Starts and ends of each group, without and with its bracket.
+            groups = [({g.start(), g.start("n")}, {g.end("n"), g.end()}) for g in GROUP.finditer(text, *m.span())]
+            for k, (starts, _) in enumerate(groups):
+                out.update((x, y) for _, ends in groups[k + 1 : k + MOST_GROUPS] for x in starts for y in ends)
+    for a, b in areas(text, DOT, "dot", MOST_CHARS):
+        tokens = [t.span() for t in TOKEN.finditer(text, a, b)]
+        for k, (x, _) in enumerate(tokens):
+            for _, y in tokens[k:]:
+                if y - x > MOST_CHARS:
+                    break
+                out.add((x, y))
+    values = []
+    done = 0
+    for m in ASSIGNED.finditer(text):
+        if m.start() >= done:
+            # A value that begins near the mark is taken to its end.
+            begins = [x.start() for x in SHAPES["assigned"].finditer(text, m.start(), m.end() + 80)]
+            spans = [SHAPES["assigned"].match(text, x).span() for x in begins]
+            values += spans
+            done = max((e for _, e in spans), default=done)
+    for a, b in {*areas(text, COLONS, "colons", 48), *values}:
         tokens = [t.span() for t in TOKEN.finditer(text, a, b)]
         for s in tokens[:4]:
-            out.update((s[0], e[1]) for e in tokens[-4:] if s[0] < e[1] and e[1] - s[0] <= MOST_CHARS)
+            out.update((s[0], e[1]) for e in tokens[-4:] if s[0] < e[1])
     return sorted(out)
 
 
+def areas(text: str, mark: re.Pattern, shape: str, reach: int) -> list[tuple[int, int]]:
+    """Matches of a shape within reach of a mark; windows that touch are searched as one."""
+    near: list[list[int]] = []
+    for m in mark.finditer(text):
+        low, high = max(0, m.start() - reach), min(len(text), m.end() + reach)
+        if near and low <= near[-1][1]:
+            near[-1][1] = high
+        else:
+            near.append([low, high])
+    return [x.span() for low, high in near for x in SHAPES[shape].finditer(text, low, high)]
+
+
 def features(text: str, a: int, b: int) -> list[str]:
     """Of a whole segment; each is used with each type."""
     span = text[a:b]

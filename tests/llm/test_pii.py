@@ -53,6 +53,23 @@ def test_field_on_unseen_sentences():
     assert good / (good + extra) > 0.95 and good / (good + missed) > 0.9
 
 
+def test_every_entity_of_a_run_and_long_secrets_are_found():
+    weights = pii.trained()
+
+    def found(text):
+        return [(k, text[a:b]) for k, a, b in pii.spans_of(text, weights)[1]]
+
+    two = "call 555-123-4567 555-987-6543 now"
+    assert found(two) == [("phone_local", "555-123-4567"), ("phone_local", "555-987-6543")]
+    for many in ("10 20 30 40 555-123-4567 end", "10 20 30 40 50 60 70 80 90 10 20 30 (555) 123-4567 end"):
+        assert any(b == many.index(" end") for _, b in pii.proposals(many))
+        assert any(many[a:b].endswith("555-123-4567") or many[a:b] == "(555) 123-4567" for a, b in pii.proposals(many))
+        assert any(x.endswith("123-4567") for _, x in found(many))
+    key = "a1B2" * 22
+    assert found(f'token = "{key}" x') == [("secret", key)]
+    assert found(f"password={key * 20}, x") == [("secret", key * 20)]
+
+
 def test_decoding_is_the_best_of_all_sets():
     weights = pii.trained()
 

@@ -2,7 +2,8 @@
 
 Words are lower-cased and stripped of punctuation at their ends. Numbers, units, and names (capitalised words inside a
 sentence) become typed placeholders, so a question with other numbers or names has the same template. Windows of WIDTH
-template words of a document are looked up among those of the benchmark; a window needs more plain words than placeholders.
+template words of a document are looked up among those of the benchmark; a window needs more plain words than placeholders,
+others are looked up by their words as they stand, so that exact copies of numbers and titles match.
 Hits on one diagonal (the same shift between document and item) make up an aligned run. Its slots must be consistent: an
 item's value always stands for one value of the document, and different values of the item for different ones. A document is
 contaminated by an item when a consistent run covers at least half of the item's words, or ENOUGH of them.
@@ -42,6 +43,8 @@ NUMBER_WORDS = frozenset(b"zero one two three four five six seven eight nine ten
 #: Template ids of the placeholders; plain words have others, with the low three bits clear.
 NUM, UNIT, NAME = 8, 16, 24
 CAPITAL, ENDS, EMPTY = 1, 2, 4
+#: Keeps hashes of windows of words apart from those of templates.
+LITERAL = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words(dict):
@@ -96,13 +99,32 @@ def cut(ids: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.n
     return windows(ids, width)[good], np.flatnonzero(good)
 
 
+def cut_literal(ids: np.ndarray, slot: np.ndarray, raw: list[bytes], width: int, item: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of windows of the words themselves, where the template is too generic to be cut.
+
+    A name at the start of an item may stand inside a sentence of a document: an item's first window, and windows of a document
+    that begin with a name, are cut too.
+    """
+    if len(ids) < width or not (item or slot.any()):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    slots = np.concatenate([[0], np.cumsum(slot)])
+    need = 2 * (slots[width:] - slots[:-width]) >= width
+    need |= (np.arange(len(need)) == 0) if item else ids[: len(need)] == np.uint64(NAME)
+    if not need.any():
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    words = ids.copy()
+    for k in np.flatnonzero(slot).tolist():
+        words[k] = (value(raw[k]) | 1 << 63) & ~7
+    return windows(words, width)[need] ^ LITERAL, np.flatnonzero(need)
+
+
 class Index:
     """All windows of the benchmark, sorted by hash."""
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
         words = Words()
         self.items = []
-        rows: list[tuple[int, int, int]] = []
+        rows: list[tuple[int, int, int, bool]] = []
         self.widths = set()
         for item_id, text in items:
             ids, slot, raw = template(text, words)
@@ -111,13 +133,16 @@ class Index:
             width = min(WIDTH, len(ids))
             self.widths.add(width)
             hashes, at = cut(ids, slot, width)
-            rows += [(h, len(self.items), k) for h, k in zip(hashes.tolist(), at.tolist(), strict=True)]
+            rows += [(h, len(self.items), k, False) for h, k in zip(hashes.tolist(), at.tolist(), strict=True)]
+            hashes, at = cut_literal(ids, slot, raw, width, True)
+            rows += [(h, len(self.items), k, True) for h, k in zip(hashes.tolist(), at.tolist(), strict=True)]
             values = {int(k): value(raw[k]) for k in np.flatnonzero(slot)}
             self.items.append((item_id, len(ids), width, values))
         rows.sort()
         self.hash = np.array([r[0] for r in rows], np.uint64)
         self.item = np.array([r[1] for r in rows], np.int32)
         self.at = np.array([r[2] for r in rows], np.int32)
+        self.literal = np.array([r[3] for r in rows], bool)
 
 
 def consistent(pairs: list[tuple[int, int]]) -> bool:
@@ -126,19 +151,31 @@ def consistent(pairs: list[tuple[int, int]]) -> bool:
     return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
 
 
-def judge(hits: list[tuple[int, int, int]], items: list, raw: list[bytes]) -> list[tuple[int, int]]:
-    """(item, words covered) of the items whose best consistent run covers enough of them. hits: (item, item position, position)."""
-    runs: dict[tuple[int, int], list[int]] = {}
-    for item, p, k in hits:
-        runs.setdefault((item, k - p), []).append(p)
+def best_run(at: list[tuple[int, bool]], length: int, width: int, pairs_of) -> int:
+    """Words that the hits (item position, whether literal) of one run cover; 0 if too few or inconsistent.
+
+    Hits of templates are judged alone, with the literal ones, and the literal ones alone: no kind spoils the other's run.
+    """
+    kinds = {x for _, x in at}
+    best = 0
+    for chosen in ({False}, {True}, {False, True}) if len(kinds) == 2 else (kinds,):
+        covered = sorted({p + i for p, x in at if x in chosen for i in range(width)})
+        if len(covered) > best and len(covered) >= min(ENOUGH, length / 2) and consistent(pairs_of(covered)):
+            best = len(covered)
+    return best
+
+
+def judge(hits: list[tuple[int, int, int, bool]], items: list, raw: list[bytes]) -> list[tuple[int, int]]:
+    """(item, words covered) of the items whose best consistent run covers enough of them. hits: (item, item position, position, literal)."""
+    runs: dict[tuple[int, int], list[tuple[int, bool]]] = {}
+    for item, p, k, literal in hits:
+        runs.setdefault((item, k - p), []).append((p, literal))
     best: dict[int, int] = {}
     for (item, shift), at in runs.items():
         _, length, width, values = items[item]
-        covered = sorted({p + i for p in at for i in range(width)})
-        if len(covered) < min(ENOUGH, length / 2):
-            continue
-        if consistent([(values[p], value(raw[p + shift])) for p in covered if p in values]):
-            best[item] = max(best.get(item, 0), len(covered))
+        n = best_run(at, length, width, lambda covered: [(values[p], value(raw[p + shift])) for p in covered if p in values])  # noqa: B023
+        if n:
+            best[item] = max(best.get(item, 0), n)
     return sorted(best.items())
 
 
@@ -147,6 +184,9 @@ def matches(text: bytes, index: Index, words: Words) -> list[tuple[int, int]]:
     hits = []
     for width in index.widths:
         hashes, at = cut(ids, slot, width)
+        more, places = cut_literal(ids, slot, raw, width, False)
+        if len(more):
+            hashes, at = np.concatenate([hashes, more]), np.concatenate([at, places])
         if not len(hashes) or not len(index.hash):
             continue
         low = np.searchsorted(index.hash, hashes)
@@ -154,7 +194,7 @@ def matches(text: bytes, index: Index, words: Words) -> list[tuple[int, int]]:
         for h, k, j in zip(hashes[found].tolist(), at[found].tolist(), low[found].tolist(), strict=True):
             while j < len(index.hash) and index.hash[j] == h:
                 if index.items[index.item[j]][2] == width:
-                    hits.append((int(index.item[j]), int(index.at[j]), k))
+                    hits.append((int(index.item[j]), int(index.at[j]), k, bool(index.literal[j])))
                 j += 1
     return judge(hits, index.items, raw) if hits else []
 
@@ -217,27 +257,28 @@ def joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for row_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 ids, slot, raw = template(text, words)
                 for width in range(LEAST, WIDTH + 1) if kind == "doc" else [min(WIDTH, len(ids))] * (len(ids) >= LEAST):
-                    hashes, at = cut(ids, slot, width)
-                    for h, k in zip(hashes.astype(np.int64, casting="unsafe").tolist(), at.tolist(), strict=True):
-                        values = [value(raw[k + i]) - 2**63 if slot[k + i] else None for i in range(width)]
-                        out.append((row_id, h, k, width, len(ids), values))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=[f"{kind}_id", "h", f"{kind}_at", "width", f"{kind}_words", f"{kind}_values"])
+                    for literal, (hashes, at) in enumerate([cut(ids, slot, width), cut_literal(ids, slot, raw, width, kind == "item")]):
+                        for h, k in zip(hashes.astype(np.int64, casting="unsafe").tolist(), at.tolist(), strict=True):
+                            values = [value(raw[k + i]) - 2**63 if slot[k + i] or literal and kind == "doc" else None for i in range(width)]
+                            out.append((row_id, h, k, width, len(ids), values, bool(literal)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=[f"{kind}_id", "h", f"{kind}_at", "width", f"{kind}_words", f"{kind}_values", "literal"])
 
         return run
 
-    schema = "{0}_id long, h long, {0}_at long, width int, {0}_words long, {0}_values array<long>"
+    schema = "{0}_id long, h long, {0}_at long, width int, {0}_words long, {0}_values array<long>, literal boolean"
     left = arrow_map(docs, explode("doc"), schema.format("doc")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "doc_at"), F.lit(SALTS)).cast("int"))
     right = arrow_map(benchmark, explode("item"), schema.format("item")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = left.join(right, ["h", "width", "salt"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
+    met = left.join(right, ["h", "width", "literal", "salt"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        length, covered, pairs = int(pdf["item_words"].iloc[0]), set(), []
-        for p, w, a, b in zip(pdf["item_at"], pdf["width"], pdf["item_values"], pdf["doc_values"], strict=True):
-            covered.update(range(p, p + w))
-            pairs += [(x, y) for x, y in zip(a, b, strict=True) if x is not None and x == x]
-        ok = len(covered) >= min(ENOUGH, length / 2) and consistent(pairs)
-        return pd.DataFrame({"doc_id": pdf["doc_id"][:1], "item_id": pdf["item_id"][:1], "n_words": [length], "covered": [len(covered)]}) if ok else pd.DataFrame({"doc_id": [], "item_id": [], "n_words": [], "covered": []})
+        length, pairs = int(pdf["item_words"].iloc[0]), {}
+        for p, a, b in zip(pdf["item_at"], pdf["item_values"], pdf["doc_values"], strict=True):
+            # Arrow gives lists with nulls as floats, others as integers.
+            pairs |= {p + i: (float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and x == x}
+        at = list(zip(pdf["item_at"].tolist(), pdf["literal"].tolist(), strict=True))
+        n = best_run(at, length, int(pdf["width"].iloc[0]), lambda covered: [pairs[p] for p in covered if p in pairs])
+        return pd.DataFrame({"doc_id": pdf["doc_id"][:1], "item_id": pdf["item_id"][:1], "n_words": [length], "covered": [n]}) if n else pd.DataFrame({"doc_id": [], "item_id": [], "n_words": [], "covered": []})
 
     small_batches(docs.sparkSession)
     runs = met.groupBy("doc_id", "item_id", "shift").applyInPandas(decide, "doc_id long, item_id long, n_words long, covered long")

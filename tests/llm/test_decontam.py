@@ -67,6 +67,15 @@ def test_matches_equal_brute_force(spark, small):
     assert {1, 3, 4, 5, 8, None} <= ids and not ids & {2, 6, 7, 9, 10, 11}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_exact_copies_of_items_made_of_placeholders_match(spark, small):
+    items = [(1, "Calculate 12 + 7 * 3 - 4 / 2"), (2, "The Old Man And The Sea By Ernest Hemingway In Cuba"), (3, "Paris London Berlin Rome Vienna Oslo"), (4, ITEM), (5, "Add 3 kg and 4 kg to 5 kg and 6 kg then take 7 kg away")]
+    d = spark.createDataFrame([(k, f"some words before it {t} and some after") for k, t in items] + [(9, "Calculate 13 + 8 * 5 - 6 / 3"), (10, "some words before it Madrid London Berlin Rome Vienna Oslo")], "doc_id long, text string")
+    found = decontam.contaminated(d, spark.createDataFrame(items, "item_id long, text string"), small=small).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(k, k) for k in range(1, 6)]
+    assert all(r.covered == r.n_words for r in found if r.doc_id in (1, 2, 3))
+
+
 def test_documents_that_hold_an_item_are_found(spark, sf_dir, documents):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import arrow_map, small_batches, spread, utf8, windows
@@ -212,7 +212,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         small = small_benchmark(benchmark, item_text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if not small:
-        return joined(rows, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")))
+        # Texts meet by their own keys, so rows that share an id, or have none, are judged alone; ids follow at the end.
+        rows = rows.select("doc_id", "text", text_key("text").alias("doc_key"))
+        items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"), text_key(item_text_col).alias("item_key"))
+        found = joined(rows.select("doc_key", "text").dropDuplicates(["doc_key"]), items.select("item_key", "text").dropDuplicates(["item_key"]))
+        found = found.join(items.select("item_id", "item_key"), "item_key").join(rows.select("doc_id", "doc_key"), "doc_key")
+        return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("item_id").cast("long").alias("item_id"), "n_words", "covered")
     shared = broadcast_index(benchmark, item_col, item_text_col)
     words = Words()
 
@@ -225,6 +230,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return arrow_map(spread(rows), run, "doc_id long, item_id long, n_words long, covered long")
 
 
+def text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def broadcast_index(benchmark: DataFrame, item_col: str, text_col: str):
     items = sorted(((r[0], (r[1] or "").encode()) for r in benchmark.select(item_col, text_col).collect()), key=lambda x: (x[0] is None, x))
     return benchmark.sparkSession.sparkContext.broadcast(Index(items))
@@ -248,26 +257,29 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
 
 
 def joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The same for a benchmark of any size: windows of both sides meet in a hash join, and each document and item is judged in a group."""
+    """The same for a benchmark of any size: windows of both sides meet in a hash join, and each document and item is judged in a group.
+
+    (doc_key, item_key, n_words, covered) of distinct texts: doc_key, text and item_key, text.
+    """
     words = Words()
 
     def explode(kind: str):
         def run(batch: pa.RecordBatch):
             out = []
-            for row_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 ids, slot, raw = template(text, words)
                 for width in range(LEAST, WIDTH + 1) if kind == "doc" else [min(WIDTH, len(ids))] * (len(ids) >= LEAST):
                     for literal, (hashes, at) in enumerate([cut(ids, slot, width), cut_literal(ids, slot, raw, width, kind == "item")]):
                         for h, k in zip(hashes.astype(np.int64, casting="unsafe").tolist(), at.tolist(), strict=True):
                             values = [value(raw[k + i]) - 2**63 if slot[k + i] or literal and kind == "doc" else None for i in range(width)]
-                            out.append((row_id, h, k, width, len(ids), values, bool(literal)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=[f"{kind}_id", "h", f"{kind}_at", "width", f"{kind}_words", f"{kind}_values", "literal"])
+                            out.append((key, h, k, width, len(ids), values, bool(literal)))
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=[f"{kind}_key", "h", f"{kind}_at", "width", f"{kind}_words", f"{kind}_values", "literal"])
 
         return run
 
-    schema = "{0}_id long, h long, {0}_at long, width int, {0}_words long, {0}_values array<long>, literal boolean"
-    left = arrow_map(docs, explode("doc"), schema.format("doc")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "doc_at"), F.lit(SALTS)).cast("int"))
+    schema = "{0}_key binary, h long, {0}_at long, width int, {0}_words long, {0}_values array<long>, literal boolean"
+    left = arrow_map(docs, explode("doc"), schema.format("doc")).withColumn("salt", F.pmod(F.xxhash64("doc_key", "doc_at"), F.lit(SALTS)).cast("int"))
     right = arrow_map(benchmark, explode("item"), schema.format("item")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = left.join(right, ["h", "width", "literal", "salt"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
 
@@ -278,8 +290,8 @@ def joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             pairs |= {p + i: (float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and x == x}
         at = list(zip(pdf["item_at"].tolist(), pdf["literal"].tolist(), strict=True))
         n = best_run(at, length, int(pdf["width"].iloc[0]), lambda covered: [pairs[p] for p in covered if p in pairs])
-        return pd.DataFrame({"doc_id": pdf["doc_id"][:1], "item_id": pdf["item_id"][:1], "n_words": [length], "covered": [n]}) if n else pd.DataFrame({"doc_id": [], "item_id": [], "n_words": [], "covered": []})
+        return pd.DataFrame({"doc_key": pdf["doc_key"][:1], "item_key": pdf["item_key"][:1], "n_words": [length], "covered": [n]}) if n else pd.DataFrame({"doc_key": [], "item_key": [], "n_words": [], "covered": []})
 
     small_batches(docs.sparkSession)
-    runs = met.groupBy("doc_id", "item_id", "shift").applyInPandas(decide, "doc_id long, item_id long, n_words long, covered long")
-    return runs.groupBy("doc_id", "item_id", "n_words").agg(F.max("covered").alias("covered"))
+    runs = met.groupBy("doc_key", "item_key", "shift").applyInPandas(decide, "doc_key binary, item_key binary, n_words long, covered long")
+    return runs.groupBy("doc_key", "item_key", "n_words").agg(F.max("covered").alias("covered"))

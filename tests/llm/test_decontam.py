@@ -76,6 +76,16 @@ def test_exact_copies_of_items_made_of_placeholders_match(spark, small):
     assert all(r.covered == r.n_words for r in found if r.doc_id in (1, 2, 3))
 
 
+def test_rows_that_share_ids_are_judged_alone_on_both_paths(spark):
+    docs, items = cases()
+    texts = [t for _, t in docs]
+    halves = [" ".join(items[1][1].split()[:9]), " ".join(items[1][1].split()[9:])]
+    d = spark.createDataFrame([*((1, t) for t in texts), *((None, t) for t in texts), *((2, t) for t in halves), docs[2], docs[2]], "doc_id long, text string")
+    b = spark.createDataFrame([*((7, t) for _, t in items), (None, items[1][1]), items[4], items[4]], "item_id long, text string")
+    one, other = (sorted(map(str, decontam.contaminated(d, b, small=small).collect())) for small in (True, False))
+    assert one == other and len(one) > len(set(one))
+
+
 def test_documents_that_hold_an_item_are_found(spark, sf_dir, documents):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]

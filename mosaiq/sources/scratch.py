@@ -13,8 +13,11 @@ OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without and gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # The setting can't be changed in a running session; the folder is kept for the application.
         app = spark.sparkContext.applicationId
         base = OWN.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='mosaiq-')}"
@@ -23,10 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a step to the shared folder and read it back: lineage ends there, and a lost executor costs no rework."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mosaiq-{uuid.uuid4().hex[:12]}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` returned and that no later step reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> int:

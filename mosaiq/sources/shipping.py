@@ -30,10 +30,27 @@ def ship_code(spark: SparkSession) -> None:
     context._mosaiq_shipped = True
 
 
-def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_code(spark)
-        return query(spark, sf_dir)
+#: Bytes of the batches in which rows go to Python; Spark's own bound is far higher.
+BATCH_BYTES = 2 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """What an application does once with its session: executors get the package, and rows go to Python in small batches.
+
+    Operators leave the session's settings alone, and are right under any.
+    """
+    ship_code(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, preparing the session first."""
+
+    def run(spark: SparkSession, *args) -> DataFrame:
+        prepare(spark)
+        return query(spark, *args)
 
     run.__name__, run.__doc__ = getattr(query, "__name__", "query"), query.__doc__
     return run

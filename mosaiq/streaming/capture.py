@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mosaiq.sources.scratch import shared_dir, written
+from mosaiq.sources.scratch import shared_dir
 
 
 def read_stream(spark: SparkSession, path: str, time: str = "ts", per_trigger: int = 1) -> DataFrame:
@@ -51,22 +52,24 @@ def kept_scenes(stream: DataFrame, key: str, order: str, value: str, least: floa
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} long, {order} long, {value} double", "last double, n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run over what is there, then read the result as a table. Each batch is written once to the shared folder; in complete mode
-    the last one is the result."""
+def run_to_end(stream: DataFrame, mode: str, name: str, run: str | None = None) -> DataFrame:
+    """Run over what is there, then read the result as a table.
+
+    Batches and the stream's progress lie in one folder of the shared folder, by name and run. With the same `run`, a run that
+    was cut short goes on where it stopped: a batch's folder is overwritten if the batch is tried again, so none counts
+    twice. In complete mode the last batch is the result.
+    """
     spark = stream.sparkSession
-    parts: dict[int, DataFrame] = {}
+    folder = f"{shared_dir(spark)}/mosaiq-stream-{name}-{run or uuid.uuid4().hex[:12]}"
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        parts[epoch] = written(batch, f"{name}-{epoch}")
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{epoch:09d}")
 
-    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{shared_dir(spark)}/stream-{name}-{id(parts)}-{abs(hash(stream))}")
+    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/progress")
     writer.trigger(availableNow=True).start().awaitTermination()
-    if not parts:
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch-*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    paths = sorted(str(s.getPath()) for s in found or [])
+    if not paths:
         return spark.createDataFrame([], stream.schema)
-    if mode == "complete":
-        return parts[max(parts)]
-    out = parts[min(parts)]
-    for epoch in sorted(parts)[1:]:
-        out = out.unionByName(parts[epoch])
-    return out
+    return spark.read.schema(stream.schema).parquet(*(paths[-1:] if mode == "complete" else paths))

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch. Texts are whole, so a batch must stay small even if every text is long.
-ARROW_ROWS = 512
+from mosaiq.sources.scratch import discard, shared_dir, written  # noqa: F401 (the operators take them from here)
+
+#: Rows and bytes of whole texts that a worker takes at a time; Spark bounds the bytes of the batches that it sends.
+PART_ROWS, PART_BYTES = 512, 8 << 20
+#: A key with more than one PARTS-th of all rows is dealt into copies; there are fewer than PARTS such keys.
+PARTS = 4096
 #: Estimated bytes below which a table counts as small for `spread`.
 SMALL_BYTES = 16 << 20
 #: Java form of a word: a run of anything but the ASCII blanks.
@@ -25,61 +26,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-#: Folders that were made because none was set, by application.
-OWN: dict[str, str] = {}
-
-
-@contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within, Arrow batches hold at most so many rows. The plan must also run within, so callers write its result."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in few files goes to all cores before Python works on it; larger ones have partitions enough."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        # The setting can't be changed in a running session; the folder is kept for the application.
-        app = spark.sparkContext.applicationId
-        base = OWN.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='mosaiq-')}"
-        OWN[app] = base
-    return base.rstrip("/")
+def salted(rows: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with `salt`, hot keys with their copies), for a join that no frequent key overloads. rows: a written table."""
+    most = rows.count() // PARTS + 1
+    hot = written(rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("copies")).where("copies > 1"), "hot")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("copies", F.lit(1))).cast("int"))
+    return dealt.drop("copies"), hot
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder and read it back: lineage ends there, and a lost executor costs no rework."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mosaiq-{uuid.uuid4().hex[:12]}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def copied(table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """The other side of that join: a row per copy of its key."""
+    both = table.join(F.broadcast(hot), key, "left")
+    return both.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small table in few files goes to all cores before Python works on it; larger ones have partitions enough."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to few rows; a single row may be longer than the bound."""
+    for batch in batches:
+        n = batch.num_rows
+        rows = max(1, min(PART_ROWS, n * PART_BYTES // max(batch.nbytes, 1)))
+        for start in range(0, n, rows):
+            yield batch.slice(start, rows)
 
 
 def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch."""
+    """mapInArrow for a function of one batch, which gets few rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from per_batch(batch)
+        for part in parts(batches):
+            yield from per_batch(part)
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

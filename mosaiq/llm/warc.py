@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import batch_rows, small_batches, utf8, written
+from mosaiq.llm.common import parts, utf8, written
 
 #: Raw bytes after which a frame, and compressed bytes after which a bundle, is closed.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 8 << 20
@@ -152,7 +152,7 @@ def bundles(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
             name = hashlib.sha1(data).hexdigest()
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary()), pa.array([[{"page_id": p, "frame": f, "offset": o} for p, f, o in spots]], pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64())])))], names=["bundle", "data", "records"])
 
-        for batch in batches:
+        for batch in parts(batches):
             ids, urls, digests, agains, lasts = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
             for p, url, html, digest, again, last in zip(ids, urls, utf8(batch.column(2)), digests, agains, lasts, strict=True):
                 spots.append((p, *bundle.add(record(p, url, "revisit" if again else "response", html, digest, len(html), last))))
@@ -162,7 +162,6 @@ def bundles(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
         if spots:
             yield closed()
 
-    small_batches(pages.sparkSession)
     return rows.mapInArrow(run, "bundle string, data binary, records array<struct<page_id:long, frame:int, offset:long>>")
 
 
@@ -174,7 +173,8 @@ def read_bundles(stored: DataFrame) -> DataFrame:
         decoder = zstandard.ZstdDecompressor()
         number = lambda x: int(x[10:-1]) if len(x) > 11 else None  # noqa: E731  <urn:page:7>
         for batch in batches:
-            for data in batch.column(0).to_pylist():
+            # One bundle at a time is taken out of the batch, whose bytes Spark bounds.
+            for data in (x.as_py() for x in batch.column(0)):
                 for at, packed, raw in seek_table(data):
                     rows = []
                     for _, head, block in parse(decoder.decompress(data[at : at + packed], max_output_size=max(raw, 1))):
@@ -188,9 +188,7 @@ def read_bundles(stored: DataFrame) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    # A bundle holds megabytes: few per batch, whatever the session is set to when the result is used.
-    with batch_rows(stored.sparkSession, 4):
-        return written(stored.select("data").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "records")
+    return written(stored.select("data").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "records")
 
 
 def archive(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
@@ -211,7 +209,7 @@ def export(stored: DataFrame, folder_uri: str) -> DataFrame:
         store.create_dir(base, recursive=True)
         for batch in batches:
             names, sizes = batch.column(0).to_pylist(), []
-            for name, data in zip(names, batch.column(1).to_pylist(), strict=True):
+            for name, data in zip(names, (x.as_py() for x in batch.column(1)), strict=True):
                 part = f"{base}/.{name}-{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
                     out.write(data)
@@ -219,5 +217,4 @@ def export(stored: DataFrame, folder_uri: str) -> DataFrame:
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes, pa.int64())], names=["bundle", "size"])
 
-    with batch_rows(stored.sparkSession, 4):
-        return written(stored.select("bundle", "data").mapInArrow(run, "bundle string, size long"), "exported")
+    return written(stored.select("bundle", "data").mapInArrow(run, "bundle string, size long"), "exported")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from mosaiq.llm import decontam
+from mosaiq.llm import common, decontam
 
 
 def brute(docs, items):
@@ -23,9 +23,12 @@ def brute(docs, items):
                     k = p + shift
                     if 0 <= k <= len(ids) - width and list(ids[k : k + width]) == list(want[p : p + width]) and 2 * sum(want_slot[p : p + width]) < width:
                         covered |= set(range(p, p + width))
-                pairs = [(decontam.value(want_raw[p]), decontam.value(raw[p + shift])) for p in covered if want_slot[p]]
-                if len(covered) >= min(decontam.ENOUGH, n / 2) and len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(set(pairs)):
-                    best = max(best, len(covered))
+                at = sorted(covered)
+                for i in range(len(at)):
+                    for j in range(i + 1, len(at) + 1):
+                        pairs = {(decontam.value(want_raw[p]), decontam.value(raw[p + shift])) for p in at[i:j] if want_slot[p]}
+                        if len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs) and j - i >= max(width, min(decontam.ENOUGH, n / 2)):
+                            best = max(best, j - i)
             if best:
                 out.append((doc_id, item_id, n, best))
     return sorted(out, key=str)
@@ -37,7 +40,7 @@ ITEM = "If Anna buys 12 apples and Bob buys 7 apples then how many apples do Ann
 def cases():
     rng = random.Random(4)
     word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]) + str(rng.randrange(60)).translate(str.maketrans("0123456789", "abcdefghij"))
-    items = [(1, ITEM), (2, " ".join(word() for _ in range(20))), (3, "one short"), (4, None), (5, " ".join(word() for _ in range(6))), (6, " ".join(word() for _ in range(30)))]
+    items = [(1, ITEM), (2, " ".join(word() for _ in range(20))), (3, "one short"), (4, None), (5, " ".join(word() for _ in range(6))), (6, " ".join(word() for _ in range(30))), (7, "we add 3 apples to 3 pears and 3 plums then take 3 figs and 3 dates away now")]
     noise = lambda n: " ".join(word() for _ in range(n))
     docs = [
         (1, f"{noise(30)}. If Carl buys 31 apples and Dora buys 9 apples then how many apples do Carl and Dora have after 31 days. {noise(20)}"),
@@ -51,6 +54,8 @@ def cases():
         (9, None),
         (10, ""),
         (11, "one short " * 30),
+        (12, "we add 4 apples to 5 pears and 6 plums then take 7 figs and 8 dates away now"),
+        (13, "we add 4 apples to 4 pears and 4 plums then take 4 figs and 9 dates away now"),
         (None, items[1][1]),
     ]
     return docs, items
@@ -64,7 +69,9 @@ def test_matches_equal_brute_force(spark, small):
     found = sorted((tuple(r) for r in decontam.contaminated(d, b, small=small).collect()), key=str)
     assert found == sorted(brute(docs, items), key=str)
     ids = {r[0] for r in found}
-    assert {1, 3, 4, 5, 8, None} <= ids and not ids & {2, 6, 7, 9, 10, 11}
+    assert {1, 3, 4, 5, 8, 13, None} <= ids and not ids & {6, 7, 9, 10, 11, 12}
+    # All but what the one name, or number, that breaks the mapping cuts off.
+    assert [r for r in found if r[0] == 2] == [(2, 1, 22, 19)] and [r[3] for r in found if r[0] == 13] == [15]
 
 
 @pytest.mark.parametrize("small", [True, False])
@@ -99,10 +106,14 @@ def test_documents_that_hold_an_item_are_found(spark, sf_dir, documents):
 
 def test_large_benchmark_path_of_the_filter(spark, monkeypatch):
     docs, items = cases()
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(*r, 7, b"k", 3) for r in [*docs, docs[5], docs[5]]], "doc_id long, text string, mosaiq_row int, key binary, row int")
+    b = spark.createDataFrame(items, "item_id long, text string")
     one = sorted(map(str, decontam.clean_documents(d, b).collect()))
     monkeypatch.setattr(decontam, "MOST_BROADCAST", 0)
-    assert sorted(map(str, decontam.clean_documents(d, b).collect())) == one
+    monkeypatch.setattr(common, "PARTS", 5)
+    other = decontam.clean_documents(d, b)
+    assert other.schema == d.schema and sorted(map(str, other.collect())) == one
+    assert all("mosaiq_row=7" in x for x in one) and sum("doc_id=6" in x for x in one) == 3
 
 
 def test_hard_inputs(spark, hard, empty):
@@ -112,3 +123,17 @@ def test_hard_inputs(spark, hard, empty):
     assert sorted((r.doc_id, r.item_id or 0) for r in decontam.contaminated(hard, some).collect()) == [(1, 1), (1, 1), (6, 0)]
     assert decontam.clean_documents(hard, some).count() == hard.count() - 3
     assert decontam.clean_documents(hard, none).schema == hard.schema
+
+
+def test_longest_stretch_equals_all_parts():
+    rng = random.Random(6)
+    for _ in range(400):
+        covered = sorted(rng.sample(range(30), rng.randint(1, 20)))
+        pairs = {p: (rng.randint(1, 3), rng.randint(1, 3)) for p in covered if rng.random() < 0.5}
+        best = 0
+        for i in range(len(covered)):
+            for j in range(i + 1, len(covered) + 1):
+                held = {pairs[p] for p in covered[i:j] if p in pairs}
+                if len({a for a, _ in held}) == len({b for _, b in held}) == len(held):
+                    best = max(best, j - i)
+        assert decontam.stretch(covered, pairs) == best

@@ -10,7 +10,7 @@ n / PER_BUCKET buckets by hash; sums of buckets are added up per source, documen
 from one small table with a row per source; only scalars of it come to the driver.
 
 Defined results: null texts have size 0; null sources count as one source, last in order; null ids are ordinary
-values; repeated rows are documents of their own; other columns are carried only if asked for. An empty table, or one
+values, as draws and ties go by a hash of id and text; rows repeated in both are documents of their own that stand next to each other; other columns are carried only if asked for. An empty table, or one
 without words, takes nothing and has targets 0.
 """
 
@@ -95,19 +95,19 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
 
 
 def assign(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, schedules: tuple = SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, positions (one per copy, ascending by copy); with carry, also the struct
+    """doc_id, size, source_size, target, taken, copies, mark (hash of id and text), positions (one per copy, ascending by copy); with carry, also the struct
     `carried` of all columns of docs, whatever their names."""
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(source_col), F.lit("")).alias("source"),
         F.col(source_col).isNull().alias("no_source"),
         words(F.col(text_col)).alias("size"),
-        *([F.struct(*[F.col(c) for c in docs.columns]).alias("carried")] if carry else []),
+        F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))).cast("binary")).alias("mark"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] if carry else []),
     )
-    # The draw: the first 40 bits of a hash as a number from 0 to 1.
-    mark = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
-    base = base.withColumn("draw", F.conv(F.substring(F.md5(mark.cast("binary")), 1, 10), 16, 10).cast("long") / F.lit(float(1 << 40)))
-    slim = written(base.select("doc_id", "source", "no_source", "size", "draw"), "sizes")
+    # The draw: the first 40 bits of a hash of id and text as a number from 0 to 1; the whole hash orders what draws alike.
+    base = base.withColumn("draw", F.conv(F.substring("mark", 1, 10), 16, 10).cast("long") / F.lit(float(1 << 40))).withColumn("mark", F.unhex("mark"))
+    slim = written(base.select("doc_id", "source", "no_source", "size", "draw", "mark"), "sizes")
     per_source = slim.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     table = written(targets(numbered(per_source), weights, share).withColumn("buckets", F.ceil(F.col("n") / PER_BUCKET).cast("long")), "targets")
     key = ["no_source", "source"]
@@ -119,7 +119,7 @@ def assign(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share:
     before = F.coalesce(F.sum("words").over(W.partitionBy(*key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(*key, "bucket", before.alias("before"))
     rows = (base if carry else slim).join(table, key).withColumn("bucket", bucket).join(starts, [*key, "bucket"])
-    own = W.partitionBy(*key, "bucket").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = W.partitionBy(*key, "bucket").orderBy("draw", "mark").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("middle", F.col("before") + F.sum("size").over(own) - F.col("size") / 2)
     copies = F.ceil((F.col("target") - F.col("middle")) / F.col("source_size")).cast("int")
     copies = F.when((F.col("source_size") > 0) & (F.col("target") > F.col("middle")), F.least(copies, F.lit(MOST_COPIES))).otherwise(0)
@@ -133,18 +133,18 @@ def assign(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share:
         return F.when(F.col("copies") > epoch, out)
 
     positions = F.array_compact(F.array(*[position(e) for e in range(MOST_COPIES)]))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", positions.alias("positions"), *(["carried"] if carry else []))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "mark", positions.alias("positions"), *(["carried"] if carry else []))
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
     """One row per document, range-sorted by the position of its first copy; documents that aren't taken come last."""
     rows = assign(docs, **how).withColumn("position", F.try_element_at("positions", F.lit(1)))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").orderBy(F.col("position").asc_nulls_last(), F.xxhash64("doc_id"), "doc_id")
+    return rows.orderBy(F.col("position").asc_nulls_last(), "mark").select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
 
 
 def curriculum(docs: DataFrame, **how) -> DataFrame:
     """The training order: all columns of docs, copy (from 0) and position, one row per copy taken, range-sorted by position.
     Columns of docs that are named copy or position give way to these."""
-    rows = assign(docs, carry=True, **how).select("doc_id", "carried", F.posexplode("positions").alias("copy", "position"))
-    rows = rows.orderBy("position", F.xxhash64("doc_id"), "copy")
-    return rows.select(*[F.col(f"carried.{c}").alias(c) for c in docs.columns if c not in ("copy", "position")], "copy", "position")
+    rows = assign(docs, carry=True, **how).select("mark", "carried", F.posexplode("positions").alias("copy", "position"))
+    rows = rows.orderBy("position", "mark", "copy")
+    return rows.select(*[F.col(f"carried.`{c}`").alias(c) for c in docs.columns if c not in ("copy", "position")], "copy", "position")

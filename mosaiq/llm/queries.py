@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mosaiq.llm import avi, decontam, mix, neardup, pii, quality, tokens, toxicity, urls, warc
 from mosaiq.llm.common import table
@@ -20,7 +21,8 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    out = urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+    return out.withColumns({c: F.round(c, 4) + 0.0 for c in ("score", "p_reject")})
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +98,8 @@ def url_sql() -> str:
     allowed = " ".join(f"WHEN {fits(h, p)} THEN {str(a).lower()}" for h, p, a in ordered)
     seed = " OR ".join(f"contains(host, '{w}')" for w in urls.SEEDS)
     parts = [
-        rf"r AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
-        f"q AS (SELECT *, host || path AS text, CASE {rule} END AS rule, CASE {allowed} END AS allowed FROM r)",
+        rf"r AS (SELECT page_id, coalesce(url, '') AS text, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
+        f"q AS (SELECT *, CASE {rule} END AS rule, CASE {allowed} END AS allowed FROM r)",
         f"u AS (SELECT text, bool_and(kind) AS kind FROM (SELECT text, CASE WHEN {seed} THEN false WHEN coalesce(allowed, true) THEN true END AS kind FROM q) GROUP BY text)",
         f"x AS (SELECT *, ('0x' || substr(md5(text), 1, 8))::BIGINT % 5 = 0 AS held, repeat(chr(2), {urls.ORDER}) || text || chr(3) AS padded FROM u)",
         f"c AS (SELECT text, kind, held, substr(padded, k::INT, {urls.ORDER + 1}) AS gram FROM x, range(1, length(text) + 2) t(k))",
@@ -117,8 +119,10 @@ def url_sql() -> str:
         "s AS (SELECT text, any_value(kind) AS kind, any_value(held) AS held, sum(gain) / count(*) / 1000000 AS score FROM c JOIN e USING (gram) GROUP BY text)",
         "m AS (SELECT avg(score) FILTER (kind) AS mg, avg(score) FILTER (NOT kind) AS mb, (coalesce(var_pop(score) FILTER (kind), 0) * count_if(kind) + coalesce(var_pop(score) FILTER (NOT kind), 0) * count_if(NOT kind)) / count(*) AS v FROM s WHERE held AND kind IS NOT NULL)",
     ]
-    verdict = "CASE WHEN coalesce(allowed, mg IS NULL OR mb IS NULL OR ((score - mg) ** 2 - (score - mb) ** 2) / (2 * greatest(v, 0.0001)) <= 0) THEN 'allow' ELSE 'block' END"
-    return "WITH " + ",\n".join(parts) + f"\nSELECT page_id, host, path, rule, {verdict} AS verdict FROM q JOIN s USING (text), m"
+    p_reject = "CASE WHEN mg IS NULL OR mb IS NULL THEN 0.0::DOUBLE ELSE 1 / (1 + exp(-greatest(least(((score - mg) ** 2 - (score - mb) ** 2) / (2 * greatest(v, 0.0001)), 35.0::DOUBLE), -35.0::DOUBLE))) END"
+    parts += [f"j AS (SELECT q.*, score, {p_reject} AS p_reject FROM q JOIN s USING (text), m)"]
+    verdict = "CASE WHEN coalesce(allowed, p_reject <= 0.5) THEN 'allow' ELSE 'block' END"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT page_id, host, path, rule, {verdict} AS verdict, round(score, 4) + 0.0::DOUBLE AS score, round(p_reject, 4) + 0.0::DOUBLE AS p_reject FROM j"
 
 
 #: Rounds of resharing in the twin of the mix; more than any table of sources of the tests needs.
@@ -127,14 +131,14 @@ SQL_POSITION = "CASE o % {n} {whens} END".format(n=len(mix.SCHEDULES), whens=" "
 
 ORACLES: dict[str, str] = {
     "op1_mix": rf"""
-WITH RECURSIVE b AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-d AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 10))::BIGINT / 1099511627776::DOUBLE AS draw FROM b),
+WITH RECURSIVE b AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS mark FROM documents),
+d AS (SELECT *, ('0x' || substr(mark, 1, 10))::BIGINT / 1099511627776::DOUBLE AS draw FROM b),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS o FROM d GROUP BY source),
 w AS (SELECT *, ([5.0, 2.0, 1.0])[o % 3 + 1]::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap FROM s),
 lv AS (SELECT 0 AS i, 0.0::DOUBLE AS level UNION ALL
   SELECT i + 1, coalesce((SELECT ((SELECT sum(source_size) FROM w)::DOUBLE - coalesce(sum(cap) FILTER (cap < lv.level * weight), 0.0)) / nullif(sum(weight) FILTER (NOT cap < lv.level * weight), 0) FROM w), level) FROM lv WHERE i < {RESHARES}),
 t AS (SELECT w.*, least(cap, (SELECT level FROM lv WHERE i = {RESHARES}) * weight) AS target FROM w),
-m AS (SELECT d.*, source_size, o, target, sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2::DOUBLE AS middle FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+m AS (SELECT d.*, source_size, o, target, sum(size) OVER (PARTITION BY d.source ORDER BY draw, mark ROWS UNBOUNDED PRECEDING) - size / 2::DOUBLE AS middle FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, CASE WHEN source_size > 0 AND target > middle THEN least(ceil((target - middle) / source_size)::INT, 3) ELSE 0 END AS copies FROM m)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies, CASE WHEN copies > 0 THEN {SQL_POSITION} END AS position FROM c""",
     "op2_url_filter": url_sql(),

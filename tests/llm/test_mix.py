@@ -77,3 +77,14 @@ def test_hard_inputs(hard, empty):
     order = mix.curriculum(hard)
     assert sorted(order.columns) == sorted(hard.columns) and all(r.size == 1 for r in order.collect())
     assert mix.curriculum(empty).collect() == []
+
+
+def test_rows_without_ids_are_dealt_apart_and_reruns_agree(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(5)) for k in range(60)]
+    rows = [(None, t, "s") for t in texts] + [(1, "a b c", "s"), (1, "a b c", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = mix.assign(df)
+    assert one.select("mark").distinct().count() == 61
+    order = [(r.text, r.copy, r.position) for r in mix.curriculum(df).collect()]
+    other = [(r.text, r.copy, r.position) for r in mix.curriculum(df.orderBy(F.desc("text")).repartition(7)).collect()]
+    assert order == other and len({p for _, _, p in order}) == len(order)

@@ -5,14 +5,18 @@ p_k(c | ctx) = (n(ctx, c) + d(ctx) * p_{k-1}(c | shorter ctx)) / (n(ctx) + d(ctx
 characters seen after ctx. A URL's score is the mean over its characters of ln p_accepted - ln p_rejected. Held-out URLs of
 both kinds calibrate it: normal curves of one width about the two kinds' mean scores give the probability of rejection.
 
-URLs to learn from: those whose host holds a word of a seed list are rejected ones; those without such a word that no rule
-blocks are accepted ones. Counts cover all of them; one fold of five only calibrates.
-
-Plan: distinct URLs are cut into windows of ORDER + 1 characters; windows are counted once, and all lower orders are sums
-of those counts. Scores of distinct windows are joined back in SALTS copies, so a window that every URL holds is spread.
-
-Defined results: a null URL, or one without ://, has an empty host and path and no rule; its verdict is the model's of an
-empty string; without URLs of both kinds the model allows all. Repeated rows each get a row; extra columns are not read.
+The model reads the whole URL: scheme, host, path, query and fragment. URLs to learn from: those whose host holds a word of a
+seed list are rejected ones; those without such a word that no rule blocks are accepted ones. Counts cover all of them; one
+fold of five only calibrates.
+
+Plan: distinct URLs get a number and are cut once into windows of ORDER + 1 characters, which are written with that number;
+windows are counted, and all lower orders are sums of those counts. Scores of distinct windows meet the written windows
+again. A window that holds more than one PARTS-th of all of them is dealt into salted copies; there are at most PARTS of these.
+
+Defined results: a null URL is judged as an empty one; a URL without :// has an empty host and path and no rule, and is
+judged by all its characters; without URLs of both kinds the model allows all. The characters 2 and 3, which URLs cannot
+hold, count as what pads a URL. Time is linear in a URL's length. Ids may have any type, be null and repeat: each row gets
+a row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,10 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import written
+from mosaiq.llm.common import PARTS, discard, spread, written
 
 ORDER = 4
-SALTS = 16
 #: Words of hosts that are taken as rejected to learn from.
 SEEDS = ("spam", "pills", "casino", "adult", "porn", "xxx", "viagra", "bets", "ads-", "tracker", "malware", "phish", "warez")
 #: Padding before and after a URL; both are characters that URLs cannot hold.
@@ -49,9 +52,13 @@ def ruled(host_col: Column, path_col: Column, rules: list[tuple[str, str, bool]]
 
 
 def window_list(text: Column) -> Column:
-    """All windows of ORDER + 1 characters of a padded text."""
+    """All windows of ORDER + 1 characters of a padded text. Characters are cut apart once, as to find the k-th takes k steps."""
     padded = F.concat(F.lit(START * ORDER), text, F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda k: F.substring(padded, k, F.lit(ORDER + 1)))
+    letters = F.regexp_extract_all(padded, F.lit("(?s)."), F.lit(0))
+    out = F.slice(letters, 1, F.length(text) + 1)
+    for k in range(1, ORDER + 1):
+        out = F.zip_with(out, F.slice(letters, k + 1, F.length(text) + 1), lambda x, y: F.concat(x, y))
+    return out
 
 
 def window_scores(windows: DataFrame) -> DataFrame:
@@ -71,17 +78,24 @@ def window_scores(windows: DataFrame) -> DataFrame:
     return lower.select("gram", (F.ln("p_good") - F.ln("p_bad")).alias("gain"))
 
 
-def model_scores(urls: DataFrame, learn: Column, kind: Column) -> DataFrame:
-    """text, score of distinct texts. urls: text (distinct); kind: true accepted, false rejected, null neither; learn: may be counted."""
-    cut = urls.select("text", kind.alias("kind"), learn.alias("learn"), F.explode(window_list(F.col("text"))).alias("gram"))
-    counted = cut.groupBy("gram").agg(F.count_if(F.col("learn") & F.col("kind")).alias("good"), F.count_if(F.col("learn") & ~F.col("kind")).alias("bad"))
-    gains = written(window_scores(written(counted, "url-windows")), "url-gains")
-    gains = gains.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    per_text = cut.groupBy("text", "gram").agg(F.count("*").alias("times")).withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+def model_scores(urls: DataFrame) -> DataFrame:
+    """n, score. urls: n (unique number), text, learn (may be counted), kind (true accepted, false rejected, null neither)."""
+    cut = spread(urls).select("n", F.when(F.col("learn"), F.col("kind")).alias("kind"), F.explode(window_list(F.col("text"))).alias("gram"))
+    cut = written(cut, "url-cut")
+    counted = written(cut.groupBy("gram").agg(F.count_if("kind").alias("good"), F.count_if(~F.col("kind")).alias("bad"), F.count("*").alias("times")), "url-windows")
+    total = counted.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    most = total // PARTS + 1
+    gains = window_scores(counted).join(counted.select("gram", F.ceil(F.col("times") / most).cast("int").alias("copies")), "gram")
+    gains = written(gains.withColumn("gain", F.round(F.col("gain") * 1_000_000).cast("long")), "url-gains")
+    # At most PARTS windows are that frequent.
+    hot = F.broadcast(gains.where("copies > 1").select("gram", "copies"))
+    salted = gains.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("gram", "salt", "gain")
+    dealt = cut.join(hot, "gram", "left").select("n", "gram", F.pmod(F.xxhash64("n"), F.coalesce("copies", F.lit(1))).cast("int").alias("salt"))
     # Sums of fixed-point gains don't depend on the order of rows.
-    gain = F.round(F.col("gain") * 1_000_000).cast("long") * F.col("times")
-    summed = per_text.join(gains, ["gram", "salt"]).groupBy("text").agg(F.sum(gain).alias("gain"), F.sum("times").alias("n"))
-    return summed.select("text", (F.col("gain") / F.col("n") / 1_000_000).alias("score"))
+    summed = dealt.join(salted, ["gram", "salt"]).groupBy("n").agg(F.sum("gain").alias("gain"), F.count("*").alias("windows"))
+    out = written(summed.select("n", (F.col("gain") / F.col("windows") / 1_000_000).alias("score")), "url-sums")
+    discard(cut, counted, gains)
+    return out
 
 
 def rejection(scores: DataFrame) -> Column | None:
@@ -97,17 +111,19 @@ def rejection(scores: DataFrame) -> Column | None:
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, bool]], seeds: tuple[str, ...] = SEEDS, most: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score and p_reject of each row. A URL without a rule is blocked if p_reject > most."""
-    rows = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(url_col, F.lit("")).alias("text"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     rule, allowed = ruled(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("allowed", allowed).withColumn("text", F.concat("host", "path"))
+    rows = rows.withColumn("rule", rule).withColumn("allowed", allowed)
     seed = F.lit(False)
     for s in seeds:
         seed = seed | F.contains(F.col("host"), F.lit(s))
-    # The rules' and seeds' answers are functions of host and path; texts that two pairs share take one of them.
-    urls = written(rows.select("text", F.when(seed, F.lit(False)).when(F.coalesce("allowed", F.lit(True)), F.lit(True)).alias("kind")).groupBy("text").agg(F.min("kind").alias("kind")), "urls")
+    kind = F.when(seed, F.lit(False)).when(F.coalesce("allowed", F.lit(True)), F.lit(True))
+    # Rules' and seeds' answers are functions of the text.
+    urls = rows.select("text", kind.alias("kind")).groupBy("text").agg(F.bool_and("kind").alias("kind"))
     held_out = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0
-    scores = written(model_scores(urls, ~held_out, F.col("kind")).join(urls, "text"), "url-scores")
-    p = rejection(scores.where(held_out & F.col("kind").isNotNull()))
+    urls = written(urls.withColumn("learn", ~held_out).withColumn("n", F.monotonically_increasing_id()), "urls")
+    scores = written(urls.join(model_scores(urls), "n"), "url-scores")
+    p = rejection(scores.where(~F.col("learn") & F.col("kind").isNotNull()))
     scores = scores.withColumn("p_reject", F.lit(0.0) if p is None else p).select("text", "score", "p_reject")
     out = rows.join(scores, "text", "left")
     verdict = F.when(F.coalesce("allowed", F.coalesce("p_reject", F.lit(0.0)) <= most), F.lit("allow")).otherwise(F.lit("block"))

@@ -90,7 +90,7 @@ def test_model_tells_kinds_apart(spark):
 def test_empty_and_one_kind(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert urls.url_verdicts(none, URL_RULES).collect() == []
-    one = spark.createDataFrame([(1, "http://a.net/x"), (None, None), (1, "http://a.net/x")], "page_id long, url string")
+    one = spark.createDataFrame([(1, "http://a.net/x", 1, "a"), (None, None, 2, "b"), (1, "http://a.net/x", 3, None)], "page_id long, url string, n int, gram string")
     assert [r.verdict for r in urls.url_verdicts(one, URL_RULES).collect()] == ["allow"] * 3
 
 
@@ -98,3 +98,29 @@ def test_main_path_is_native(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     plan = urls.url_verdicts(pages, URL_RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_the_whole_url_is_judged(spark):
+    base = "http://site1.example.net/en/1"
+    texts = [base, base + "?go=casino-bets-viagra-xxx", base + "#casino-pills", "https" + base[4:], "not a url casino", "", None, "\x02\x03\x02", "\U0001f600://café.net/\U0001f600"]
+    learn = [(100 + k, f"http://news{k % 7}.site.net/en/{k}") for k in range(200)] + [(1000 + k, f"http://casino-bets{k % 5}.site.net/viagra-xxx/{k}") for k in range(60)]
+    pages = spark.createDataFrame([*enumerate(texts), *learn], "page_id long, url string")
+    found = {r.page_id: r for r in urls.url_verdicts(pages, []).collect()}
+    assert len({found[k].score for k in range(6)}) == 6 and found[5].score == found[6].score
+    assert found[1].score < found[0].score and found[1].p_reject >= found[0].p_reject
+    assert all(found[k].host == found[k].path == "" for k in (4, 5, 6, 7)) and found[8].host == "café.net"
+
+
+def test_window_list_and_long_urls(spark):
+    texts = ["", "a", "\U0001f600bé", "x" * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", urls.window_list(F.col("t")).alias("w"))
+    for r in df.collect():
+        padded = urls.START * urls.ORDER + texts[r.k] + urls.END
+        assert r.w == [padded[k : k + urls.ORDER + 1] for k in range(len(texts[r.k]) + 1)]
+
+
+def test_dealing_out_frequent_windows_changes_nothing(spark, sf_dir, monkeypatch):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    one = sorted(map(str, urls.url_verdicts(pages, URL_RULES).collect()))
+    monkeypatch.setattr(urls, "PARTS", 1_000_000)
+    assert sorted(map(str, urls.url_verdicts(pages, URL_RULES).collect())) == one

@@ -2,7 +2,7 @@
 
 Base patterns give emails, IPv4 addresses, card numbers and international phone numbers; their matches always stay. The
 field adds what has no fixed form: spelled-out emails, local phone numbers, IPv6 addresses and secrets. Loose shapes
-propose candidate segments at token boundaries; features of a whole segment (lengths and separators of its
+propose candidate segments at token boundaries, those that touch a base span aside; features of a whole segment (lengths and separators of its
 groups, digit counts, words in and before it) score it under every type. Dynamic programming over the candidates jointly
 chooses which segments are entities, their boundaries and their types; all else is text. Weights are fitted by
 likelihood, with the forward-backward sums of the same lattice, on sentences that this module makes up from templates; no
@@ -20,6 +20,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -106,7 +107,7 @@ SHAPES = {
     "dot": re.compile(r"[\w.%+-]{1,48}(?:[ ._-]{0,2}[\[({<]?\s?\b(?:at|AT|At|dot|DOT|Dot)\b\s?[\])}>]?[ ._-]{0,2}[\w-]{1,32}){2,}"),
     "digits": re.compile(r"(?<![\w+])\(?\d{2,6}+(?!\w)\)?(?:[ ./-]{1,2}\(?\d{2,6}+(?!\w)\)?)++"),
     "colons": re.compile(r"(?<![\w:])[0-9A-Fa-f]{0,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?![\w:])"),
-    "assigned": re.compile(r"(?<=[=:])\s{0,2}[\"']?[A-Za-z0-9+/_\-]{8,}[\"']?"),
+    "assigned": re.compile(r"(?<=[=:])\s{0,2}[\"']?(?=[A-Za-z0-9+/_.~=\-]{8})[A-Za-z0-9+/_\-]++(?:[.~=]++[A-Za-z0-9+/_\-]++)*+=*+[\"']?"),
 }
 GROUP = re.compile(r"\(?(?P<n>\d+)\)?")
 DOT = re.compile(r"\b[dD][oO][tT]\b")
@@ -189,13 +190,27 @@ def kind_of(token: str) -> str:
     return f"d{min(len(token), 5)}" if token[0].isdigit() else ("w" if token[0].isalpha() else token[0])
 
 
-def lattice(text: str) -> list[tuple[int, int, list[str]]]:
-    return sorted(((a, b, features(text, a, b)) for a, b in proposals(text)), key=lambda x: (x[1], x[0]))
+def lattice(text: str, base: list[Span] = ()) -> list[tuple[int, int, list[str]]]:
+    """Candidate segments with their features, by end. The base spans are decided already: no segment touches one."""
+    ends, starts = [], []
+    for _, a, b in sorted(base, key=lambda s: (s[1], s[2])):
+        # Overlapping spans make up one taken range.
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_right(ends, a)
+        return k == len(ends) or starts[k] >= b
+
+    return sorted(((a, b, features(text, a, b)) for a, b in proposals(text) if free(a, b)), key=lambda x: (x[1], x[0]))
 
 
-def decode(text: str, weights: dict) -> list[Span]:
-    """The best set of non-overlapping typed segments: one pass over ends, in order. A text of no segment scores 0."""
-    cells = lattice(text)
+def decode(text: str, weights: dict, base: list[Span] = ()) -> list[Span]:
+    """The best set of non-overlapping typed segments beside the base spans: one pass over ends, in order. No segment scores 0."""
+    cells = lattice(text, base)
     ends = [0]
     best: list[tuple[float, int, Span | None]] = [(0.0, 0, None)]  # per end: score, index of the state before, segment
     for a, b, f in cells:
@@ -269,6 +284,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     h = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    u = lambda k: "".join(rng.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(k))
     w = lambda: "".join(rng.choice("bcdfghklmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
     tld = lambda: rng.choice(["com", "org", "net", "edu", "de", "io", "info"])
 
@@ -284,15 +300,15 @@ def examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         return rng.choice([":".join(h(rng.randint(1, 4)) for _ in range(8)), f"{h(4)}:{h(3)}::{h(4)}:{h(2)}", f"fe80::{h(4)}:{h(4)}:{h(4)}", f"2001:db8::{h(4)}:{h(1)}"])
 
     def secret() -> str:
-        return rng.choice([h(16), h(20), h(32), h(40), "AKIA" + h(16).upper(), w().title() + d(4) + w() + d(3), "ghp_" + h(30), "sk-" + h(24)])
+        return rng.choice([h(16), h(20), h(32), h(40), "AKIA" + u(16), u(20), w().title() + d(4) + w() + d(3), "ghp_" + h(30), "sk-" + h(24), f"ey{h(12)}.ey{h(16)}.{h(20)}", h(22) + "=="])
 
     def nothing() -> str:
         return rng.choice([
             f"{d(4)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(10, 23)}:{d(2)}:{d(2)}", f"pages {d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{d(4)}", f"version {d(2)}.{d(2)}.{d(2)}", f"look at {w()} dot {w()} at", f"the dot at {w()}", f"{d(3)} {d(3)} units", f"order {d(5)}-{d(2)}",
-            f"ISBN {d(3)}-{d(2)}-{d(5)}", f"{d(2)} 000 000", f"score: {d(2)}-{d(2)}", f"key: {w()} {w()}", f"ratio {d(2)}:{d(2)}:{d(2)}", f"password: {w()}{w()}{w()}{w()} is", f"id {d(4)} {d(4)}", f"{d(4)}-{d(4)}", f"a dot {w()} dot {w()}", f"{d(2)}.{d(2)}.{d(4)}", f"in {d(4)}/{d(2)}", f"x = {w()}{w()}{w()}{w()}{w()}",
+            f"ISBN {d(3)}-{d(2)}-{d(5)}", f"{d(2)} 000 000", f"score: {d(2)}-{d(2)}", f"key: {w()} {w()}", f"author: www.{w()}{w()}.{tld()}", f"key: {w()}{w()}{w()}{w()}{w()}", f"key={w()}.{w()}.{w()}", f"ratio {d(2)}:{d(2)}:{d(2)}", f"password: {w()}{w()}{w()}{w()} is", f"id {d(4)} {d(4)}", f"{d(4)}-{d(4)}", f"a dot {w()} dot {w()}", f"{d(2)}.{d(2)}.{d(4)}", f"in {d(4)}/{d(2)}", f"x = {w()}{w()}{w()}{w()}{w()}",
         ])
 
-    makers = {"mail_text": (mail, ["mail ", "write to ", "contact: ", ""]), "phone_local": (phone, ["call ", "phone: ", "tel. ", "fax ", ""]), "ip_v6": (ip6, ["host ", "from ", "address ", ""]), "secret": (secret, ['token = "', "password=", "secret: ", 'api_key = "', "auth_token="])}
+    makers = {"mail_text": (mail, ["mail ", "write to ", "contact: ", ""]), "phone_local": (phone, ["call ", "phone: ", "tel. ", "fax ", ""]), "ip_v6": (ip6, ["host ", "from ", "address ", ""]), "secret": (secret, ['token = "', "password=", "secret: ", 'api_key = "', "auth_token=", "my key: ", "key: ", "key=", "password: "])}
     out = []
     for _ in range(n):
         text, gold = "", []
@@ -327,14 +343,11 @@ def trained(n: int = 1500, rounds: int = 4, rate: float = 0.25, shrink: float =
 
 
 def spans_of(text: str, weights: dict) -> tuple[list[Span], list[Span]]:
-    """(base, added): the field's segments that touch a base span are dropped."""
+    """(base, added): the base spans, and the best segments of what they leave."""
     base = base_spans(text)
     if not (DIGIT.search(text) or DOT.search(text) or COLONS.search(text) or ASSIGNED.search(text)):
         return base, []
-    taken = sorted((a, b) for _, a, b in base)
-    free = lambda a, b: not any(x < b and a < y for x, y in taken)
-    added = [s for s in decode(text, weights) if free(s[1], s[2])]
-    return base, sorted(added, key=lambda s: (ADDED.index(s[0]), s[1]))
+    return base, sorted(decode(text, weights, base), key=lambda s: (ADDED.index(s[0]), s[1]))
 
 
 def joined(spans: list[Span]) -> str:

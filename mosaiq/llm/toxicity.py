@@ -96,8 +96,8 @@ def features(text: str, terms: Terms, voter: np.ndarray) -> tuple[list[int], lis
     return sorted(found), sorted(votes), len(hits)
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> dict:
-    """Fit P(vote | class) without labels. votes: rows x voters of 0 / 1. Returns rates (2 x voters), share of each voter's
+def label_model(votes: np.ndarray, rounds: int = 50) -> dict:
+    """Fit P(vote | class) and the share of the class without labels. votes: rows x voters of 0 / 1. Returns rates (2 x voters), share of each voter's
     evidence that counts, prior, and posteriors of the rows."""
     n, m = votes.shape
     any_vote = votes.any(axis=1)
@@ -126,39 +126,26 @@ def posterior(votes: np.ndarray, rates: np.ndarray, share: np.ndarray, prior: fl
 
 
 def mine(rows: DataFrame) -> list[str]:
-    """Terms of toxic rows, by how surely they tell toxic from clean ones. Two passes over the sample: candidates from toxic
-    rows, then their counts in clean ones; per partition only term counts leave the executors."""
-
-    def tally(keep: set[str] | None):
-        def run(batches):
-            seen: Counter = Counter()
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    here = {t for w in {w.strip(EDGES) for w in words_of(text or "")} if w for t in stem_terms(w)}
-                    seen.update(here if keep is None else here & keep)
-            # A term of one row of a partition can still reach the support elsewhere, so all are told.
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
-
-        return run
-
-    def counted(label: int, keep: set[str] | None):
-        part = rows.where(F.col("label") == label).select("text").repartition(8)
-        return part.mapInArrow(tally(keep), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-    most = 20 * TERMS
-    toxic = {r.term: r.n for r in counted(1, None).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "term").limit(50 * most).collect()}
-    clean = {r.term: r.n for r in counted(0, set(toxic)).collect()}
-    n_clean, n_toxic = (max(rows.where(F.col("label") == k).count(), 1) for k in (0, 1))
-    strength = {t: np.log((n + 0.5) / (n_toxic + 1)) - np.log((clean.get(t, 0) + 0.5) / (n_clean + 1)) for t, n in toxic.items()}
-    # Sure terms only: at least 20 times as frequent in toxic rows; the longest ones of equal counts say the same.
-    sure = sorted((t for t, s in strength.items() if s >= np.log(20)), key=lambda t: (-toxic[t] * strength[t], len(t), t))
-    kept, seen = [], set()
-    for t in sure:
-        key = (t.rstrip("*")[:4], toxic[t], clean.get(t, 0))
-        if key not in seen:
-            seen.add(key)
-            kept.append(t)
-    return kept[:TERMS]
+    """Terms of toxic rows, by how surely they tell toxic from clean ones: at least 20 times as frequent there, and of those that
+    begin alike and count alike the shortest. Counted and ranked by Spark; only the TERMS best come to the driver."""
+
+    def tally(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = {w.strip(EDGES) for w in words_of(text or "")}
+                seen.update((t, label) for t in {t for w in words if w for t in stem_terms(w)})
+        # A term of one row of a partition can still reach the support elsewhere, so all are told.
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([k for _, k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "label", "n"])
+
+    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    part = rows.select("text", "label").repartition(8).mapInArrow(tally, "term string, label int, n long")
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0))
+    counts = part.groupBy("term").agg(of(1).alias("toxic"), of(0).alias("clean")).where(F.col("toxic") >= SUPPORT)
+    strength = F.ln((F.col("toxic") + 0.5) / (max(sizes.get(1, 0), 1) + 1)) - F.ln((F.col("clean") + 0.5) / (max(sizes.get(0, 0), 1) + 1))
+    sure = counts.withColumn("strength", strength).where(F.col("strength") >= float(np.log(20)))
+    alike = sure.groupBy(F.substring(F.rtrim("term", F.lit("*")), 1, 4), "toxic", "clean").agg(F.min(F.struct(F.length("term").alias("length"), "term")).alias("t"), F.max("strength").alias("strength"))
+    return [r.term for r in alike.select("t.*", (F.col("toxic") * F.col("strength")).alias("weight")).orderBy(F.desc("weight"), "length", "term").limit(TERMS).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
@@ -184,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
         x[k, ids] = 1
         x[k, len(terms) + VOTERS] = np.log1p(hits)
     x[:, len(terms) : len(terms) + VOTERS] = votes
-    model = label_model(votes, float(y.mean()))
+    model = label_model(votes)
     w = logistic(x, model["posterior"], ridge=2.0)
     z = x @ w[:-1] + w[-1]
     slope, base = logistic(z[:, None], y, ridge=1e-3)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm import decontam, mix, neardup, pii, toxicity
 from mosaiq.llm.common import table, written
+from mosaiq.sources.shipping import shipped
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,9 +23,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates; rows without an id are kept."""
-    found = neardup.near_duplicates(docs, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return neardup.survivors(docs, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix.curriculum(docs, weights=(5.0, 2.0, 1.0), share=1.0)
 
 
-STAGES = [("toxicity", toxic), ("near-duplicates", near_duplicates), ("decontamination", benchmark), ("personal-data", personal_data), ("mix", mixture)]
+STAGES = [(name, shipped(stage)) for name, stage in (("toxicity", toxic), ("near-duplicates", near_duplicates), ("decontamination", benchmark), ("personal-data", personal_data), ("mix", mixture))]
 
 #: SQL can't express the classifier, the sketches or the field; tests compare the stages with brute force.
 ORACLE_SQL = None

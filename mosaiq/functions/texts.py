@@ -28,10 +28,33 @@ def nfkc(c: Column) -> Column:
     return nfkc_udf(c)
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Share of matching characters of two texts (twice the matches over both lengths)."""
-    return pd.Series([difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)], dtype=float)
+def matched_share(alias: str):
+    """Scores texts by their share of characters that match the alias (twice the matches over both lengths)."""
+    matcher = difflib.SequenceMatcher(None, "", alias)
+
+    def score(text: str) -> float:
+        matcher.set_seq1(text)
+        return matcher.ratio()
+
+    return score
+
+
+def edit_share(alias: str):
+    """Scores texts by 1 - edits / length of the longer text."""
+
+    def score(text: str) -> float:
+        row = list(range(len(alias) + 1))
+        for i, c in enumerate(text, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(alias, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return 1 - row[-1] / max(len(text), len(alias))
+
+    return score
+
+
+#: Name -> (maker of an alias's score, most that two lengths allow).
+SCORES = {"sequence": (matched_share, lambda a, b: 2 * min(a, b) / (a + b)), "edits": (edit_share, lambda a, b: 1 - abs(a - b) / max(a, b))}
 
 
 def squeezed(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,24 +89,28 @@ def near_pairs(df: DataFrame, key: str, bits: str, most: int = 6, shift: int = 4
     return a.join(b, "bucket").where(F.col("a") < F.col("b")).withColumn("distance", hamming(F.col("bits_a"), F.col("bits_b"))).where(F.col("distance") <= most).select("a", "b", "distance")
 
 
-def greedy_survivors(df: DataFrame, key: str, bits: str, most: int = 6, shift: int = 48) -> DataFrame:
-    """Rows in key order are accepted unless an accepted row of their bucket lies within the distance; adds `accepted`.
+def greedy_survivors(df: DataFrame, key: str, bits: str, content: str | None = None, similar: Callable | None = None, least: float = 0.97, most: int = 6, shift: int = 48) -> DataFrame:
+    """Rows in key order are accepted unless an accepted row of their bucket lies within the distance and, with content, is also
+    similar by at least `least`; adds `accepted`. similar: function of two contents.
 
-    The outcome depends on the order by definition. Equal hashes collapse first (only their least key can be accepted), so a
-    bucket holds at most the distinct hashes that share the top bits.
+    The outcome depends on the order by definition. Rows of equal hash and content collapse first (only their least key can be
+    accepted), so a bucket holds at most the distinct ones that share the top bits.
     """
-    reps = df.groupBy(bits).agg(F.min(key).alias("rep")).withColumn("bucket", F.shiftrightunsigned(F.col(bits), shift))
+    same = [bits, *([content] if content else [])]
+    reps = df.groupBy(*same).agg(F.min(key).alias("rep")).withColumn("bucket", F.shiftrightunsigned(F.col(bits), shift))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         values = pdf[bits].to_numpy().astype(np.int64).view(np.uint64)
-        kept, n, flags = np.empty(len(values), np.uint64), 0, []
-        for value in values:
-            ok = not n or int(np.bitwise_count(kept[:n] ^ value).min()) > most
+        held = pdf[content].to_list() if content else None
+        kept, at, flags = np.empty(len(values), np.uint64), [], []
+        for i, value in enumerate(values):
+            (near,) = (np.bitwise_count(kept[: len(at)] ^ value) <= most).nonzero()
+            ok = not (any(similar(held[at[j]], held[i]) >= least for j in near) if content else len(near))
             flags.append(ok)
             if ok:
-                kept[n] = value
-                n += 1
+                kept[len(at)] = value
+                at.append(i)
         return pdf.assign(accepted=flags)[["rep", "accepted"]]
 
     verdicts = reps.groupBy("bucket").applyInPandas(run, "rep long, accepted boolean")
@@ -134,18 +138,17 @@ def scene_keepers(df: DataFrame, key: str, order: str, value: str, least: float)
     return sorted_rows.mapInPandas(run, df.select(key, order, value).schema)
 
 
-def fixpoint(seeds: DataFrame, step, most_rounds: int = 50) -> DataFrame:
+def fixpoint(seeds: DataFrame, step) -> DataFrame:
     """Adds step(trusted) rows until none is new. step gets all trusted rows and returns rows of the same columns. Each
     round is written to the shared checkpoint folder, so lineage stays short and survives lost executors."""
     from mosaiq.sources.scratch import written
 
     trusted = written(seeds, "fixpoint")
-    for _ in range(most_rounds):
+    while True:
         new = written(step(trusted).join(trusted, trusted.columns[0], "left_anti"), "fixpoint")
         if new.isEmpty():
-            break
+            return trusted
         trusted = written(trusted.unionByName(new), "fixpoint")
-    return trusted
 
 
 def backfilled(df: DataFrame, fields: dict[str, Column], only_missing: bool = True) -> DataFrame:
@@ -161,9 +164,8 @@ def pack_plan(files: DataFrame, roles: DataFrame, order: str) -> DataFrame:
     """Files in order against the planned (ordinal, agent, role) list: file, agent, role, target; `error` if counts differ.
 
     Positions come from a window over one batch of files, which a person sorted by hand."""
-    plan = roles.withColumn("n", F.count("*").over(W.partitionBy()))
-    listed = files.withColumn("ordinal", F.row_number().over(W.orderBy(order)).cast("long")).withColumn("m", F.count("*").over(W.partitionBy()))
-    both = listed.join(plan, "ordinal", "full_outer")
+    listed = files.withColumn("ordinal", F.row_number().over(W.orderBy(order)).cast("long"))
+    both = listed.join(roles, "ordinal", "full_outer")
     error = F.when(F.col("path").isNull(), "file_missing").when(F.col("role").isNull(), "role_missing")
     return both.select("ordinal", "path", "agent", "role", F.concat_ws("/", "agent", F.concat_ws("_", F.lpad(F.col("ordinal").cast("string"), 4, "0"), "role")).alias("target"), error.alias("error"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mosaiq.functions.texts import sequence_ratio
+from mosaiq.functions.texts import SCORES
 from mosaiq.operators.ranks import first_per_key
 
 
@@ -32,24 +34,35 @@ def staged(df: DataFrame, stages: list[tuple[str, object, DataFrame, float]]) ->
     return out.select(*df.columns, ident.alias("id"), mode.alias("mode"), conf.alias("confidence"))
 
 
-def trigrams(c):
-    padded = F.concat(F.lit("  "), c, F.lit("  "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda k: F.substring(padded, k, F.lit(3))))
+#: Aliases of a dimension that every title is compared with, at most.
+MOST_ALIASES = 20_000
+
 
+def fuzzy_best(df: DataFrame, key: str, dimension: DataFrame, threshold: float, margin: float, score: str = "sequence") -> DataFrame:
+    """key, id, score of the best alias if it reaches the threshold and beats the second by the margin. score: a rule of SCORES.
 
-def fuzzy_candidates(df: DataFrame, key: str, dimension: DataFrame) -> DataFrame:
-    """Pairs that share a trigram. A pair without one can reach a matching share of at most two characters in three runs, far
-    below the thresholds in use for keys longer than a few letters, so an equi-join replaces comparing all with all."""
-    left = df.select(key).distinct().select(key, F.explode(trigrams(F.col(key))).alias("gram"))
-    right = dimension.select("alias", "id", F.explode(trigrams(F.col("alias"))).alias("gram"))
-    return left.join(right, "gram").select(key, "alias", "id").distinct()
+    Each distinct key is compared with all aliases, which tasks hold as a list after a check of their number, so neither the
+    best nor the runner-up is missed. An alias is left out only if its length alone keeps it below the second best so far.
+    dimension: alias, id. Null and empty keys and aliases have no answer; without a second alias the margin is the score.
+    """
+    entries = sorted({(r.alias, r.id) for r in dimension.where("alias <> ''").select("alias", "id").limit(MOST_ALIASES + 1).collect()})
+    if len(entries) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases")
+    make, bound = SCORES[score]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compare = [(alias, ident, make(alias)) for alias, ident in entries]
+        for pdf in batches:
+            out = []
+            for text in pdf[key]:
+                top: list[tuple] = []
+                for alias, ident, scored in sorted(compare, key=lambda x: -bound(len(text), len(x[0]))):
+                    if len(top) == 2 and bound(len(text), len(alias)) < top[1][0]:
+                        break
+                    top = sorted([*top, (scored(text), alias, ident)], key=lambda x: (-x[0], x[1]))[:2]
+                if top and top[0][0] >= threshold and top[0][0] - (top[1][0] if len(top) > 1 else 0.0) >= margin:
+                    out.append((text, top[0][2], top[0][0]))
+            yield pd.DataFrame(out, columns=[key, "id", "score"])
 
-def fuzzy_best(df: DataFrame, key: str, dimension: DataFrame, threshold: float, margin: float, score=None) -> DataFrame:
-    """key, id, score of the best alias if it reaches the threshold and beats the second by the margin. score: column function of
-    two texts, by default the share of matching characters."""
-    score = score or sequence_ratio
-    pairs = fuzzy_candidates(df, key, dimension).withColumn("score", score(F.col(key), F.col("alias")))
-    w = W.partitionBy(key).orderBy(F.desc("score"), F.asc("alias"))
-    top = pairs.withColumn("rn", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
-    return top.where((F.col("rn") == 1) & (F.col("score") >= threshold) & (F.col("score") - F.col("second") >= margin)).select(key, "id", "score")
+    kind = dimension.schema["id"].dataType.simpleString()
+    return df.where(F.coalesce(key, F.lit("")) != "").select(key).distinct().mapInPandas(run, f"{key} string, id {kind}, score double")

@@ -17,24 +17,25 @@ OCCUPIED, EMPTY = 0.58, 0.34
 EQUIPMENT_SOURCES = [("payload+model", ["payload", "model"]), ("model+ocr", ["model", "ocr"]), ("model", ["model"]), ("ocr", ["ocr"]), ("overview", ["overview"]), ("payload", ["payload"])]
 
 
-def slot_lookup(asks: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """Cascading join of (page, slot) to an id: the exact page first, then an entry without page, then any entry of the slot where
-    one page is unknown, if those name one id only. asks: keys, page, slot; known: page, slot, id. Adds `id` ('' if none).
+def slot_lookup(asks: DataFrame, known: DataFrame, session: list[str], keys: list[str]) -> DataFrame:
+    """Cascading join of (page, slot) to an id within a session: the exact page first, then an entry without page, then any entry of
+    the slot where one page is unknown, if those name one id only. asks: session, keys, page, slot; known: session, page,
+    slot, id. Adds `id` ('' if none).
 
-    One equi-join on slot, ranked; null pages never meet by equality.
+    One equi-join on session and slot, ranked, so a row meets the few entries of its own session; null pages never meet by equality.
     """
-    met = asks.withColumnRenamed("page", "want").join(known, "slot", "left")
+    met = asks.withColumnRenamed("page", "want").join(known, [*session, "slot"], "left")
     exact = F.col("page").eqNullSafe(F.col("want"))
     loose = F.col("want").isNull() | F.col("page").isNull()
     rank = F.when(exact, 1).when(F.col("page").isNull() & F.col("id").isNotNull(), 2).when(loose, 3)
     met = met.withColumn("rank", F.when(F.coalesce("id", F.lit("")) != "", rank))
-    by = [*keys, "want", "slot"]
+    by = [*session, *keys, "want", "slot"]
     best = met.groupBy(*by).agg(
         F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("first"),
         F.max(F.when(F.col("rank") == 2, F.col("id"))).alias("second"),
         F.when(F.count_distinct(F.when(F.col("rank").isNotNull(), F.col("id"))) == 1, F.max(F.when(F.col("rank").isNotNull(), F.col("id")))).alias("third"),
     )
-    return best.select(*keys, F.col("want").alias("page"), "slot", F.coalesce("first", "second", "third", F.lit("")).alias("id"))
+    return best.select(*session, *keys, F.col("want").alias("page"), "slot", F.coalesce("first", "second", "third", F.lit("")).alias("id"))
 
 
 def merged_lists(payload: DataFrame, icons: DataFrame, key: str, ident: str, pos: str, payload_name: str, icon_name: str) -> tuple[DataFrame, DataFrame]:
@@ -97,21 +98,31 @@ def capture_identity(explicit: Column, slot_id: Column, model_id: Column, model_
     return ident, conf
 
 
-def consensus(df: DataFrame, key: str, slot: str, ident: str, slots: int = 6) -> DataFrame:
-    """Confidence that six slots make up known sets: key, confidence. The last identity of a slot counts; fewer slots give 0."""
-    one = df.where(F.col(slot).between(1, slots) & (F.coalesce(ident, F.lit("")) != "")).groupBy(key, slot).agg(F.max(ident).alias(ident))
-    counts = one.groupBy(key, ident).agg(F.count("*").alias("n"))
-    shape = counts.groupBy(key).agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.count("*").alias("unique"), F.min("n").alias("low"))
-    top, unique = F.col("top"), F.col("unique")
-    even = ((unique == 3) | (unique == 2)) & (top == F.col("low"))
-    conf = F.when(F.col("total") != slots, 0.0).when(top == 6, 0.92).when(top >= 5, 0.88).when((top == 4) & (unique <= 2), 0.86).when((top == 4) & (unique == 3), 0.80).when(even, 0.80).otherwise(0.0)
-    return df.select(key).distinct().join(shape.select(key, conf.alias("confidence")), key, "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+def consensus_of(readings: Column, slots: int = 6) -> Column:
+    """Confidence that six slots make up known sets. readings: array of struct<slot, ident> in order of appearance; the last filled
+    identity of a slot counts, fewer slots give 0."""
+    known = F.filter(readings, lambda r: r["slot"].between(1, slots) & (F.trim(F.coalesce(r["ident"], F.lit(""))) != ""))
+    last = F.transform(F.sequence(F.lit(1), F.lit(slots)), lambda k: F.try_element_at(F.filter(known, lambda r: r["slot"] == k), F.lit(-1))["ident"])
+    counts = F.transform(F.array_distinct(F.array_compact(last)), lambda x: F.size(F.filter(last, lambda y: y == x)))
+    top, unique = F.array_max(counts), F.size(counts)
+    even = ((unique == 3) | (unique == 2)) & (top == F.array_min(counts))
+    whole = F.size(F.array_compact(last)) == slots
+    return F.when(~F.coalesce(whole, F.lit(False)), 0.0).when(top == 6, 0.92).when(top >= 5, 0.88).when((top == 4) & (unique <= 2), 0.86).when((top == 4) & (unique == 3), 0.80).when(even, 0.80).otherwise(0.0)
 
 
-def agreement(df: DataFrame, key: str, label: str, conf: str, least: float, crops: int = 2) -> DataFrame:
+def consensus(df: DataFrame, key: str, slot: str, ident: str, pos: str) -> DataFrame:
+    """Confidence that the readings of a key, in order of pos, make up known sets: key, confidence. One aggregate, in which a slot's
+    last identity is all that a task keeps."""
+    filled = F.col(slot).between(1, 6) & (F.trim(F.coalesce(ident, F.lit(""))) != "")
+    last = [F.max_by(ident, F.when(filled & (F.col(slot) == k), F.col(pos))).alias(f"_{k}") for k in range(1, 7)]
+    readings = F.array(*[F.struct(F.lit(k).alias("slot"), F.col(f"_{k}").alias("ident")) for k in range(1, 7)])
+    return df.groupBy(key).agg(*last).select(key, consensus_of(readings).alias("confidence"))
+
+
+def agreement(df: DataFrame, keys: list[str], label: str, conf: str, least: float, crops: int = 2) -> DataFrame:
     """Keys whose observations all name one label, are at least `crops`, and are all sure enough: key, label, confidence."""
-    out = df.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(label).alias("labels"), F.min(conf).alias("confidence"), F.min(label).alias("label"))
-    return out.where((F.col("n") >= crops) & (F.col("labels") == 1) & (F.col("confidence") >= least)).select(key, "label", "confidence")
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(label).alias("labels"), F.min(conf).alias("confidence"), F.min(label).alias("label"))
+    return out.where((F.col("n") >= crops) & (F.col("labels") == 1) & (F.col("confidence") >= least)).select(*keys, "label", "confidence")
 
 
 def presence(score: Column) -> Column:

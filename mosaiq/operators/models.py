@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -14,8 +15,7 @@ def probabilities(raw: np.ndarray) -> np.ndarray:
     """Rows that are no distribution become one by softmax."""
     raw = np.atleast_2d(np.asarray(raw, float))
     fine = (raw >= 0).all(axis=1) & (np.abs(raw.sum(axis=1) - 1) < 1e-3)
-    e = np.exp(raw - raw.max(axis=1, keepdims=True))
-    return np.where(fine[:, None], raw, e / e.sum(axis=1, keepdims=True))
+    return np.where(fine[:, None], raw, probabilities_of(raw))
 
 
 def onnx_predict(df: DataFrame, key: str, vector: str, model: bytes, labels: list[str], shape: tuple[int, ...] | None = None) -> DataFrame:
@@ -38,45 +38,72 @@ def onnx_predict(df: DataFrame, key: str, vector: str, model: bytes, labels: lis
     return df.select(key, vector).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, label string, confidence double")
 
 
-def bootstrap_labels(df: DataFrame, key: str, vector: str, label: str, seeds: float = 0.3, sure: float = 0.9, most_rounds: int = 5) -> DataFrame:
-    """key, label, status. A softmax classifier is fitted on trusted rows; rows that it predicts surely and that agree with their
-    label join them, until none does. Rest: 'conflict' if it surely predicts otherwise, else 'unresolved'.
+def softmax_regression(x: np.ndarray, y: np.ndarray, classes: int, ridge: float = 1.0, rounds: int = 400) -> np.ndarray:
+    """Multinomial logistic regression with an L2 penalty: weights (features + 1) x classes, the last row being intercepts, which
+    aren't penalised. Accelerated gradient steps of the length that the curvature's bound allows."""
+    x = np.hstack([np.asarray(x, float), np.ones((len(x), 1))])
+    target = np.eye(classes)[y]
+    penalty = np.full((x.shape[1], 1), ridge)
+    penalty[-1] = 0.0
+    step = 1.0 / (0.5 * np.linalg.norm(x, 2) ** 2 + ridge)
+    w = ahead = np.zeros((x.shape[1], classes))
+    for k in range(rounds):
+        gradient = x.T @ (probabilities_of(x @ ahead) - target) + penalty * ahead
+        new = ahead - step * gradient
+        ahead = new + k / (k + 3) * (new - w)
+        w = new
+        if np.abs(gradient).max() < 1e-6 * len(x):
+            break
+    return w
+
+
+def probabilities_of(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+#: Trusted rows of a class that a round of the bootstrap fits on, at most.
+PER_CLASS = 2000
 
-    Trusted at first: a share of rows by hash. Coefficients come from per-class sums (mean and shared variance), so a round is
-    one aggregation, whatever the number of rows.
+
+def bootstrap_labels(df: DataFrame, key: str, vector: str, label: str, seeds: float = 0.3, sure: float = 0.9, per_class: int = PER_CLASS) -> DataFrame:
+    """key, label, status. A logistic regression is fitted on trusted rows; rows that it predicts surely and that agree with their
+    label join them for good, until none does. Rest: 'conflict' if it surely predicts otherwise, else 'unresolved'.
+
+    Trusted at first: a share of rows by hash. A round fits on at most per_class trusted rows of each class, the first by hash,
+    and predicts all rows. Rows without a vector or label are unresolved; keys are integers and distinct.
     """
     from mosaiq.sources.scratch import written
 
-    rows = written(df.select(key, vector, label), "bootstrap")
+    everything = df.select(key, vector, label)
+    usable = F.col(vector).isNotNull() & F.col(label).isNotNull()
+    rows = written(everything.where(usable), "bootstrap")
+    kind = rows.schema[label].dataType.simpleString()
     hashed = F.pmod(F.xxhash64(key), F.lit(1000)) < int(seeds * 1000)
-    trusted = rows.select(key, hashed.alias("trusted"))
-    verdict = None
-    known = -1
-    for _ in range(most_rounds):
-        part = rows.join(trusted, key)
-        means = part.where("trusted").select(label, F.posexplode(vector).alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).groupBy(label).agg(F.array_sort(F.collect_list(F.struct("i", "m", "v"))).alias("d"))
-        model = sorted((r[label], [x.m for x in r.d], [max(x.v or 0, 1e-3) for x in r.d]) for r in means.collect())  # a row per class
-        if not model:
-            break
-        names = [m[0] for m in model]
-        mean, var = np.array([m[1] for m in model]), np.array([m[2] for m in model]).mean(axis=0)
-
-        def run(batches: Iterator[pd.DataFrame], mean=mean, var=var, names=names) -> Iterator[pd.DataFrame]:
+    state = written(rows.select(key, label, hashed.alias("trusted"), F.lit(None).cast(kind).alias("predicted"), F.lit(0.0).alias("confidence")), "bootstrap-round")
+    known = state.where("trusted").count()
+    while known:
+        order = W.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(1)), key)
+        chosen = state.where("trusted").withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= per_class).select(key)
+        fitted = sorted(((r[label], list(r[vector])) for r in rows.join(F.broadcast(chosen), key).select(label, vector).collect()), key=str)
+        names = sorted({r[0] for r in fitted}, key=str)
+        data = np.array([r[1] for r in fitted], float)
+        mean, scale = data.mean(axis=0), np.maximum(data.std(axis=0), 1e-6)
+        weights = softmax_regression((data - mean) / scale, np.array([names.index(r[0]) for r in fitted]), len(names))
+
+        def run(batches: Iterator[pd.DataFrame], mean=mean, scale=scale, weights=weights, names=names) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
-                    x = np.stack([np.asarray(v, float) for v in pdf[vector]])
-                    p = probabilities(-(((x[:, None, :] - mean[None]) ** 2) / var).sum(axis=2) / 2)
+                    x = (np.stack([np.asarray(v, float) for v in pdf[vector]]) - mean) / scale
+                    p = probabilities_of(x @ weights[:-1] + weights[-1])
                     yield pd.DataFrame({key: pdf[key], "predicted": [names[k] for k in p.argmax(axis=1)], "confidence": p.max(axis=1)})
 
-        kind = rows.schema[label].dataType.simpleString()
-        verdict = written(rows.select(key, vector).mapInPandas(run, f"{key} long, predicted {kind}, confidence double").join(rows.select(key, label), key), "bootstrap-round")
-        trusted = verdict.select(key, (hashed | ((F.col("confidence") >= sure) & (F.col("predicted") == F.col(label)))).alias("trusted"))
-        now = trusted.where("trusted").count()
+        told = rows.select(key, vector).mapInPandas(run, f"{key} long, predicted {kind}, confidence double")
+        joins = F.col("trusted") | ((F.col("confidence") >= sure) & (F.col("predicted") == F.col(label)))
+        state = written(told.join(state.select(key, label, "trusted"), key).select(key, label, joins.alias("trusted"), "predicted", "confidence"), "bootstrap-round")
+        now = state.where("trusted").count()
         if now == known:
             break
         known = now
-    if verdict is None:
-        return rows.select(key, label, F.lit("unresolved").alias("status"))
-    agree = F.col("predicted") == F.col(label)
-    status = F.when(hashed | ((F.col("confidence") >= sure) & agree), "trusted").when((F.col("confidence") >= sure) & ~agree, "conflict").otherwise("unresolved")
-    return verdict.select(key, label, status.alias("status"))
+    status = F.when(F.col("trusted"), "trusted").when((F.col("confidence") >= sure) & (F.col("predicted") != F.col(label)), "conflict").otherwise("unresolved")
+    return state.select(key, label, status.alias("status")).union(everything.where(~usable).select(key, label, F.lit("unresolved")))

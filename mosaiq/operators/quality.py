@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mosaiq.operators.ranks import beside
+
 
 def exact(c: Column) -> Column:
     """Decimal of nine places, so that sums don't depend on the order of rows."""
@@ -39,15 +41,50 @@ def macro_scores(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return per.agg(F.round(F.sum("tp") / F.sum("actual"), 6).alias("accuracy"), mean(ratio(tp, said), "precision"), mean(ratio(tp, actual), "recall"), mean(ratio(2 * tp, actual + said), "f1"))
 
 
+#: Value ranges per key into which the search for ranks cuts the rows.
+RANGES = 128
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per key a row per share: name, at (q (n - 1)), low and high, the elements at its floor and ceiling in the sorted values.
+
+    Approximate quantiles cut each key's values into ranges, whose counts tell in which range a rank lies; only those ranges are
+    sorted. The result is exact, and no task gets all rows of a key, unless they are equal.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], 20 * RANGES).alias("_cuts"))
+    # Equal cuts are one; a row's range is the number of cuts below its value.
+    placed = beside(rows, cuts.withColumn("_cuts", F.array_distinct("_cuts")), keys).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    # Equal values are one row with a count, so a frequent value stays small.
+    counts = placed.groupBy(*keys, "_r", "_v").agg(F.count("*").alias("_c"))
+    sizes = counts.groupBy(*keys, "_r").agg(F.sum("_c").alias("_m"))
+    over = W.partitionBy(*keys)
+    sizes = sizes.withColumn("_before", F.sum("_m").over(over.orderBy("_r")) - F.col("_m")).withColumn("_n", F.sum("_m").over(over))
+    names, qs = F.array(*[F.lit(n) for n in shares]), F.array(*[F.lit(float(q)) for q in shares.values()])
+    at = F.transform(F.arrays_zip(names.alias("name"), qs.alias("q")), lambda x: F.struct(x["name"].alias("name"), (x["q"] * (F.col("_n") - 1)).alias("at")))
+    inside = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m"))
+    wanted = F.filter(at, lambda x: inside(F.floor(x["at"])) | inside(F.ceil(x["at"])))
+    asked = sizes.withColumn("_asked", wanted).where(F.size("_asked") > 0).drop("_m", "_n")
+    ranked = beside(counts, asked, [*keys, "_r"]).withColumn("_last", F.col("_before") + F.sum("_c").over(W.partitionBy(*keys, "_r").orderBy("_v")))
+    held = lambda r: (r < F.col("_last")) & (r >= F.col("_last") - F.col("_c"))
+    told = ranked.select(*keys, "_v", "_c", "_last", F.inline("_asked"))
+    return told.groupBy(*keys, "name", "at").agg(F.max(F.when(held(F.floor("at")), F.col("_v"))).alias("low"), F.max(F.when(held(F.ceil("at")), F.col("_v"))).alias("high"))
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], found: Column) -> DataFrame:
+    stats = order_statistics(df, keys, value, shares).withColumn("_v", found)
+    return stats.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in shares])
+
+
 def floor_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Per key the element at index int(q (n - 1)) of the sorted values. Ranks come from a window, so no list is built."""
-    w = W.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_r") == F.floor(F.lit(q) * (F.col("_n") - 1)), F.col(value))).alias(name) for name, q in shares.items()])
+    """Per key the element at index int(q (n - 1)) of the sorted values."""
+    return percentiles(df, keys, value, shares, F.col("low"))
 
 
 def linear_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(q)).alias(name) for name, q in shares.items()])
+    """Per key the value at q (n - 1), between two elements in proportion."""
+    part = F.col("at") - F.floor("at")
+    return percentiles(df, keys, value, shares, F.col("low") + part * (F.col("high") - F.col("low")))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -12,17 +12,25 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def ranked_by_hash(df: DataFrame, key: str, seed: str, rank: str, digits: int = 3) -> DataFrame:
-    """Global rank from 1 of rows with distinct keys, by md5(seed || key), and `{rank}_of`, their number.
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which null keys meet null keys."""
+    renamed = right.withColumnsRenamed({k: f"_right{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_right{i}")) for i, k in enumerate(keys)]
+    return left.join(renamed, same).drop(*[f"_right{i}" for i in range(len(keys))])
 
-    Rows are cut into 16**digits buckets by the hash's first digits; the table of bucket sizes has that many rows at most
-    and tells each bucket where it begins, so no window spans all rows.
+
+def ranked_by_hash(df: DataFrame, key: str, seed: str, rank: str, digits: int = 3, within: list[str] | None = None) -> DataFrame:
+    """Rank from 1 of rows by md5(seed || key), and `{rank}_of`, their number: of all rows, or of those with equal `within` columns.
+
+    Rows are cut into 16**digits buckets by the hash's first digits; the table of bucket sizes has that many rows at most, for
+    each value of `within`, and tells each bucket where it begins, so no window spans all rows.
     """
-    h = df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key)).cast("binary"))).withColumn("_b", F.substring("_h", 1, digits))
-    sizes = h.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias(f"{rank}_of"))
-    out = h.join(F.broadcast(before), "_b").withColumn(rank, F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy("_h", key)))
-    return out.drop("_h", "_b", "_before")
+    groups = within or []
+    h = df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))).withColumn("_b", F.substring("_h", 1, digits))
+    sizes = h.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
+    before = sizes.select(*groups, "_b", (F.sum("_n").over(W.partitionBy(*groups).orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy(*groups)).alias(f"{rank}_of"))
+    out = beside(h, before if groups else F.broadcast(before), [*groups, "_b"])
+    return out.withColumn(rank, F.col("_before") + F.row_number().over(W.partitionBy(*groups, "_b").orderBy("_h", key))).drop("_h", "_b", "_before")
 
 
 def group_splits(df: DataFrame, group: str, seed: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
@@ -54,11 +62,9 @@ def even_sample(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
 
 def stratified_splits(df: DataFrame, label: str, key: str, seed: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """Adds `split`, cut per label in hash order at int(n * ratio)."""
-    w = W.partitionBy(label)
-    h = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))
-    out = df.withColumn("_r", F.row_number().over(w.orderBy(h, key))).withColumn("_n", F.count("*").over(w))
-    cut = F.floor(F.col("_n") * train)
-    return out.withColumn("split", F.when(F.col("_r") <= cut, "train").when(F.col("_r") <= cut + F.floor(F.col("_n") * val), "val").otherwise("test")).drop("_r", "_n")
+    out = ranked_by_hash(df, key, seed, "_r", within=[label])
+    cut = F.floor(F.col("_r_of") * train)
+    return out.withColumn("split", F.when(F.col("_r") <= cut, "train").when(F.col("_r") <= cut + F.floor(F.col("_r_of") * val), "val").otherwise("test")).drop("_r", "_r_of")
 
 
 def merge_splits(existing: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
@@ -70,7 +76,8 @@ def round_robin(df: DataFrame, group: str, score: str, key: str, batch: int, bat
     """Review queue: the best of each group in turn, then the second of each. The queue is a report of at most batch * batches
     rows; adds `position` from 1 and `batch_id`. Order by (turn, score of the row, group) equals the loop over groups."""
     turn = F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), F.asc(key)))
-    top = df.withColumn("turn", turn).orderBy("turn", F.desc(score), group).limit(batch * batches)
+    # Of no group more rows than the queue holds, which Spark applies before it shuffles.
+    top = df.withColumn("turn", turn).where(F.col("turn") <= batch * batches).orderBy("turn", F.desc(score), group).limit(batch * batches)
     out = top.withColumn("position", F.row_number().over(W.orderBy("turn", F.desc(score), group)))
     number = F.floor((F.col("position") - 1) / batch) + 1
     return out.withColumn("batch_id", F.concat(F.lit(prefix), F.lpad(number.cast("string"), 3, "0")))

@@ -119,11 +119,84 @@ def icon_agents(icons: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, unsure
 
 
+#: What identifies a capture, beside what it shows.
+CAPTURE = "sessionId string, pos int, agentId string, pageIndex int, agentSlotIndex int, modelId string, modelConfidence double"
+
+
+def visible_slots(payload: DataFrame, icons: DataFrame) -> DataFrame:
+    """sessionId, page, slot, id: who stands where on the roster. Icons overrule the payload, later entries earlier ones."""
+    sides = [df.select("sessionId", F.col("pageIndex").alias("page"), F.col("agentSlotIndex").alias("slot"), F.col("agentId").alias("id"), F.struct(F.lit(k).alias("side"), "pos").alias("at")) for k, df in enumerate((payload, icons))]
+    rows = sides[0].union(sides[1]).where(F.col("slot").isNotNull())
+    return rows.groupBy("sessionId", "page", "slot").agg(F.max_by("id", "at").alias("id"))
+
+
+def identified(captures: DataFrame, slots: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(captures with `agentId` and `identity`, its confidence; reasons): by statement, slot and model. Captures of nobody known are
+    left out with a reason."""
+    asks = captures.select("sessionId", "pos", F.col("pageIndex").alias("page"), F.col("agentSlotIndex").alias("slot")).where(F.col("slot").isNotNull())
+    looked = fusion.slot_lookup(asks, slots, ["sessionId"], ["pos"]).select("sessionId", "pos", F.col("id").alias("slotId"))
+    ident, conf = fusion.capture_identity(F.col("agentId"), F.col("slotId"), F.col("modelId"), F.col("modelConfidence"))
+    named = captures.join(looked, ["sessionId", "pos"], "left").withColumn("identity", conf).withColumn("agentId", ident).drop("slotId")
+    nobody = named.where(F.col("agentId").isNull()).select("sessionId", F.concat(F.lit(f"{kind}_agent_unresolved:"), F.col("pos").cast("string")).alias("reason"))
+    return named.where(F.col("agentId").isNotNull()), nobody
+
+
+def best_details(details: DataFrame) -> DataFrame:
+    """Level and mindscape of each agent, each from the surest capture that reaches its threshold: that of the agent's slot first,
+    else one that names the agent."""
+    keys = ["sessionId", "agentId"]
+    parts = []
+    for least, fields in ((fusion.LEVEL_LEAST, ("level", "levelCap")), (fusion.MINDSCAPE_LEAST, ("mindscape", "mindscapeCap"))):
+        conf = f"{fields[0]}Confidence"
+        value = F.struct(F.struct(*fields).alias("value"), F.col(conf).alias("conf"))
+        held = details.where(F.col(fields[0]).isNotNull())
+        one = lambda df, name: fusion.best_observation(df, keys, F.col(conf), "pos").select(*keys, value.alias(name))  # noqa: B023, E731
+        both = one(held.where(F.col("agentSlotIndex").isNotNull()), "by_slot").join(one(held.where(F.col("agentSlotIndex").isNull()), "by_id"), keys, "full_outer")
+        taken = fusion.accepted_details(F.col("by_slot"), F.col("by_id"), least)
+        sure = F.coalesce(*[F.when(F.col(f"{s}.conf") >= least, F.col(f"{s}.conf")) for s in ("by_slot", "by_id")])
+        parts.append(both.select(*keys, taken.alias("t"), sure.alias(f"{fields[0]}Sure")).where(F.col("t").isNotNull()).select(*keys, "t.*", f"{fields[0]}Sure"))
+    return parts[0].join(parts[1], keys, "full_outer")
+
+
+def with_discs(agents: DataFrame, seen: DataFrame) -> DataFrame:
+    """Discs read from pixels join the payload's in slots that these leave open, the surest reading of a slot first. The confidence is the
+    greater of the readings' mean and the consensus of all sets."""
+    keys = ["sessionId", "agentId"]
+    filled = seen.withColumn("slot", F.col("disc.slot")).where(F.col("slot").between(1, 6))
+    one = fusion.best_observation(filled, [*keys, "slot"], F.col("confidence"), "pos")
+    lists = one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", "disc"))).alias("read"), F.avg(F.col("confidence").cast("decimal(12,6)")).cast("double").alias("read_conf"))
+    both = agents.join(lists, keys, "full_outer")
+    own = F.coalesce("discs", F.array().cast(discs_type()))
+    new = F.filter(F.transform(F.coalesce("read", F.array().cast(f"array<struct<slot:int,disc:{discs_type()[6:-1]}>>")), lambda r: r["disc"]), lambda d: ~F.coalesce(F.array_contains(F.transform(own, lambda x: x["slot"]), d["slot"]), F.lit(False)))
+    both = both.withColumn("new", new).withColumn("added", F.size("new") > 0)
+    merged = F.array_sort(F.concat(own, "new"), lambda a, b: F.when(F.coalesce(a["slot"], F.lit(0)) < F.coalesce(b["slot"], F.lit(0)), -1).when(F.coalesce(a["slot"], F.lit(0)) > F.coalesce(b["slot"], F.lit(0)), 1).otherwise(0))
+    both = both.withColumn("merged", F.when(F.col("added"), merged).otherwise(F.col("discs")))
+    sure = F.greatest(F.col("read_conf"), fusion.consensus_of(F.transform("merged", lambda d: F.struct(d["slot"].alias("slot"), d["setId"].alias("ident")))))
+    conf = F.coalesce("confidenceByField", F.create_map().cast("map<string,double>"))
+    sources = F.coalesce("fieldSources", F.create_map().cast("map<string,string>"))
+    patch = F.create_map(*[x for f in ("discs", "occupancy") for x in (F.lit(f), F.round(F.greatest(F.coalesce(conf[f], F.lit(0.0)), sure), 4))])
+    before = F.coalesce(sources["discs"], F.lit(""))
+    fresh = before.isin("", "missing")
+    told = F.create_map(F.lit("discs"), F.when(fresh, "pixel_discs").otherwise("merged_session_payload_and_pixel_discs"), F.lit("discSlotOccupancy"), F.when(fresh, "derived_from_pixel_discs").otherwise("merged_session_payload_and_pixel_discs"))
+    present, slots = occupancy(F.col("weapon"), F.col("merged"), F.col("weaponPresent"), F.col("discSlotOccupancy"))
+    out = both.withColumns({
+        "weaponPresent": F.when(F.col("added"), present).otherwise(F.col("weaponPresent")),
+        "discSlotOccupancy": F.when(F.col("added"), slots).otherwise(F.col("discSlotOccupancy")),
+        "confidenceByField": F.when(F.col("added"), F.map_zip_with(conf, patch, lambda k, a, b: F.coalesce(b, a))).otherwise(conf),
+        "fieldSources": F.when(F.col("added"), F.map_zip_with(sources, told, lambda k, a, b: F.coalesce(b, a))).otherwise(sources),
+        "appended": F.coalesce("appended", F.lit(False)) | F.col("pos").isNull(),
+    })
+    return out.withColumn("discs", F.col("merged")).drop("read", "read_conf", "new", "added", "merged")
+
+
 def scan(sessions: DataFrame, uid: DataFrame, icons: DataFrame, details: DataFrame, weapons: DataFrame, discs: DataFrame) -> DataFrame:
     """One row per session: status, code, uid, region, confidences, agents (ordered), lowConfReasons.
 
-    uid: sessionId, uid, confidence. icons: see icon_agents. details: sessionId, agentId, level, levelCap, mindscape,
-    mindscapeCap, confidence. weapons: sessionId, agentId, weapon, confidence. discs: sessionId, agentId, discs, confidence.
+    uid: sessionId, uid, confidence. icons: see icon_agents. details, weapons and discs are captures: the columns of CAPTURE,
+    of which agentId is null unless it is stated, and what they show: details level, levelCap, levelConfidence, mindscape,
+    mindscapeCap, mindscapeConfidence; weapons weapon, confidence; discs disc (one), confidence. Captures get their agents by
+    statement, by the slot where a roster shows them, and by a model. If sessions have `lowConfReasons` of an earlier scan, they
+    stay unless this one settles them.
     """
     parsed, reasons = payload_agents(sessions)
     seen, unsure = icon_agents(icons)
@@ -135,12 +208,20 @@ def scan(sessions: DataFrame, uid: DataFrame, icons: DataFrame, details: DataFra
     stated = F.map_zip_with(F.coalesce("confidenceByField", F.create_map().cast("map<string,double>")), F.create_map(F.lit("agentId"), F.round("icon_conf", 4)), lambda k, a, b: F.coalesce(b, a))
     origin = F.map_zip_with(F.coalesce("fieldSources", F.create_map().cast("map<string,string>")), F.create_map(F.lit("agentId"), F.col("icon_source")), lambda k, a, b: F.coalesce(b, a))
     agents = agents.withColumns({"confidenceByField": stated, "fieldSources": origin}).drop("icon_conf", "icon_source")
+    slots = visible_slots(parsed, seen)
+    (details, no_detail), (weapons, no_weapon), (discs, no_disc) = (identified(c, slots, kind) for c, kind in ((details, "detail"), (weapons, "weapon"), (discs, "disc")))
     # Order of the enrichments matters: details, weapons, discs.
-    agents = filled_from(agents, details.where(F.col("confidence") >= fusion.LEVEL_LEAST), ["level", "levelCap", "mindscape", "mindscapeCap"], "level", "agent_detail_pixels")
-    agents = filled_from(agents, weapons, ["weapon"], "weapon", "pixel_weapon")
-    agents = filled_from(agents, discs, ["discs"], "discs", "pixel_discs")
+    read = best_details(details)
+    for field, fields in (("level", ["level", "levelCap"]), ("mindscape", ["mindscape", "mindscapeCap"])):
+        held = read.where(F.col(fields[0]).isNotNull()).withColumn("confidence", F.col(f"{field}Sure"))
+        agents = filled_from(agents, held, fields, field, "agent_detail_pixels")
+    agents = filled_from(agents, fusion.best_observation(weapons, ["sessionId", "agentId"], F.col("confidence"), "pos"), ["weapon"], "weapon", "pixel_weapon")
+    agents = with_discs(agents, discs)
     state = agents.select("sessionId", F.col("agentId").alias("agent"), F.col("weapon.weaponId").alias("weapon"), F.col("weaponPresent").alias("weapon_present"), F.coalesce(F.size("discs"), F.lit(0)).alias("n_discs"), all_empty(F.col("discSlotOccupancy")).alias("slots_empty"), F.when(F.col("levelCap").isNotNull(), F.col("level")).alias("level"), F.when(F.col("mindscapeCap").isNotNull(), F.col("mindscape")).alias("mindscape"))
-    raised = reasons.union(unsure).union(merge_reasons).distinct()
+    raised = reasons.union(unsure).union(merge_reasons).union(no_detail).union(no_weapon).union(no_disc)
+    if "lowConfReasons" in sessions.columns:
+        raised = raised.union(sessions.select("sessionId", F.explode("lowConfReasons")))
+    raised = raised.distinct()
     has_agents = agents.select("sessionId").distinct().withColumn("any", F.lit(True))
     raised = raised.join(has_agents, "sessionId", "left").where(~((F.col("reason") == "agents_empty_after_parse") & F.coalesce("any", F.lit(False)))).drop("any")
     still = fusion.open_reasons(raised, state, "sessionId")
@@ -153,6 +234,8 @@ def scan(sessions: DataFrame, uid: DataFrame, icons: DataFrame, details: DataFra
     )
     region = F.upper(F.coalesce(F.nullif(text(F.col("region")), F.lit("")), F.nullif(text(F.col("regionHint")), F.lit("")), F.lit("OTHER")))
     out = sessions.select("sessionId", "inputLockActive", "anchors", region.alias("region")).join(uid.select("sessionId", "uid", F.col("confidence").alias("uid_conf")), "sessionId", "left").join(lists, "sessionId", "left")
+    metrics = out.select("sessionId", F.col("uid_conf").alias("uid"), F.col("agents_conf").alias("agents"), F.col("equipment_conf").alias("equipment"))
+    still = fusion.fresh_gates(still, "sessionId", metrics)
     out = out.join(still.groupBy("sessionId").agg(F.collect_set("reason").alias("raised")), "sessionId", "left")
     gates = [F.when(text(F.col("uid")) == "", F.lit("uid_missing")), F.when(F.col("agents").isNull(), F.lit("agents_missing"))]
     gates += [F.when(F.coalesce(c, F.lit(0.0)) < least, F.lit(name)) for (name, (_, least)), c in zip(fusion.GATES.items(), ("uid_conf", "agents_conf", "equipment_conf"), strict=True)]

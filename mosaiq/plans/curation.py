@@ -104,27 +104,36 @@ def exact_dedup(spark, sf):
 
 
 SQL_BITS = """
-bits AS (SELECT vec_id, bit_string::BIT::BIGINT AS h FROM (
+signs AS (SELECT vec_id, bit_string::BIT::BIGINT AS h FROM (
   SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS bit_string FROM embeddings)),
-reps AS (SELECT h, min(vec_id) AS vec_id FROM bits GROUP BY h)"""
+bits AS (SELECT vec_id * 4 + k AS frame, xor(h, coalesce(list_sum(list_transform(range(0, 3 * k), lambda j: 1::BIGINT << ((vec_id * 7 + j * 11) % 48)::INT)), 0)::BIGINT) AS h FROM signs, range(0, 4) t(k)),
+reps AS (SELECT h, min(frame) AS frame FROM bits GROUP BY h)"""
 
 
-def sign_bits(spark, sf):
-    """64-bit hash: the signs of an embedding's numbers, first number in the top bit."""
+def frames(spark, sf):
+    """Four frames per vector: 64-bit hashes, the signs of its numbers with the first in the top bit; each frame turns three more
+    low bits than the one before. The third frame shows something else."""
     halves = [F.aggregate(F.slice("embedding", k, 32), F.lit(0).cast("long"), lambda a, x: a * 2 + F.when(x > 0, 1).otherwise(0)) for k in (1, 33)]
-    return table(spark, sf, "embeddings").select("vec_id", F.shiftleft(halves[0], 32).bitwiseOR(halves[1]).alias("h"))
+    h = F.shiftleft(halves[0], 32).bitwiseOR(halves[1])
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", h.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    turned = F.aggregate(F.filter(F.sequence(F.lit(0), F.lit(8)), lambda j: j < 3 * F.col("k")), F.lit(0).cast("long"), lambda a, j: a + F.call_function("shiftleft", F.lit(1).cast("long"), ((F.col("vec_id") * 7 + j * 11) % 48).cast("int")))
+    shown = F.when(F.col("k") == 2, F.reverse("embedding")).otherwise(F.col("embedding"))
+    return rows.select((F.col("vec_id") * 4 + F.col("k")).alias("frame"), F.col("h").bitwiseXOR(turned).alias("h"), shown.alias("shown"))
 
 
 @query(f"""WITH {SQL_BITS}
-SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM reps a JOIN reps b
-ON a.vec_id < b.vec_id AND ((a.h >> 60) & 15) = ((b.h >> 60) & 15) WHERE bit_count(xor(a.h, b.h)) <= 18""")
+SELECT a.frame AS a, b.frame AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM reps a JOIN reps b
+ON a.frame < b.frame AND ((a.h >> 48) & 65535) = ((b.h >> 48) & 65535) WHERE bit_count(xor(a.h, b.h)) <= 6""")
 def near_dup_bits(spark, sf):
-    return C.near_pairs(sign_bits(spark, sf), "vec_id", "h", most=18, shift=60)
+    return C.near_pairs(frames(spark, sf), "frame", "h")
 
 
 @query()
 def near_dup_greedy(spark, sf):
-    return C.greedy_survivors(sign_bits(spark, sf), "vec_id", "h", most=18, shift=60)
+    """Frames that no kept one comes near in hash and looks like."""
+    from mosaiq.operators import pixels
+
+    return C.greedy_survivors(frames(spark, sf), "frame", "h", "shown", pixels.vectors_alike).select("frame", "accepted")
 
 
 SQL_GROUP_SPLIT = """

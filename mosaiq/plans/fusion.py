@@ -8,23 +8,21 @@ from mosaiq.operators import fusion as X
 from mosaiq.plans.common import table
 from mosaiq.plans.registry import query
 
-SQL_KNOWN = "known AS (SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE (l_suppkey % 4)::INT END AS page, (l_partkey % 6 + 1)::INT AS slot, l_returnflag || (l_partkey % 6 + l_linenumber % 3) AS id FROM lineitem WHERE l_orderkey % 400 = 1 AND l_partkey % 6 <> 5)"
-SQL_ONE = "k AS (SELECT page, slot, max(id) AS id FROM known GROUP BY 1, 2)"
-
-
-@query(f"""WITH {SQL_KNOWN}, {SQL_ONE},
-asks AS (SELECT o_orderkey AS ask, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_custkey % 6)::INT END AS page, (o_orderkey % 7 + 1)::INT AS slot FROM orders),
-m AS (SELECT a.ask, a.page AS want, a.slot, k.id, CASE WHEN k.id IS NULL THEN NULL WHEN k.page IS NOT DISTINCT FROM a.page THEN 1 WHEN k.page IS NULL THEN 2 WHEN a.page IS NULL THEN 3 END AS rank FROM asks a LEFT JOIN k USING (slot)),
-b AS (SELECT ask, want, slot, max(CASE WHEN rank = 1 THEN id END) AS f, max(CASE WHEN rank = 2 THEN id END) AS s,
-  CASE WHEN count(DISTINCT CASE WHEN rank IS NOT NULL THEN id END) = 1 THEN max(CASE WHEN rank IS NOT NULL THEN id END) END AS t FROM m GROUP BY 1, 2, 3)
-SELECT ask, want AS page, slot, coalesce(f, s, t, '') AS id FROM b""")
+@query("""
+WITH l AS (SELECT l_orderkey AS session, l_linenumber AS ask, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE (l_suppkey % 3)::INT END AS page, (l_partkey % 4 + 1)::INT AS slot, CASE WHEN l_partkey % 6 <> 5 THEN l_returnflag || l_partkey % 6 ELSE '' END AS id,
+  CASE WHEN l_quantity % 5 = 0 THEN NULL ELSE (l_suppkey % 3)::INT END AS asked, (l_suppkey % 4 + 1)::INT AS at FROM lineitem),
+m AS (SELECT a.session, a.ask, a.asked AS want, a.at AS slot, nullif(k.id, '') AS id, CASE WHEN k.page IS NOT DISTINCT FROM a.asked THEN 1 WHEN k.page IS NULL THEN 2 WHEN a.asked IS NULL THEN 3 END AS rank FROM l a LEFT JOIN l k ON a.session = k.session AND a.at = k.slot),
+b AS (SELECT session, ask, want, slot, max(CASE WHEN rank = 1 THEN id END) AS f, max(CASE WHEN rank = 2 THEN id END) AS s,
+  CASE WHEN count(DISTINCT CASE WHEN rank IS NOT NULL THEN id END) = 1 THEN max(CASE WHEN rank IS NOT NULL THEN id END) END AS t FROM m GROUP BY 1, 2, 3, 4)
+SELECT session, ask, want AS page, slot, coalesce(f, s, t, '') AS id FROM b""")
 def slot_fallback_join(spark, sf):
-    """Exact page, then no page, then the only candidate."""
-    l = table(spark, sf, "lineitem").where("l_orderkey % 400 = 1 and l_partkey % 6 <> 5")  # noqa: E741
-    known = l.select(F.when(F.col("l_linenumber") % 3 != 0, (F.col("l_suppkey") % 4).cast("int")).alias("page"), (F.col("l_partkey") % 6 + 1).cast("int").alias("slot"), F.concat("l_returnflag", (F.col("l_partkey") % 6 + F.col("l_linenumber") % 3).cast("string")).alias("id"))
-    known = known.groupBy("page", "slot").agg(F.max("id").alias("id"))
-    asks = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ask"), F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_custkey") % 6).cast("int")).alias("page"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("slot"))
-    return X.slot_lookup(asks, known, ["ask"])
+    """Exact page, then no page, then the only candidate; each order is a session of its own."""
+    l = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "session")  # noqa: E741
+    part, page = F.col("l_partkey"), (F.col("l_suppkey") % 3).cast("int")
+    ident = F.when(part % 6 != 5, F.concat("l_returnflag", (part % 6).cast("string"))).otherwise("")
+    known = l.select("session", F.when(F.col("l_linenumber") % 3 != 0, page).alias("page"), (part % 4 + 1).cast("int").alias("slot"), ident.alias("id"))
+    asks = l.select("session", F.col("l_linenumber").alias("ask"), F.when(F.col("l_quantity") % 5 != 0, page).alias("page"), (F.col("l_suppkey") % 4 + 1).cast("int").alias("slot"))
+    return X.slot_lookup(asks, known, ["session"], ["ask"])
 
 
 SQL_LISTS = """
@@ -72,19 +70,21 @@ def fill_nulls_enrich(spark, sf):
 
 
 @query("""
-WITH one AS (SELECT l_orderkey AS k, l_linenumber AS slot, max(l_shipmode) AS ident FROM (SELECT l_orderkey, l_linenumber, l_returnflag AS l_shipmode FROM lineitem) WHERE l_linenumber BETWEEN 1 AND 6 GROUP BY 1, 2),
+WITH one AS (SELECT l_orderkey AS k, (l_linenumber - 1) % 6 + 1 AS slot, arg_max(l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS ident FROM lineitem GROUP BY 1, 2),
 c AS (SELECT k, ident, count(*) AS n FROM one GROUP BY 1, 2), s AS (SELECT k, sum(n) AS total, max(n) AS top, count(*) AS u, min(n) AS low FROM c GROUP BY 1)
-SELECT k, CASE WHEN total <> 6 THEN 0.0 WHEN top = 6 THEN 0.92 WHEN top >= 5 THEN 0.88 WHEN top = 4 AND u <= 2 THEN 0.86 WHEN top = 4 AND u = 3 THEN 0.80 WHEN u IN (2, 3) AND top = low THEN 0.80 ELSE 0.0 END::DOUBLE AS confidence FROM s
-UNION ALL SELECT DISTINCT l_orderkey, 0.0::DOUBLE FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM s)""")
+SELECT k, CASE WHEN total <> 6 THEN 0.0 WHEN top = 6 THEN 0.92 WHEN top >= 5 THEN 0.88 WHEN top = 4 AND u <= 2 THEN 0.86 WHEN top = 4 AND u = 3 THEN 0.80 WHEN u IN (2, 3) AND top = low THEN 0.80 ELSE 0.0 END::DOUBLE AS confidence FROM s""")
 def consensus_confidence(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("slot"), F.col("l_returnflag").alias("ident"))
-    return X.consensus(rows, "k", "slot", "ident")
+    """Seven readings of six slots: the seventh overrules the first."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), ((F.col("l_linenumber") - 1) % 6 + 1).alias("slot"), F.col("l_returnflag").alias("ident"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").alias("pos"))
+    return X.consensus(rows, "k", "slot", "ident", "pos")
 
 
 @query("""
-SELECT user_id, min(event_type) AS label, min(value) AS confidence FROM events WHERE event_id % 40 = 0 GROUP BY user_id HAVING count(*) >= 2 AND count(DISTINCT event_type) = 1 AND min(value) >= 3""")
+SELECT user_id, hour, min(event_type) AS label, min(value) AS confidence FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H') AS hour FROM events) GROUP BY user_id, hour HAVING count(*) >= 2 AND count(DISTINCT event_type) = 1 AND min(value) >= 3""")
 def agreement_filter(spark, sf):
-    return X.agreement(table(spark, sf, "events").where("event_id % 40 = 0"), "user_id", "event_type", "value", 3.0)
+    """Observations of one hour that all agree."""
+    rows = table(spark, sf, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd'T'HH").alias("hour"), "event_type", "value")
+    return X.agreement(rows, ["user_id", "hour"], "event_type", "value", 3.0)
 
 
 @query("""
@@ -129,14 +129,14 @@ def scan_status(spark, sf):
 
 
 @query("""
-WITH f AS (SELECT user_id, bool_or(event_type = 'click') AS payload, bool_or(event_type = 'view' AND value > 30) AS model, bool_or(event_type = 'purchase' AND value > 40) AS ocr, bool_or(value > 95) AS overview FROM events WHERE event_id % 20 = 0 GROUP BY 1)
-SELECT user_id, CASE WHEN payload AND model THEN 'payload+model' WHEN model AND ocr THEN 'model+ocr' WHEN model THEN 'model' WHEN ocr THEN 'ocr' WHEN overview THEN 'overview' WHEN payload THEN 'payload' ELSE 'missing' END AS origin FROM f""")
+WITH f AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, bool_or(event_type = 'click') AS payload, bool_or(event_type = 'view' AND value > 30) AS model, bool_or(event_type = 'purchase' AND value > 40) AS ocr, bool_or(value > 95) AS overview FROM events GROUP BY 1, 2)
+SELECT user_id, day, CASE WHEN payload AND model THEN 'payload+model' WHEN model AND ocr THEN 'model+ocr' WHEN model THEN 'model' WHEN ocr THEN 'ocr' WHEN overview THEN 'overview' WHEN payload THEN 'payload' ELSE 'missing' END AS origin FROM f""")
 def equipment_source(spark, sf):
     """Provenance by precedence of the evidence."""
-    e = table(spark, sf, "events").where("event_id % 20 = 0")
+    e = table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     kind, v = F.col("event_type"), F.col("value")
-    flags = e.groupBy("user_id").agg(F.bool_or(kind == "click").alias("payload"), F.bool_or((kind == "view") & (v > 30)).alias("model"), F.bool_or((kind == "purchase") & (v > 40)).alias("ocr"), F.bool_or(v > 95).alias("overview"))
-    return flags.select("user_id", X.equipment_source({k: F.col(k) for k in ("payload", "model", "ocr", "overview")}).alias("origin"))
+    flags = e.groupBy("user_id", "day").agg(F.bool_or(kind == "click").alias("payload"), F.bool_or((kind == "view") & (v > 30)).alias("model"), F.bool_or((kind == "purchase") & (v > 40)).alias("ocr"), F.bool_or(v > 95).alias("overview"))
+    return flags.select("user_id", "day", X.equipment_source({k: F.col(k) for k in ("payload", "model", "ocr", "overview")}).alias("origin"))
 
 
 @query("""

@@ -88,10 +88,10 @@ def training_sample(spark, sf):
 
 @query("""
 SELECT format('{}_uid_digit_{:02d}', o_orderkey, i - 1) AS id, 'derived_uid_digit' AS kind, substr((1000000000 + o_orderkey)::VARCHAR, i::INT, 1) AS label, (i - 1)::INT AS piece, o_orderkey::VARCHAR AS parent
-FROM orders, range(1, 11) t(i) WHERE o_orderkey < 300""")
+FROM orders, range(1, 11) t(i)""")
 def derived_digits(spark, sf):
     """One row per digit of a reviewed number, with the way back to its parent."""
-    parents = table(spark, sf, "orders").where("o_orderkey < 300").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("s").alias("sourceId"), F.lit("t").alias("sessionId"), (F.col("o_orderkey") + 1000000000).cast("string").alias("uid"))
+    parents = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("s").alias("sourceId"), F.lit("t").alias("sessionId"), (F.col("o_orderkey") + 1000000000).cast("string").alias("uid"))
     return L.derived(parents, F.filter(F.split("uid", ""), lambda c: c != ""), "uid_digit").select("id", "kind", "label", "piece", F.col("derivedFromRecordId").alias("parent"))
 
 

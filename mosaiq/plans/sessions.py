@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.functions import details
@@ -93,17 +94,59 @@ def session_captures(spark, sf):
     return manifest.captures(sessions(spark, sf)).select(F.col("sessionId").alias("session"), "role", "alias", F.col("agentSlotIndex").alias("slot"))
 
 
-@query()
+def shown(rows, pos, shows, stated=None, page=None, slot=None, model=None, sure=None):
+    """Captures out of orders: who they show, by statement, slot or model, and what."""
+    empty = {"agentId": "string", "pageIndex": "int", "agentSlotIndex": "int", "modelId": "string", "modelConfidence": "double"}
+    given = dict(zip(empty, (stated, page, slot, model, sure), strict=True))
+    return rows.select(F.col("o_custkey").cast("string").alias("sessionId"), pos.cast("int").alias("pos"), *[(F.lit(None) if given[n] is None else given[n]).cast(t).alias(n) for n, t in empty.items()], *shows)
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS s, o_orderkey AS k, 'a' || o_orderkey AS a, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+i AS (SELECT * FROM o WHERE k % 2 = 1),
+m AS (SELECT *, k % 2 = 1 AS icon FROM o),
+-- details: stated for every third order, by slot for icons of even rank, by a model that contradicts the slot for every seventh
+dl AS (SELECT s, a, 0.8 + (k % 5) / 50.0 AS c, 0.4 + (k % 5) / 20.0 AS mc, false AS by_slot FROM o WHERE k % 3 = 0
+  UNION ALL SELECT s, a, 0.7 + (k % 4) / 10.0, 0.6, true FROM i WHERE n % 2 = 0 AND k % 7 <> 0),
+lost AS (SELECT s, 'detail_agent_unresolved:' || (k + 1000000) AS reason FROM i WHERE n % 2 = 0 AND k % 7 = 0),
+lv AS (SELECT s, a, max(c) FILTER (by_slot AND c >= 0.78) AS sl, max(c) FILTER (NOT by_slot AND c >= 0.78) AS st, max(mc) FILTER (by_slot AND mc >= 0.5) AS ml, max(mc) FILTER (NOT by_slot AND mc >= 0.5) AS mt FROM dl GROUP BY 1, 2),
+f AS (SELECT m.*, p > 200000 AS w, p > 300000 AS d, CASE WHEN k % 2 = 0 THEN p > 250000 END AS stated, CASE WHEN k % 3 <> 0 THEN k % 60 + 1 END AS level0, CASE WHEN k % 5 <> 0 THEN k % 7 END AS mind0, coalesce(lv.sl, lv.st) AS lc, coalesce(lv.ml, lv.mt) AS mc FROM m LEFT JOIN lv USING (s, a)),
+-- weapons are seen below 200000 or more; six discs of one set where the price is below 300000 and the key divisible by 4, one where only below
+g AS (SELECT *, NOT w AND p < 200000 AS seen_w, CASE WHEN p < 300000 THEN CASE WHEN k % 4 = 0 THEN 6 ELSE 1 END ELSE 0 END AS read,
+  CASE WHEN icon THEN 0.95 ELSE 0.99 END AS id_conf, level0 IS NOT NULL OR lc IS NOT NULL AS has_level, mind0 IS NOT NULL OR mc IS NOT NULL AS has_mind FROM f),
+h AS (SELECT *, CASE WHEN NOT w AND stated IS NOT NULL AND NOT stated THEN 0.9 WHEN w THEN 0.9 ELSE 0.22 END AS wc0, CASE WHEN d THEN 0.9 ELSE 0.22 END AS dc0 FROM g),
+c AS (SELECT *, CASE WHEN seen_w THEN 0.96 ELSE wc0 END AS wc, CASE WHEN read = 6 THEN greatest(dc0, 0.92) WHEN read = 1 AND NOT d THEN greatest(dc0, 0.7) ELSE dc0 END AS dc FROM h),
+mt AS (SELECT s, round(avg(id_conf::DECIMAL(12, 6))::DOUBLE, 4) AS agents_confidence, round(avg(((wc + dc) / 2)::DECIMAL(12, 6))::DOUBLE, 4) AS equipment_confidence, count(*)::INT AS n_agents, count(*) FILTER (icon) AS icons FROM c GROUP BY 1),
+r AS (
+  SELECT s, a || '.weapon_missing' AS reason FROM c WHERE NOT w AND NOT seen_w AND coalesce(stated, w) 
+  UNION ALL SELECT s, a || '.level_missing' FROM c WHERE NOT has_level UNION ALL SELECT s, a || '.mindscape_missing' FROM c WHERE NOT has_mind
+  UNION ALL SELECT s, 'agent_payload_not_visible_in_roster:' || a FROM c JOIN mt USING (s) WHERE NOT icon AND icons > 0
+  UNION ALL SELECT s, reason FROM lost
+  UNION ALL SELECT s, 'uid_missing' FROM mt WHERE s % 4 = 0 UNION ALL SELECT s, 'uid_low_confidence' FROM mt WHERE s % 4 = 0
+  UNION ALL SELECT s, 'agents_low_confidence' FROM mt WHERE agents_confidence < 0.9 UNION ALL SELECT s, 'equipment_low_confidence' FROM mt WHERE equipment_confidence < 0.85),
+l AS (SELECT s, string_agg(DISTINCT reason, ';' ORDER BY reason) AS reasons FROM r GROUP BY 1)
+SELECT s::VARCHAR AS "sessionId", CASE WHEN s % 10 = 0 THEN 'error' WHEN reasons IS NOT NULL THEN 'degraded' ELSE 'ok' END AS status, CASE WHEN s % 10 = 0 THEN 'INPUT_LOCK_NOT_ACTIVE' WHEN reasons IS NOT NULL THEN 'LOW_CONFIDENCE' END AS code,
+  CASE WHEN s % 4 <> 0 THEN lpad(s::VARCHAR, 10, '1') ELSE '' END AS uid, agents_confidence, equipment_confidence, n_agents, coalesce(reasons, '') AS reasons FROM mt LEFT JOIN l USING (s)""")
 def strict_scan(spark, sf):
-    """The whole fusion over all sessions at once: gates, merge, enrichments, reasons."""
-    s, o = sessions(spark, sf), table(spark, sf, "orders")
-    ident, session = F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("agentId"), F.col("o_custkey").cast("string").alias("sessionId")
+    """The whole fusion over all sessions at once: gates, merge, captures named by statement, slot and model, enrichments, reasons."""
+    s, o = sessions(spark, sf), table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    ident = F.concat(F.lit("a"), key.cast("string"))
+    # An agent's slot is its place in the session's list.
+    o = o.withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("int"))
     uid = s.select("sessionId", F.lpad("sessionId", 10, "1").alias("uid"), F.lit(0.97).alias("confidence")).where(F.col("sessionId").cast("int") % 4 != 0)
-    icons = o.where("o_orderkey % 2 = 1").select(session, F.col("o_orderkey").cast("int").alias("pos"), ident.alias("label"), F.lit(0.95).alias("confidence"), F.lit(0).alias("pageIndex"), F.lit(1).alias("agentSlotIndex"))
-    seen = o.where("o_orderkey % 3 = 0").select(session, ident, F.lit(40.0).alias("level"), F.lit(60.0).alias("levelCap"), F.lit(2.0).alias("mindscape"), F.lit(6.0).alias("mindscapeCap"), F.lit(0.9).alias("confidence"))
-    weapons = o.where("o_totalprice < 200000").select(session, ident, F.struct(F.col("o_clerk") if "o_clerk" in o.columns else F.lit("w").alias("weaponId"), F.lit("W").alias("displayName"), F.lit(60.0).alias("level")).alias("weapon"), F.lit(0.96).alias("confidence"))
-    discs = o.where("o_totalprice < 300000").select(session, ident, F.array(F.struct(F.lit(1).alias("slot"), F.lit("x").alias("setId"), F.lit("X").alias("displayName"), F.lit(15.0).alias("level"), F.lit(15.0).alias("levelCap"))).cast(scan.discs_type()).alias("discs"), F.lit(0.9).alias("confidence"))
-    return scan.scan(s, uid, icons, seen, weapons, discs).select("sessionId", "status", "code", "uid", "agents_confidence", "equipment_confidence", F.size("agents").alias("n_agents"), F.array_join("lowConfReasons", ";").alias("reasons"))
+    icons = o.where(key % 2 == 1).select(F.col("o_custkey").cast("string").alias("sessionId"), F.col("n").alias("pos"), ident.alias("label"), F.lit(0.95).alias("confidence"), F.lit(0).alias("pageIndex"), F.col("n").alias("agentSlotIndex"))
+    reading = lambda level, mind: [F.lit(40.0).alias("level"), F.lit(60.0).alias("levelCap"), level.cast("double").alias("levelConfidence"), F.lit(2.0).alias("mindscape"), F.lit(6.0).alias("mindscapeCap"), mind.cast("double").alias("mindscapeConfidence")]
+    stated = shown(o.where(key % 3 == 0), key, reading(0.8 + (key % 5) / 50, 0.4 + (key % 5) / 20), stated=ident)
+    odd = F.when(key % 7 == 0, "stranger")
+    placed = shown(o.where((key % 2 == 1) & (F.col("n") % 2 == 0)), key + 1_000_000, reading(0.7 + (key % 4) / 10, F.lit(0.6)), page=F.lit(0), slot=F.col("n"), model=odd, sure=F.lit(0.5))
+    weapon = F.struct(F.lit("w").alias("weaponId"), F.lit("W").alias("displayName"), F.lit(60.0).alias("level"))
+    weapons = shown(o.where(price < 200000), key, [weapon.alias("weapon"), F.lit(0.96).alias("confidence")], stated=ident)
+    disc = F.struct(F.col("slot").cast("int").alias("slot"), F.lit("x").alias("setId"), F.lit("X").alias("displayName"), F.lit(15.0).alias("level"), F.lit(15.0).alias("levelCap"))
+    read = o.where(price < 300000).withColumn("slot", F.explode(F.when(key % 4 == 0, F.sequence(F.lit(1), F.lit(6))).otherwise(F.array(F.lit(1)))))
+    discs = shown(read, key * 10 + F.col("slot"), [disc.alias("disc"), F.lit(0.7).alias("confidence")], stated=ident)
+    out = scan.scan(s, uid, icons, stated.unionByName(placed), weapons, discs)
+    return out.select("sessionId", "status", "code", "uid", "agents_confidence", "equipment_confidence", F.size("agents").alias("n_agents"), F.array_join("lowConfReasons", ";").alias("reasons"))
 
 
 @query("""

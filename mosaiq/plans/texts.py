@@ -74,8 +74,7 @@ r AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(score) OVER w, 0) AS se
 SELECT title, id, round(score, 6) AS score FROM r WHERE rn = 1 AND score >= 0.6 AND score - second >= 0.05""")
 def fuzzy_levenshtein(spark, sf):
     read, known = titles(spark, sf)
-    score = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-    return E.fuzzy_best(read, "title", known, 0.6, 0.05, score).select("title", "id", F.round("score", 6).alias("score"))
+    return E.fuzzy_best(read, "title", known, 0.6, 0.05, "edits").select("title", "id", F.round("score", 6).alias("score"))
 
 
 RAW_UID = "CASE event_id % 4 WHEN 0 THEN 'uid ' || (1000000000 + event_id * 7919) WHEN 1 THEN (10000 + event_id) || '-' || (20000 + user_id) WHEN 2 THEN 'x' || (100000000000 + event_id) ELSE event_type END"
@@ -120,9 +119,9 @@ def path_tokens_locale(spark, sf):
 SQL_CELL = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 
-@query(f"SELECT page_id, '<tr><td>' || page_id || '</td><td>' || {SQL_CELL.format('url')} || '</td><td>' || {SQL_CELL.format('substr(html, 1, 200)')} || '</td></tr>' AS row FROM pages")
+@query(f"SELECT page_id, '<tr><td>' || page_id || '</td><td>' || {SQL_CELL.format('url')} || '</td><td>' || {SQL_CELL.format('html')} || '</td></tr>' AS row FROM pages")
 def html_escape_export(spark, sf):
-    cells = [texts.html_cell(c) for c in (F.col("page_id"), F.col("url"), F.substring("html", 1, 200))]
+    cells = [texts.html_cell(c) for c in (F.col("page_id"), F.col("url"), F.col("html"))]
     return table(spark, sf, "pages").select("page_id", F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit("<td>"), c, F.lit("</td>"))], F.lit("</tr>")).alias("row"))
 
 

@@ -138,6 +138,15 @@ def test_quality_against_loops(spark):
             want += abs(np.mean([o for _, o in here]) - np.mean([c for c, _ in here])) * len(here) / len(conf)
     df = frame(spark, list(zip(conf, ok, strict=True)), "c double, ok boolean")
     assert quality.calibration_error(df, F.col("c"), F.col("ok")).first().ece == pytest.approx(want, abs=1e-6)
+    groups = {"a": [rng.random() for _ in range(3000)], "b": [7.0] * 500 + [rng.choice([1.0, 2.0, 7.0, 9.0]) for _ in range(777)], "c": [5.0], None: [3.0, 1.0, None, 2.0]}
+    df = frame(spark, [(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    shares = {"least": 0.0, "p50": 0.5, "p90": 0.9, "p99": 0.99, "most": 1.0}
+    one, other = ({r.k: r for r in f(df, ["k"], "v", shares).collect()} for f in (quality.floor_percentiles, quality.linear_percentiles))
+    for k, vs in groups.items():
+        ordered = sorted(v for v in vs if v is not None)
+        for name, q in shares.items():
+            assert one[k][name] == ordered[int(q * (len(ordered) - 1))]
+            assert other[k][name] == pytest.approx(np.quantile(ordered, q))
     values = sorted(rng.random() for _ in range(101))
     p = quality.floor_percentiles(frame(spark, [("a", v) for v in values], "k string, v double"), ["k"], "v", {"p50": 0.5, "p90": 0.9, "p99": 0.99}).first()
     assert (p.p50, p.p90, p.p99) == tuple(values[int(q * 100)] for q in (0.5, 0.9, 0.99))
@@ -151,9 +160,9 @@ def test_quality_against_loops(spark):
 
 
 def test_slot_cascade(spark):
-    known = frame(spark, [(1, 1, "a"), (None, 1, "b"), (2, 2, "c"), (3, 3, "d"), (4, 3, "e"), (None, 4, "")], "page int, slot int, id string")
-    asks = frame(spark, [(1, 1, 1), (2, 9, 1), (3, None, 2), (4, 9, 2), (5, None, 3), (6, 1, 4), (7, None, 1)], "k int, page int, slot int")
-    found = {r.k: r.id for r in fusion.slot_lookup(asks, known, ["k"]).collect()}
+    known = frame(spark, [("s", 1, 1, "a"), ("s", None, 1, "b"), ("s", 2, 2, "c"), ("s", 3, 3, "d"), ("s", 4, 3, "e"), ("s", None, 4, ""), ("t", 9, 2, "other session"), ("t", None, 4, "x")], "s string, page int, slot int, id string")
+    asks = frame(spark, [("s", 1, 1, 1), ("s", 2, 9, 1), ("s", 3, None, 2), ("s", 4, 9, 2), ("s", 5, None, 3), ("s", 6, 1, 4), ("s", 7, None, 1)], "s string, k int, page int, slot int")
+    found = {r.k: r.id for r in fusion.slot_lookup(asks, known, ["s"], ["k"]).collect()}
     assert found == {1: "a", 2: "b", 3: "c", 4: "", 5: "", 6: "", 7: "b"}
 
 
@@ -171,8 +180,11 @@ def test_merged_lists_and_enrichment(spark):
 
 @pytest.mark.parametrize(("sets", "want"), [("aaaaaa", 0.92), ("aaaaab", 0.88), ("aaaabb", 0.86), ("aaaabc", 0.80), ("aabbcc", 0.80), ("aaabbb", 0.80), ("aaabbc", 0.0), ("aaaaa", 0.0)])
 def test_consensus(spark, sets, want):
-    df = frame(spark, [(1, k + 1, s) for k, s in enumerate(sets)], "k int, slot int, id string")
-    assert fusion.consensus(df, "k", "slot", "id").first().confidence == want
+    # Each slot was read before, otherwise; blank readings and other slots don't count.
+    rows = [(1, k + 1, "z", -k) for k in range(6)] + [(1, k + 1, s, k + 1) for k, s in enumerate(sets)] + [(1, 1, " " * 0, 99), (1, 7, "q", 5), (1, None, "q", 5)]
+    rows = [r for r in rows if len(sets) == 6 or r[1] != 6]
+    df = frame(spark, [*rows, (2, None, None, 1)], "k int, slot int, id string, pos int")
+    assert {r.k: r.confidence for r in fusion.consensus(df, "k", "slot", "id", "pos").collect()} == {1: want, 2: 0.0}
 
 
 def test_policy_rules(spark):
@@ -294,3 +306,82 @@ def test_onnx_prediction(spark):
     assert found[2].confidence == pytest.approx(np.exp(5) / (np.exp(5) + 2), rel=1e-5)
     with pytest.raises(Exception, match="(?i)onnx|protobuf|model"):
         models.onnx_predict(df, "k", "v", b"not a model", ["a"]).collect()
+
+
+def test_fuzzy_misses_no_alias(spark):
+    import difflib
+
+    pairs = [("xabycdzefw", "abcdef"), ("abcdefghij", "xbcxefxhix")]
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 9)))
+    known = frame(spark, [*((b, k) for k, (_, b) in enumerate(pairs)), *((word(), 100 + k) for k in range(60)), ("", 7), (None, 8)], "alias string, id int")
+    asked = [a for a, _ in pairs] + [word() for _ in range(60)]
+    aliases = sorted({(r.alias, r.id) for r in known.collect() if r.alias})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row = [i] + [0] * len(b) if (last := row) is None else [i, *last[1:]]
+            for j, d in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != d))
+        return 1 - row[-1] / max(len(a), len(b))
+
+    for name, score in (("sequence", lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()), ("edits", edits)):
+        want = {}
+        for a in asked:
+            top = sorted(((-score(a, b), b, k) for b, k in aliases))[:2]
+            if -top[0][0] >= 0.6 and top[1][0] - top[0][0] >= 0.05:
+                want[a] = (top[0][2], pytest.approx(-top[0][0]))
+        df = frame(spark, [*((a,) for a in asked), ("",), (None,)], "q string")
+        assert {r.q: (r.id, r.score) for r in entity.fuzzy_best(df, "q", known, 0.6, 0.05, name).collect()} == want
+        assert want.get("xabycdzefw", (0,))[0] == 0
+
+
+def test_greedy_duplicates_must_look_alike_too(spark):
+    rows = [(1, 0, [0.0, 1.0]), (2, 1, [0.0, 1.0]), (3, 1, [9.0, 9.0]), (4, 3, [9.0, 8.9]), (5, 0, [0.0, 1.0]), (6, 1 << 50, [0.0, 1.0])]
+    df = frame(spark, rows, "id long, h long, v array<double>")
+    alike = lambda a, b: 1 - abs(a[0] - b[0]) - abs(a[1] - b[1])
+    found = {r.id: r.accepted for r in curation.greedy_survivors(df, "id", "h", "v", alike, least=0.8).collect()}
+    assert found == {1: True, 2: False, 3: True, 4: False, 5: False, 6: True}
+
+
+def test_stratified_splits_are_cut_per_label(spark):
+    import hashlib
+
+    rows = [(k, lab) for k, lab in enumerate([1] * 50 + [None] * 9 + [0] * 31)]
+    found = {r.k: r.split for r in ranks.stratified_splits(frame(spark, rows, "k long, y int"), "y", "k", "s").collect()}
+    for lab in (1, None, 0):
+        keys = sorted((k for k, y in rows if y == lab), key=lambda k: hashlib.md5(f"s{k}".encode()).hexdigest())
+        a, b = int(len(keys) * 0.8), int(len(keys) * 0.1)
+        assert [found[k] for k in keys] == ["train"] * a + ["val"] * b + ["test"] * (len(keys) - a - b)
+
+
+def test_softmax_regression_and_bootstrap(spark):
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 3, 300)
+    x = rng.normal(size=(300, 4)) + np.eye(3, 4)[y] * 4
+    w = models.softmax_regression(x, y, 3, ridge=1.0, rounds=5000)
+    full = np.hstack([x, np.ones((300, 1))])
+    gradient = full.T @ (models.probabilities_of(full @ w) - np.eye(3)[y]) + np.vstack([w[:-1], np.zeros((1, 3))])
+    assert np.abs(gradient).max() < 1e-2
+    labels = [str(v) for v in y]
+    wrong = [k for k in range(300) if k % 29 == 0]
+    for k in wrong:
+        labels[k] = str((y[k] + 1) % 3)
+    rows = [(k, x[k].tolist(), labels[k]) for k in range(300)] + [(1000, None, "1"), (1001, [0.0] * 4, None)]
+    found = {r.k: r.status for r in models.bootstrap_labels(frame(spark, rows, "k long, v array<double>, y string"), "k", "v", "y").collect()}
+    assert len(found) == 302 and found[1000] == found[1001] == "unresolved"
+    assert sum(s == "trusted" for s in found.values()) > 200 and sum(found[k] == "conflict" for k in wrong) >= 4
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from mosaiq.streaming import capture
+
+    folder = tmp_path / "in"
+    one = frame(spark, [(1, 1), (2, 2)], "k long, v long")
+    one.write.parquet(str(folder))
+    stream = lambda: spark.readStream.schema(one.schema).parquet(str(folder)).select("k")
+    assert sorted(r.k for r in capture.run_to_end(stream(), "append", "t", run="r1").collect()) == [1, 2]
+    frame(spark, [(3, 3)], "k long, v long").write.mode("append").parquet(str(folder))
+    assert sorted(r.k for r in capture.run_to_end(stream(), "append", "t", run="r1").collect()) == [1, 2, 3]
+    assert capture.run_to_end(spark.readStream.schema(one.schema).parquet(str(folder)).where("k > 9"), "append", "t").collect() == []

@@ -79,14 +79,25 @@ def session(spark, **more):
     return spark.createDataFrame([(json.dumps(base),)], "j string").select(F.from_json("j", schemas.SESSION).alias("x")).select("x.*")
 
 
+SHOWN = {
+    "details": "level double, levelCap double, levelConfidence double, mindscape double, mindscapeCap double, mindscapeConfidence double",
+    "weapons": "weapon struct<weaponId:string,displayName:string,level:double>, confidence double",
+    "discs": f"disc {scan.discs_type()[6:-1]}, confidence double",
+}
+
+
+def captures(spark, kind, rows):
+    """rows: (agentId, pageIndex, agentSlotIndex, modelId, modelConfidence, *shown)"""
+    return spark.createDataFrame([("s1", k, *r) for k, r in enumerate(rows)], f"{scan.CAPTURE}, {SHOWN[kind]}")
+
+
 def empties(spark):
-    keys = "sessionId string, agentId string"
     return {
         "uid": spark.createDataFrame([("s1", "1234567890", 0.99)], "sessionId string, uid string, confidence double"),
         "icons": spark.createDataFrame([], "sessionId string, pos int, label string, confidence double, pageIndex int, agentSlotIndex int"),
-        "details": spark.createDataFrame([], f"{keys}, level double, levelCap double, mindscape double, mindscapeCap double, confidence double"),
-        "weapons": spark.createDataFrame([], f"{keys}, weapon struct<weaponId:string,displayName:string,level:double>, confidence double"),
-        "discs": spark.createDataFrame([], f"{keys}, discs {scan.discs_type()}, confidence double"),
+        "details": captures(spark, "details", []),
+        "weapons": captures(spark, "weapons", []),
+        "discs": captures(spark, "discs", []),
     }
 
 
@@ -111,10 +122,9 @@ def test_scan_gates_and_partial_results(spark):
 
 def test_scan_fills_what_the_payload_lacks(spark):
     parts = empties(spark)
-    keys = "sessionId string, agentId string"
-    parts["details"] = spark.createDataFrame([("s1", "a", 50.0, 60.0, 1.0, 6.0, 0.9), ("s1", "new", 1.0, 10.0, 0.0, 6.0, 0.5)], f"{keys}, level double, levelCap double, mindscape double, mindscapeCap double, confidence double")
-    parts["weapons"] = spark.createDataFrame([("s1", "a", ("w2", "W", 60.0), 0.96)], f"{keys}, weapon struct<weaponId:string,displayName:string,level:double>, confidence double")
-    parts["discs"] = spark.createDataFrame([("s1", "b", [(1, "x", "X", 15.0, 15.0)], 0.9)], f"{keys}, discs {scan.discs_type()}, confidence double")
+    parts["details"] = captures(spark, "details", [("a", None, None, None, None, 50.0, 60.0, 0.9, 1.0, 6.0, 0.9), ("new", None, None, None, None, 1.0, 10.0, 0.5, 0.0, 6.0, 0.4)])
+    parts["weapons"] = captures(spark, "weapons", [("a", None, None, None, None, ("w2", "W", 60.0), 0.96)])
+    parts["discs"] = captures(spark, "discs", [("b", None, None, None, None, (1, "x", "X", 15.0, 15.0), 0.9)])
     r = scan.scan(session(spark, agents=[{"agentId": "a"}, {"agentId": "a"}, {"agentId": ""}]), **parts).first()
     agents = {x["agentId"]: x for x in map(json.loads, r.agents)}
     assert set(agents) == {"a", "b"} and agents["a"]["weapon"]["weaponId"] == "w2" and agents["a"]["level"] == 50.0
@@ -124,6 +134,32 @@ def test_scan_fills_what_the_payload_lacks(spark):
     assert {"duplicate_agent_id_from_session_payload:a", "agent[2].agentId_missing"} <= set(r.lowConfReasons)
 
 
+def test_scan_names_captures_by_slot_and_model(spark):
+    parts = empties(spark)
+    parts["icons"] = spark.createDataFrame([("s1", 0, "a", 0.95, 0, 1), ("s1", 1, "b", 0.95, 0, 2), ("s1", 2, "c", 0.95, None, 3)], "sessionId string, pos int, label string, confidence double, pageIndex int, agentSlotIndex int")
+    level = lambda v, c: (v, 60.0, c, None, None, None)
+    mind = lambda v, c: (None, None, None, v, 6.0, c)
+    parts["details"] = captures(spark, "details", [
+        (None, 0, 1, None, None, *level(31.0, 0.80)), (None, 0, 1, None, None, *level(32.0, 0.85)), ("a", None, None, None, None, *level(33.0, 0.99)),
+        (None, 0, 2, "a", 0.5, *level(40.0, 0.9)), (None, 0, 2, "b", 0.7, *mind(2.0, 0.55)), (None, 9, 3, None, None, *level(50.0, 0.7)), ("c", None, None, None, None, *level(51.0, 0.8)), (None, 5, 5, None, None, *level(1.0, 0.9)),
+    ])
+    parts["weapons"] = captures(spark, "weapons", [(None, 0, 1, "b", 0.95, ("w1", None, 1.0), 0.9), (None, 0, 2, None, None, ("w2", None, 1.0), 0.97), ("b", None, None, None, None, ("w3", None, 1.0), 0.5)])
+    disc = lambda k, s, c: (None, 0, 1, None, None, (k, s, None, None, None), c)
+    parts["discs"] = captures(spark, "discs", [disc(1, "y", 0.3), *(disc(k, "x", 0.8) for k in range(1, 7)), ("c", None, None, None, None, (2, "z", None, None, None), 0.6)])
+    payload = [{"agentId": "c", "discs": [{"slot": 1, "setId": "q"}]}]
+    r = scan.scan(session(spark, agents=payload).withColumn("lowConfReasons", F.array(F.lit("uid_low_confidence"), F.lit("kept"))), **parts).first()
+    agents = {x["agentId"]: x for x in map(json.loads, r.agents)}
+    # The slot's surest reading is taken before one that names the agent; that fills in where the slot's isn't sure enough.
+    assert agents["a"]["level"] == 32.0 and agents["c"]["level"] == 51.0 and agents["a"]["confidenceByField"]["level"] == 0.85
+    # A model that contradicts the slot overrules it only if it is sure.
+    assert "level" not in agents["b"] and agents["b"]["mindscape"] == 2.0 and agents["b"]["weapon"]["weaponId"] == "w2" and "weapon" not in agents["a"]
+    assert {"detail_agent_unresolved:3", "detail_agent_unresolved:7", "kept"} <= set(r.lowConfReasons) and "uid_low_confidence" not in r.lowConfReasons
+    # Six slots of one set are surer than their readings.
+    assert [d["setId"] for d in agents["a"]["discs"]] == ["x"] * 6 and agents["a"]["confidenceByField"]["discs"] == 0.92
+    assert [(d["slot"], d["setId"]) for d in agents["c"]["discs"]] == [(1, "q"), (2, "z")] and agents["c"]["fieldSources"]["discs"] == "merged_session_payload_and_pixel_discs"
+    assert agents["c"]["confidenceByField"]["discs"] == 0.9 and agents["a"]["fieldSources"]["discSlotOccupancy"] == "derived_from_pixel_discs" and all(agents["a"]["discSlotOccupancy"].values())
+
+
 def test_review_forms(spark):
     df = spark.createDataFrame([('{"hp_pct": "12,5%", "impact": 3}', '[{"slot": 2, "setName": "Blues", "level": 15, "levelCap": 15}, {"slot": 1, "setId": "set_m"}]', '[{"key": "hp_pct", "value": "+3"}]'), ('{"luck": 1}', '[{"slot": 9, "setId": "set_m"}]', "[1]"), ("[]", "x", None), (None, "", "")], "m string, d string, s string")
     names = {"blues": "set_b", "set_m": "set_m"}

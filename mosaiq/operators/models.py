@@ -62,6 +62,43 @@ def probabilities_of(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def field(number: int, value: int | bytes) -> bytes:
+    """One field of the wire format that model files use: a number, or bytes."""
+    def varint(n: int) -> bytes:
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def linear_onnx(weights: np.ndarray) -> bytes:
+    """An ONNX model file of a softmax classifier, probabilities = softmax(x w + b); weights: (features + 1) x classes, b last."""
+    w, b = np.asarray(weights[:-1], "<f4"), np.asarray(weights[-1], "<f4")
+    # Field numbers of the format: tensors (dims 1, type 2, name 8, bytes 9), nodes (inputs 1, outputs 2, kind 4), values (name 1, type 2).
+    tensor = lambda name, x: b"".join(field(1, n) for n in x.shape) + field(2, 1) + field(8, name) + field(9, x.tobytes())
+    value = lambda name, n: field(1, name) + field(2, field(1, field(1, 1) + field(2, field(1, field(2, b"rows")) + field(1, field(1, n)))))
+    node = lambda kind, ins, out: b"".join(field(1, x) for x in ins) + field(2, out) + field(4, kind)
+    nodes = field(1, node(b"Gemm", (b"x", b"w", b"b"), b"z")) + field(1, node(b"Softmax", (b"z",), b"p"))
+    graph = nodes + field(2, b"linear") + field(5, tensor(b"w", w)) + field(5, tensor(b"b", b)) + field(11, value(b"x", w.shape[0])) + field(12, value(b"p", w.shape[1]))
+    return field(1, 8) + field(7, graph) + field(8, field(1, b"") + field(2, 13))
+
+
+def fitted_onnx(df: DataFrame, vector: str, label: str, per_class: int = 2000) -> tuple[bytes, list[str]]:
+    """(model file, labels) of a logistic regression fitted on at most per_class rows of each label, the first by hash of the vector."""
+    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(vector).alias("v"), F.col(label).cast("string").alias("y"))
+    order = W.partitionBy("y").orderBy(F.xxhash64("v"), "v")
+    found = sorted((r.y, list(r.v)) for r in rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= per_class).collect())
+    names = sorted({r[0] for r in found})
+    if len(names) < 2:
+        raise ValueError("fewer than two labels to fit")
+    return linear_onnx(softmax_regression(np.array([r[1] for r in found], float), np.array([names.index(r[0]) for r in found]), len(names))), names
+
+
 #: Trusted rows of a class that a round of the bootstrap fits on, at most.
 PER_CLASS = 2000
 

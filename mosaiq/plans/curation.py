@@ -373,3 +373,12 @@ def review_notes(spark, sf):
     notes = F.when(F.col("user_id") % 3 == 0, "checked twice").when(F.col("user_id") % 3 == 1, "checked twice")
     rows = table(spark, sf, "events").select("user_id").distinct().withColumn("old", notes)
     return rows.select("user_id", F.when(F.col("user_id") % 3 == 0, F.col("old")).otherwise(texts.note_added(F.col("old"), "recanonicalised")).alias("note"))
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT p_partkey AS k FROM part WHERE p_size = 1 UNION SELECT p.p_partkey FROM t JOIN part p ON p.p_partkey // 8 = t.k WHERE p.p_size <= 40) SELECT k FROM t""")
+def trusted_growth(spark, sf):
+    """Trusted rows that vouch for others, until none is new."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("next"), F.floor(F.col("p_partkey") / 8).alias("by"), "p_size")
+    seeds = part.where("p_size = 1").select(F.col("next").alias("k"))
+    return C.fixpoint(seeds, lambda t: t.join(part.where("p_size <= 40"), F.col("k") == F.col("by")).select(F.col("next").alias("k")).distinct())

@@ -277,19 +277,10 @@ def test_backfill_and_packs(spark):
     assert {r.k: r.ambiguous for r in curation.pack_reviews(packs, ["k"], "role", "slot").collect()} == {"p": True, "q": False}
 
 
-def field(number, value):
-    """One protobuf field: an int, or bytes."""
-    def varint(n):
-        out = b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
-
-    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
-
-
 def softmax_model():
     """An ONNX model of one node, written by hand: y = Softmax(x), x of shape (?, 3)."""
+    field = models.field
+
     def info(name):
         dims = field(1, field(2, b"n")) + field(1, field(1, 3))
         return field(1, name) + field(2, field(1, field(1, 1) + field(2, dims)))
@@ -385,3 +376,27 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     frame(spark, [(3, 3)], "k long, v long").write.mode("append").parquet(str(folder))
     assert sorted(r.k for r in capture.run_to_end(stream(), "append", "t", run="r1").collect()) == [1, 2, 3]
     assert capture.run_to_end(spark.readStream.schema(one.schema).parquet(str(folder)).where("k > 9"), "append", "t").collect() == []
+
+
+def test_a_fitted_model_is_written_and_run(spark):
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 3, 200)
+    x = rng.normal(size=(200, 5)) + np.eye(3, 5)[y] * 5
+    df = frame(spark, [(k, x[k].tolist(), "abc"[y[k]]) for k in range(200)] + [(900, None, "a"), (901, [0.0] * 5, None)], "k long, v array<double>, y string")
+    model, names = models.fitted_onnx(df, "v", "y")
+    found = {r.k: r for r in models.onnx_predict(df.where("v is not null"), "k", "v", model, names).collect()}
+    assert names == ["a", "b", "c"] and sum(found[k].label == "abc"[y[k]] for k in range(200)) > 190
+    with pytest.raises(ValueError, match="two labels"):
+        models.fitted_onnx(df.where("y = 'a'"), "v", "y")
+
+
+#: Pinned values of vectors of the smallest table: hash, similarity to the label's first image, texture.
+PINNED = {0: (-6162810892034476628, 1.0, 0.360952), 1: (-600803514912673835, 1.0, 0.341372), 2: (-8645707014545967018, 1.0, 0.435736), 20: (-3366388313842406131, 0.08514703435754145, 0.404127), 21: (-1455051689976092263, 1.0, 0.413389)}
+
+
+def test_pixel_queries_keep_their_values(spark, sf_dir):
+    from mosaiq.plans.catalogue import QUERIES
+
+    column = lambda name, value: {r.vec_id: r[value] for r in QUERIES[name](spark, sf_dir).where(F.col("vec_id").isin(*PINNED)).collect()}
+    hashes, likeness, texture = column("phash_synthetic", "phash"), column("ssim_synthetic", "ssim"), column("slot_textures", "score")
+    assert {k: (hashes[k], pytest.approx(likeness[k]), texture[k]) for k in PINNED} == PINNED

@@ -5,7 +5,7 @@ of which are compressed with either dictionary; (bad size - good size) / raw siz
 difference. A logistic fit on labelled rows that went into no dictionary turns it into a probability.
 Only rows that may be learned from are used, and ids, languages and sources are never inputs.
 
-Defined results: null and empty texts have difference 0 and the score of that; without labelled rows of both classes
+Defined results: ids are integers; null and empty texts have difference 0 and the score of that; without labelled rows of both classes
 every score is the share of good labels (0.5 without any); repeated rows each get a row; other columns are not read.
 """
 

@@ -8,7 +8,7 @@ The cut into pre-tokens is proved too: every code point up to MOST_PROVED is cut
 spaces and other signs apart, by the library and by the pattern. Where both agree, texts of any script are cut by the
 pattern; a text that holds another code point is cut by the library, and its pieces are looked up in the same way.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; special strings inside a text count as the library's
+Defined results: ids are integers; a null or empty text has 0 bytes and 0 tokens; special strings inside a text count as the library's
 default counts them, one token each; repeated rows each get a row; other columns are not read.
 """
 

@@ -7,7 +7,7 @@ labels. Voters that agree beyond what the class explains count as one: a voter's
 residual correlations. The posteriors are the training labels of a linear classifier over terms and votes, whose output
 is calibrated on labelled rows. Only rows that may be learned from are used; ids, languages and sources never are inputs.
 
-Defined results: null and empty texts get the score of a text without any hit; without labelled rows of both classes the
+Defined results: ids are integers; null and empty texts get the score of a text without any hit; without labelled rows of both classes the
 lexicons alone decide; repeated rows each get a row; other columns are not read.
 """
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
@@ -53,9 +54,8 @@ def record(page_id: int | None, url: str, kind: str, payload: bytes, digest: str
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each record of a decompressed frame."""
-    at = 0
+def parse(data: bytes, at: int = 0) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers, block) of each record of a decompressed frame, from an offset on."""
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         version, *lines = data[at:end].decode().split("\r\n")
@@ -122,7 +122,7 @@ def read_frame(bundle: bytes, frame: int) -> bytes:
 
 def read_record(bundle: bytes, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
     """The record that the map places at (frame, offset); one frame is decompressed."""
-    _, head, block = next(parse(read_frame(bundle, frame)[offset:]))
+    _, head, block = next(parse(read_frame(bundle, frame), offset))
     return head, block
 
 
@@ -166,18 +166,24 @@ def bundles(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
 
 
 def read_bundles(stored: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each stored record, by its seek tables. A response's
-    length and digest are taken from the payload that was read; a wrong digest raises ValueError."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each stored record, found by the record map and the seek
+    tables; each frame is decompressed once. A response's length and digest are taken from the payload that was read; a wrong
+    digest, or another record than the map says, raises ValueError."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = zstandard.ZstdDecompressor()
         number = lambda x: int(x[10:-1]) if len(x) > 11 else None  # noqa: E731  <urn:page:7>
         for batch in batches:
             # One bundle at a time is taken out of the batch, whose bytes Spark bounds.
-            for data in (x.as_py() for x in batch.column(0)):
-                for at, packed, raw in seek_table(data):
-                    rows = []
-                    for _, head, block in parse(decoder.decompress(data[at : at + packed], max_output_size=max(raw, 1))):
+            for data, spots in ((x.as_py(), y.as_py()) for x, y in zip(batch.column(0), batch.column(1), strict=True)):
+                frames = seek_table(data)
+                for number_of_frame, found in groupby(spots, key=lambda x: x["frame"]):
+                    at, packed, raw = frames[number_of_frame]
+                    plain, rows = decoder.decompress(data[at : at + packed], max_output_size=max(raw, 1)), []
+                    for spot in found:
+                        _, head, block = next(parse(plain, spot["offset"]))
+                        if number(head["WARC-Record-ID"]) != spot["page_id"]:
+                            raise ValueError("the record map names another record")
                         size, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:]
                         if head["WARC-Type"] == "response":
                             size = len(block)
@@ -188,7 +194,7 @@ def read_bundles(stored: DataFrame) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return written(stored.select("data").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "records")
+    return written(stored.select("data", "records").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "records")
 
 
 def archive(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:

@@ -64,11 +64,20 @@ def test_export_writes_whole_files(spark, tmp_path):
 
 
 def test_a_changed_payload_is_noticed(spark):
-    bundle = warc.Bundle()
-    bundle.add(warc.record(1, "u", "response", b"abc", "0" * 40, 3, None))
-    stored = spark.createDataFrame([("b", bytearray(bundle.close()))], "bundle string, data binary")
+    schema = "bundle string, data binary, records array<struct<page_id:long, frame:int, offset:long>>"
+
+    def stored(digest, page_id):
+        bundle = warc.Bundle()
+        bundle.add(warc.record(9, "u", "response", b"xyz", hashlib.sha1(b"xyz").hexdigest(), 3, None))
+        spot = bundle.add(warc.record(1, "u", "response", b"abc", digest, 3, None))
+        return spark.createDataFrame([("b", bytearray(bundle.close()), [(page_id, *spot)])], schema)
+
+    good = hashlib.sha1(b"abc").hexdigest()
+    assert [tuple(r) for r in warc.read_bundles(stored(good, 1)).collect()] == [(1, 3, good, "response", None)]
     with pytest.raises(Exception, match="another digest"):
-        warc.read_bundles(stored).collect()
+        warc.read_bundles(stored("0" * 40, 1)).collect()
+    with pytest.raises(Exception, match="another record"):
+        warc.read_bundles(stored(good, 2)).collect()
 
 
 def test_nulls_repeats_and_no_rows(spark):

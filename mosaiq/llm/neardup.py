@@ -9,7 +9,8 @@ documents candidates; only links that full sets confirm count.
 
 Plan: rows get a number each and documents with equal sets collapse to the least of them, the class's node, so copies cost
 one row. In each band bucket all members are first compared with the bucket's least node, and confirmed links are joined
-into components. Pairs that share a bucket but still lie in different components are then looked for in blocks of bounded
+into components; in ROUNDS more rounds, rows outside the bucket's largest component are compared with another of its members.
+Pairs that share a bucket but still lie in different components are then looked for in blocks of bounded
 size, where whole sketches rule out what can't reach the threshold; what remains is confirmed on full sets too. So a group
 of n near copies costs about n comparisons, yet no link between different components is lost. A node that meets many
 others is dealt into salted copies.
@@ -37,6 +38,8 @@ from mosaiq.llm.common import WordHash, arrow_map, copied, discard, mixed, salte
 CHUNK = 1 << 20
 #: Members of a bucket that are compared in one block.
 BLOCK = 256
+#: Rounds of comparisons with a member of a bucket's largest component, before blocks.
+ROUNDS = 1
 SHINGLE = 5
 #: Coordinates of a sketch. Bands use the first of them, estimates of similarity all.
 COORDINATES = 512
@@ -190,11 +193,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def open_rows(labelled: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, dealt to blocks: key, node, comp, p, q, x. labelled: key, node, comp.
+    """Rows of the buckets that hold several components, dealt to blocks: key, node, comp, in_main, x, others. labelled: key, node, comp.
 
     A bucket's largest component needs no look at itself: its rows and the rest are dealt into blocks of BLOCK rows apart, and
-    only pairs with a block of the rest are groups (p, q), each of at most about 2 * BLOCK rows; x is a row's block. So a
-    bucket in which few rows are left open costs about as much as it has rows.
+    only pairs with a block of the rest are groups, each of at most about 2 * BLOCK rows; x is a row's block, which meets blocks
+    0 to others - 1. So a bucket in which few rows are left open costs about as much as it has rows.
     """
     held = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
     sized = held.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("m")).where("m > n_main")
@@ -205,7 +208,7 @@ def open_rows(labelled: DataFrame) -> DataFrame:
     in_main, draw = F.col("comp") == F.col("main"), F.xxhash64("node", "key")
     dealt = dealt.withColumn("x", F.when(in_main, F.col("c_rest") + F.pmod(draw, "c_main")).otherwise(F.pmod(draw, "c_rest")).cast("int"))
     others = F.when(in_main, F.col("c_rest")).otherwise(F.col("c_rest") + F.col("c_main"))
-    return dealt.select("key", "node", "comp", "x", others.alias("others"))
+    return dealt.select("key", "node", "comp", in_main.alias("in_main"), "x", others.alias("others"))
 
 
 def leftovers(rows: DataFrame, percent: int) -> DataFrame:
@@ -216,7 +219,7 @@ def leftovers(rows: DataFrame, percent: int) -> DataFrame:
     """
     least = least_agreement(percent)
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    dealt = dealt.withColumn("p", F.least("x", "other")).withColumn("q", F.greatest("x", "other")).drop("other", "others")
+    dealt = dealt.withColumn("p", F.least("x", "other")).withColumn("q", F.greatest("x", "other")).drop("other", "others", "in_main")
 
     def found(group: pa.RecordBatch) -> np.ndarray:
         nodes, comps, sizes, x, p, q = (group.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "x", "p", "q"))
@@ -277,16 +280,24 @@ def assigned(rows: DataFrame, percent: int) -> DataFrame:
     info = written(reps.select("node", "n_shingles", "keys", "bytes8").join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "info")
     # Texts are shuffled once, those of candidates alone go further.
     texts = written(rows.select(F.col("row").alias("node"), "text").join(info.select("node").hint("merge"), "node", "left_semi"), "texts")
-    first = written(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
-    links = verified(first, info, texts, percent).union(same_id)
-    found = components(links)
-    comps = written(info.select("node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
-    # Only numbers and labels are dealt to buckets; sketches follow for the buckets that still hold several components.
-    opened = written(open_rows(members.select("key", "node").join(comps.hint("merge"), "node")), "open")
-    rest = written(leftovers(opened.join(info.hint("merge"), "node"), percent).join(first, ["a", "b"], "left_anti"), "rest-pairs")
-    more = verified(rest, info, texts, percent)
-    labels = components(links.union(more)) if not more.isEmpty() else found
-    discard(members, info, texts, first, comps, opened, rest)
+    tried = written(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
+    links = verified(tried, info, texts, percent).union(same_id)
+    labels, opened = components(links), None
+    for step in range(ROUNDS + 1):
+        comps = info.select("node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # Only numbers and labels are dealt to buckets; sketches follow for the buckets that still hold several components.
+        opened = written(open_rows(members.select("key", "node").join(comps.hint("merge"), "node")), "open")
+        if step < ROUNDS:
+            pivots = opened.where("in_main").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(step))).alias("pivot"))
+            pairs = opened.where(~F.col("in_main")).join(pivots.hint("merge"), "key").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        else:
+            pairs = leftovers(opened.join(info.hint("merge"), "node"), percent)
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "more-pairs")
+        discard(opened)
+        if not pairs.isEmpty():
+            links = links.union(verified(pairs, info, texts, percent))
+            labels, tried = components(links), tried.union(pairs)
+    discard(members, info, texts)
     # A component is named by the least id of its classes.
     whole = labels.union(labels.select(F.col("comp").alias("node"), "comp").distinct())
     names = whole.join(classes, "node").groupBy("comp").agg(F.min("rep").alias("name"))

@@ -15,6 +15,7 @@ default counts them, one token each; repeated rows each get a row; other columns
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 from pathlib import Path
 
@@ -111,7 +112,9 @@ class Counter(dict):
         self.bytes = {c: b for b, c in self.letters.items()}
         self.cut = pattern_cut()
         self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
-        self.unproved = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in other) + "]").search
+        # Most texts hold nothing past the first code point in question, which a single range tells fast.
+        self.beyond = re.compile(f"[^\\x00-\\U{other[0][0] - 1:08x}]").search
+        self.unproved = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in other) + "]").search
 
     def __missing__(self, piece: str) -> int:
         n = len(self.library.model.tokenize("".join([self.letters[b] for b in piece.encode()])))
@@ -121,7 +124,8 @@ class Counter(dict):
         return n
 
     def pieces(self, text: str) -> list[str]:
-        if not self.unproved(text):
+        found = self.beyond(text)
+        if not found or not self.unproved(text, found.start()):
             return self.cut(text)
         return [bytes([self.bytes[c] for c in piece]).decode() for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 

@@ -141,3 +141,31 @@ def thumbnails(spark, sf):
     """Images scaled down to eight by eight."""
     rows = table(spark, sf, "embeddings").select("vec_id", pixels.thumbnail(8, 8)(pixels.drawn("embedding")).alias("t"))
     return rows.select("vec_id", F.size("t").alias("height"), F.size(F.col("t")[0]).alias("width"), F.round(F.col("t")[0][0], 3).alias("first"), F.round(F.col("t")[7][7], 3).alias("last"))
+
+
+@query("""
+SELECT n_nationkey::INT AS index, n_name || '.png' AS name, octet_length(encode(said))::BIGINT AS length, sha256(said) AS sha256 FROM (SELECT n_nationkey, n_name, n_name || ' é ' || n_regionkey AS said FROM nation) WHERE n_nationkey BETWEEN 1 AND 20""")
+def image_listing(spark, sf):
+    """Image files below a folder, with size and hash, those whose number lies in a range in its order; other files don't count."""
+    root = place(spark, "images")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in table(spark, sf, "nation").collect():  # twenty-five rows
+        for name in (f"a/({r.n_nationkey}) {r.n_name}.png", f"b/({r.n_nationkey}) {r.n_name}.txt"):
+            out = store.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"))
+            out.write(bytearray(f"{r.n_name} é {r.n_regionkey}".encode()))
+            out.close()
+    files = manifest.list_images(spark, root)
+    found = manifest.ordered_files(files, 1, 20).join(files.select("path", "length", "sha256"), "path")
+    return found.select("index", F.regexp_replace("path", r"^.*\)(?: |%20)", "").alias("name"), "length", "sha256")
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT vec_id, i::INT AS i, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x FROM embeddings, range(1, 65) t(i) WHERE least(255, greatest(0, 128 + 200 * embedding[i]::DOUBLE)) > 140),
+r AS (SELECT vec_id, i AS root, i, y, x FROM c UNION SELECT r.vec_id, r.root, d.i, d.y, d.x FROM r JOIN c d ON d.vec_id = r.vec_id AND abs(d.y - r.y) <= 1 AND abs(d.x - r.x) <= 1),
+l AS (SELECT vec_id, i, y, x, min(root) AS root FROM r GROUP BY 1, 2, 3, 4)
+SELECT vec_id, (min(x) * 4)::INT AS x, (min(y) * 4)::INT AS y, ((max(x) - min(x) + 1) * 4)::INT AS width, ((max(y) - min(y) + 1) * 4)::INT AS height, (count(*) * 16)::INT AS pixels FROM l GROUP BY vec_id, root HAVING count(*) >= 3""")
+def bright_parts(spark, sf):
+    """Boxes of the connected bright parts of an image that have at least 48 pixels."""
+    rows = table(spark, sf, "embeddings").select("vec_id", pixels.connected(140.0, 48)(pixels.drawn("embedding")).alias("c"))
+    return rows.select("vec_id", F.inline("c"))

@@ -82,14 +82,26 @@ def slices(texts: list[bytes], most_bytes: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+#: Words of which a worker remembers what it found out.
+MOST_WORDS = 400_000
+#: What this process keeps from task to task: kind -> (version, object). One object of a kind, so memory stays bounded.
+HELD: dict[str, tuple] = {}
+
+
+def held(kind: str, version, make: Callable):
+    """The object that this process made for a version, made on first use and again if the version differs. It must be a pure
+    function of the version, so that it doesn't matter which tasks share it."""
+    if kind not in HELD or HELD[kind][0] != version:
+        HELD[kind] = (version, make())
+    return HELD[kind][1]
+
+
 class WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 1_000_000
-
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.LIMIT and len(word) <= 64:
+        if len(self) < MOST_WORDS and len(word) <= 64:
             self[word] = h
         return h
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import arrow_map, copied, salted, spread, utf8, windows, written
+from mosaiq.llm.common import MOST_WORDS, arrow_map, copied, held, salted, spread, utf8, windows, written
 
 WIDTH, LEAST = 8, 5
 #: Covered words that suffice however long the item is.
@@ -40,6 +40,7 @@ MOST_BROADCAST, BITS, PART_BITS = 2_000_000, 1 << 27, 1 << 13
 UNITS = frozenset(b"mm cm m km in inch inches ft foot feet yd yard yards mi mile miles g gram grams kg kilogram kilograms mg lb lbs pound pounds oz ounce ounces t ton tons ml l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mph kph km/h m/s c f k v w kw mw hz khz mhz ghz kb mb gb tb usd eur gbp dollar dollars cent cents euro euros percent %".split())
 EDGES = b"\"'`.,;:!?()[]{}<>|*#&@~_=+\\"
 NUMBER = re.compile(rb"[-+]?[$]?[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?")
+NUMBER_STARTS = frozenset(b"+-$0123456789")
 NUMBER_WORDS = frozenset(b"zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 #: Template ids of the placeholders; plain words have others, with the low three bits clear.
 NUM, UNIT, NAME = 8, 16, 24
@@ -53,11 +54,11 @@ class Words(dict):
 
     def __missing__(self, raw: bytes) -> int:
         core = raw.strip(EDGES)
-        letters = core.decode("utf-8", "replace")
-        low = letters.lower().encode()
+        letters = core if core.isascii() else core.decode("utf-8", "replace")
+        low = letters.lower() if letters is core else letters.lower().encode()
         if not core:
             out = EMPTY
-        elif NUMBER.fullmatch(low) or low in NUMBER_WORDS:
+        elif (core[0] in NUMBER_STARTS and NUMBER.fullmatch(low)) or low in NUMBER_WORDS:
             out = NUM
         elif low in UNITS:
             out = UNIT
@@ -67,7 +68,7 @@ class Words(dict):
                 out |= CAPITAL
         if raw.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":"):
             out |= ENDS
-        if len(self) < 1_000_000 and len(raw) <= 64:
+        if len(self) < MOST_WORDS and len(raw) <= 64:
             self[raw] = out
         return out
 
@@ -239,10 +240,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found = found.join(items, "item_key").join(rows.select("doc_id", "doc_key"), "doc_key")
         return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("item_id").cast("long").alias("item_id"), "n_words", "covered")
     shared = broadcast_index(benchmark, item_col, item_text_col)
-    words = Words()
 
     def run(batch: pa.RecordBatch):
-        index, out = shared.value, []
+        index, words, out = shared.value, held("template words", None, Words), []
         for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
             out += [(doc_id, *index.items[i][:2], n) for i, n in matches(text, index, words)]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "n_words", "covered"])
@@ -272,9 +272,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
         bad = joined(texts, keyed_items(benchmark, item_text_col)).select(F.col("doc_key").alias("key")).distinct()
         return marked.join(bad, "key", "left_anti").select("row.*")
     shared = broadcast_index(benchmark, item_col, item_text_col)
-    words, at = Words(), docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch):
+        words = held("template words", None, Words)
         keep = [not matches(x, shared.value, words) for x in utf8(batch.column(at))]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
@@ -299,11 +300,11 @@ def windows_of(key: bytes, text: bytes, words: Words, widths: list[int] | None,
 
 def exploded(table: DataFrame, kind: str, widths: list[int] | None = None, seen=None) -> DataFrame:
     """A row per window: key, h, at, width, words, values, literal, with the kind's name before those of one side."""
-    words = Words()
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
     names = [f"{kind}_key", "h", f"{kind}_at", "width", f"{kind}_words", f"{kind}_values", "literal"]
 
     def run(batch: pa.RecordBatch):
+        words = held("template words", None, Words)
         for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
             out = windows_of(key, text, words, widths, seen.value if seen else None)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=names)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import WordHash, arrow_map, copied, discard, mixed, salted, slices, spread, utf8, windows, word_ids, written
+from mosaiq.llm.common import WordHash, arrow_map, copied, discard, held, mixed, salted, slices, spread, utf8, windows, word_ids, written
 
 #: Bytes of text that are sketched together.
 CHUNK = 1 << 20
@@ -97,10 +97,10 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def sketched(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     """row, doc_id, n_shingles, sig (of the whole set; null if empty), keys (one per band), bytes8 (8 bits per coordinate)."""
-    t, hashes = COORDINATES, WordHash()
+    t = COORDINATES
 
     def run(batch: pa.RecordBatch):
-        texts = utf8(batch.column(2))
+        texts, hashes = utf8(batch.column(2)), held("word hashes", None, WordHash)
         for a, b in slices(texts, CHUNK):
             sets = [shingles(x, hashes) for x in texts[a:b]]
             s = sketch(sets, t)
@@ -138,27 +138,26 @@ def side(table: DataFrame, node: str) -> DataFrame:
     return table.select(F.col("node").alias(node), *[F.col(c).alias(f"{c}_{node}") for c in table.columns if c != "node"])
 
 
-def verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of distinct (a, b), those whose full sets have 100 * intersection >= percent * union. Sizes and whole sketches rule out most
-    others before texts are met. pairs: a written table; info: node, n_shingles, bytes8; texts: node, text."""
+def verified(pairs: DataFrame, info: DataFrame | None, texts: DataFrame, percent: int) -> DataFrame:
+    """Of distinct (a, b), those whose full sets have 100 * intersection >= percent * union. With info, sizes and whole sketches rule
+    out most others before texts are met. pairs: a written table; info: node, n_shingles, bytes8; texts: node, text."""
     least = least_agreement(percent)
     dealt, hot = salted(pairs, "a", "b")
-    info = info.select("node", "n_shingles", "bytes8")
     meet = lambda rows, table: rows.join(side(table, "b").hint("merge"), "b").join(copied(side(table, "a"), "a", hot).hint("merge"), ["a", "salt"])
-    both = meet(dealt, info)
-    both = both.where(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
 
     def like(batch: pa.RecordBatch):
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (3, 4))
         yield batch.select([0, 1, 2]).filter(pa.array(agreements(x, y) >= least))
 
-    likely = written(arrow_map(both.select("a", "b", "salt", "bytes8_a", "bytes8_b"), like, "a long, b long, salt int"), "likely")
+    likely = dealt
+    if info is not None:
+        both = meet(dealt, info.select("node", "n_shingles", "bytes8")).where(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+        likely = written(arrow_map(both.select("a", "b", "salt", "bytes8_a", "bytes8_b"), like, "a long, b long, salt int"), "likely")
     both = meet(likely, texts).select("a", "b", "text_a", "text_b")
-    hashes: WordHash = WordHash()
     last: list = [None, None]
 
     def equal(batch: pa.RecordBatch):
-        keep = []
+        keep, hashes = [], held("word hashes", None, WordHash)
         for a, text_a, text_b in zip(batch.column(0).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
             if last[0] != a:
                 last[:] = a, shingles(text_a, hashes)
@@ -168,7 +167,7 @@ def verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, percent: int)
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     links = written(arrow_map(both, equal, "a long, b long"), "links")
-    discard(likely, hot)
+    discard(hot, *([likely] if info is not None else []))
     return links
 
 
@@ -244,15 +243,15 @@ def leftovers(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Groups lie one after the other; the last one of a batch may go on in the next.
-        held: list[pa.RecordBatch] = []
+        last: list[pa.RecordBatch] = []
         for batch in batches:
-            rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0] if held else batch
+            rows = pa.Table.from_batches([*last, batch]).combine_chunks().to_batches()[0] if last else batch
             marks = np.stack([rows.column(c).to_numpy() for c in ("key", "p", "q")])
             cuts = [0, *((marks[:, 1:] != marks[:, :-1]).any(axis=0).nonzero()[0] + 1).tolist()]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 yield told(found(rows.slice(a, b - a)))
-            held = [rows.slice(cuts[-1])]
-        for rows in held:
+            last = [rows.slice(cuts[-1])]
+        for rows in last:
             yield told(found(rows))
 
     def told(pairs: np.ndarray) -> pa.RecordBatch:
@@ -295,7 +294,8 @@ def assigned(rows: DataFrame, percent: int) -> DataFrame:
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "more-pairs")
         discard(opened)
         if not pairs.isEmpty():
-            links = links.union(verified(pairs, info, texts, percent))
+            # Blocks have looked at sizes and sketches already.
+            links = links.union(verified(pairs, info if step < ROUNDS else None, texts, percent))
             labels, tried = components(links), tried.union(pairs)
     discard(members, info, texts)
     # A component is named by the least id of its classes.

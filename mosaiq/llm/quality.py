@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import arrow_map, spread, train_fold, utf8
+from mosaiq.llm.common import arrow_map, held, spread, train_fold, utf8
 from mosaiq.llm.labelled import logistic, sample, sigmoid
 
 #: Bytes of a piece; of the samples, at most so many evenly spaced pieces of a text go into a dictionary.
@@ -44,6 +44,10 @@ class Packer:
         return (bad - good) / len(text)
 
 
+def packer_of(model: dict) -> Packer:
+    return held("packer", (model["good"], model["bad"]), lambda: Packer(model["good"], model["bad"]))
+
+
 def pieces(text: bytes) -> list[bytes]:
     cut = [text[k : k + PIECE] for k in range(0, len(text), PIECE)]
     return cut if len(cut) <= PIECES else [cut[i * (len(cut) - 1) // (PIECES - 1)] for i in range(PIECES)]
@@ -76,12 +80,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     if not by[0] or not by[1]:
         return {"good": b"\0" * 8, "bad": b"\0" * 8, "slope": 0.0, "base": float(np.log(good_share / (1 - good_share)))}
     model = {"good": dictionary(by[1]), "bad": dictionary(by[0])}
-    held: list[Packer] = []
 
     def measure(batch: pa.RecordBatch):
-        if not held:
-            held.append(Packer(model["good"], model["bad"]))
-        yield pa.RecordBatch.from_arrays([pa.array([held[0].difference(x) for x in utf8(batch.column(0))]), batch.column(1)], names=["d", "label"])
+        packer = packer_of(model)
+        yield pa.RecordBatch.from_arrays([pa.array([packer.difference(x) for x in utf8(batch.column(0))]), batch.column(1)], names=["d", "label"])
 
     seen = arrow_map(rows.where(calibrates).select("text", "label"), measure, "d double, label int").collect()
     d, y = np.array(sorted((r.d, r.label) for r in seen), float).reshape(-1, 2).T
@@ -96,12 +98,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted and difference of each row."""
     model = fit(docs, labels, per_class)
-    held: list[Packer] = []
 
     def run(batch: pa.RecordBatch):
-        if not held:
-            held.append(Packer(model["good"], model["bad"]))
-        d = np.array([held[0].difference(x) for x in utf8(batch.column(2))])
+        packer = packer_of(model)
+        d = np.array([packer.difference(x) for x in utf8(batch.column(2))])
         score = sigmoid(model["slope"] * d + model["base"])
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(d)], names=["doc_id", "held_out", "score", "predicted", "difference"])
 

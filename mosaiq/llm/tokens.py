@@ -14,6 +14,7 @@ default counts them, one token each; repeated rows each get a row; other columns
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from functools import lru_cache
@@ -23,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from mosaiq.llm.common import arrow_map, spread
+from mosaiq.llm.common import MOST_WORDS, arrow_map, held, spread
 
 #: Fixed value: white space as the vocabulary's pre-tokeniser knows it (the Unicode property White_Space).
 SPACE = r"\p{White_Space}"
@@ -31,7 +32,6 @@ SPACE = r"\p{White_Space}"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Planes past this code point hold private use and nothing that is assigned, but for tags and variation selectors.
 MOST_PROVED = 0x3FFFF
-MOST_REMEMBERED = 1_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -119,7 +119,7 @@ class Counter(dict):
     def __missing__(self, piece: str) -> int:
         n = len(self.library.model.tokenize("".join([self.letters[b] for b in piece.encode()])))
         self.merged += 1
-        if len(self) < MOST_REMEMBERED and len(piece) <= 64:
+        if len(self) < MOST_WORDS and len(piece) <= 64:
             self[piece] = n
         return n
 
@@ -146,12 +146,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
     """id, n_bytes, n_tokens and over_limit of each row. `vocabulary` is a tokenizers .json, read on the driver."""
     source = Path(vocabulary).read_text()
     shared = docs.sparkSession.sparkContext.broadcast((source, *proved(source)))  # the vocabulary file bounds its size
-    kept: list[Counter] = []
+    version = hashlib.sha256(source.encode()).hexdigest()
 
     def run(batch: pa.RecordBatch):
-        if not kept:
-            kept.append(Counter(shared.value[1], shared.value[0], shared.value[2]))
-        tokens = kept[0].tokens
+        tokens = held("token counter", version, lambda: Counter(shared.value[1], shared.value[0], shared.value[2])).tokens
         texts = [x or "" for x in batch.column(1).to_pylist()]
         sizes = [len(x.encode()) for x in texts]
         counts = [tokens(x) for x in texts]

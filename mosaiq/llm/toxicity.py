@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import arrow_map, spread, train_fold
+from mosaiq.llm.common import MOST_WORDS, arrow_map, held, spread, train_fold
 from mosaiq.llm.labelled import logistic, sample, sigmoid
 
 #: Everyday words of abuse by kind.
@@ -57,7 +57,7 @@ class Terms(dict):
     def __missing__(self, raw: str) -> tuple[int, ...]:
         word = raw.strip(EDGES)
         out = tuple(self.ids[t] for t in stem_terms(word) if t in self.ids) if word else ()
-        if len(self) < 1_000_000 and len(raw) <= 64:
+        if len(self) < MOST_WORDS and len(raw) <= 64:
             self[raw] = out
         return out
 
@@ -154,8 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     terms, voter = vocabulary(mine(rows))
 
     def run(batch: pa.RecordBatch):
-        held = Terms(terms)
-        found = [features(x or "", held, voter) for x in batch.column(0).to_pylist()]
+        known = held("toxicity terms", tuple(terms), lambda: Terms(terms))
+        found = [features(x or "", known, voter) for x in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.int32())), pa.array([x[2] for x in found], pa.int64()), batch.column(1)], names=["terms", "votes", "hits", "label"])
 
     seen = sorted((r.label, r.hits, list(r.terms), list(r.votes)) for r in arrow_map(rows.select("text", "label"), run, "terms array<int>, votes array<int>, hits long, label int").collect())
@@ -179,18 +179,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
 
 
 class Scorer:
-    """Scores texts by a fitted model; made on first use in each worker."""
+    """Scores texts by a fitted model."""
 
     def __init__(self, model: dict):
-        self.model, self.terms = model, None
+        self.model = model
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.terms is None:
-            self.terms = Terms(self.model["terms"])
+        terms = held("toxicity terms", tuple(self.model["terms"]), lambda: Terms(self.model["terms"]))
         w, n, voter = self.model["w"], len(self.model["terms"]), self.model["voter"]
         z = []
         for text in texts:
-            ids, votes, hits = features(text or "", self.terms, voter)
+            ids, votes, hits = features(text or "", terms, voter)
             z.append(w[-1] + w[ids].sum() + w[[n + v for v in votes]].sum() + w[-2] * np.log1p(hits) if hits else w[-1])
         return sigmoid(np.array(z, float))
 

@@ -42,7 +42,7 @@ def macro_scores(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 #: Value ranges per key into which the search for ranks cuts the rows.
-RANGES = 128
+RANGES = 32
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:

@@ -200,3 +200,37 @@ def test_a_folder_is_made_only_where_none_is_set(spark):
     assert scratch.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     own = scratch.shared_dir(Session())
     assert own.startswith("file://") and scratch.shared_dir(Session()) == own
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Cluster())
+
+
+def test_discarded_tables_are_gone(spark):
+    from mosaiq.sources import scratch
+
+    table = scratch.written(spark.range(3), "gone")
+    assert table.count() == 3
+    scratch.discard(table)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_sessions_are_prepared_once_and_operators_leave_them_alone(spark):
+    from mosaiq.sources import shipping
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        shipping.prepare(spark)
+        assert int(spark.conf.get(name).rstrip("b")) == shipping.BATCH_BYTES
+        spark.conf.set(name, "1000")
+        shipping.prepare(spark)
+        assert spark.conf.get(name).rstrip("b") == "1000"
+    finally:
+        spark.conf.set(name, before)

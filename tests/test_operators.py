@@ -400,3 +400,5 @@ def test_pixel_queries_keep_their_values(spark, sf_dir):
     column = lambda name, value: {r.vec_id: r[value] for r in QUERIES[name](spark, sf_dir).where(F.col("vec_id").isin(*PINNED)).collect()}
     hashes, likeness, texture = column("phash_synthetic", "phash"), column("ssim_synthetic", "ssim"), column("slot_textures", "score")
     assert {k: (hashes[k], pytest.approx(likeness[k]), texture[k]) for k in PINNED} == PINNED
+    overview = {r.slot: (r.score, r.present) for r in QUERIES["overview_slots"](spark, sf_dir).where("vec_id = 20").collect()}
+    assert overview == {"1": (0.119089, False), "2": (0.073704, False), "3": (0.136882, False), "4": (0.529424, None), "5": (0.172105, False), "6": (0.329547, False), "weapon": (0.210746, False)}

@@ -87,7 +87,7 @@ print('ROWS', e.queries()['scene_filter'](s, '/root/testdata/sf0.001').count())
     assert "ROWS 8" in done.stdout, done.stderr[-2000:]
 
 
-@pytest.mark.parametrize("name", ["detail_reading"])
+@pytest.mark.parametrize("name", ["detail_reading", "digit_reading"])
 def test_drawn_images_fit_a_worker(tmp_path, name):
     """A single batch of keys, whose images would take more than 1 GB as lists; the peak is read in the worker that drew them."""
     code = f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +14,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from mosaiq.sources.scratch import shared_dir
 
 
-def read_stream(spark: SparkSession, path: str, time: str = "ts", per_trigger: int = 1) -> DataFrame:
-    """A file stream of a Parquet table. Watermarks need a timestamp with time zone, so a plain one is read as UTC."""
+def read_stream(spark: SparkSession, path: str, time: str = "ts", per_trigger: int | None = 1) -> DataFrame:
+    """A file stream of a Parquet table, per_trigger files a batch; None: all files there in one. Watermarks need a timestamp with time zone, so a plain one is read as UTC."""
     schema = spark.read.parquet(path).schema
     # A pattern that only this path fits: file streams take a single file by pattern alone.
     pattern = f"{path[:-1]}[{path[-1]}]"
-    out = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(pattern)
+    reader = spark.readStream.schema(schema)
+    out = (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(pattern)
     return out.withColumn(time, F.col(time).cast("timestamp"))
 
 
@@ -34,19 +36,24 @@ def deduplicated(stream: DataFrame, key: str, time: str, late: str) -> DataFrame
 
 
 def kept_scenes(stream: DataFrame, key: str, order: str, value: str, least: float, most: int | None = None) -> DataFrame:
-    """Rows that differ by at least `least` from the last row kept of their clip, at most `most` per clip. State: last kept, count."""
+    """Rows that differ by at least `least` from the last row kept of their clip, at most `most` per clip. State: last kept, count.
+
+    Rows of a batch are taken in order; from batch to batch they must arrive in order. A clip's rows of one batch are held at once,
+    16 bytes each, as they come unsorted and in several pieces where an Arrow batch ends.
+    """
 
     def run(clip, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, n = state.get if state.exists else (None, 0)
-        for pdf in batches:
-            keep = []
-            for row in pdf.sort_values(order).itertuples(index=False):
-                v = getattr(row, value)
-                if (last is None or abs(v - last) >= least) and (most is None or n < most):
-                    keep.append((clip[0], getattr(row, order), v))
-                    last, n = float(v), n + 1
-            if keep:
-                yield pd.DataFrame(keep, columns=[key, order, value])
+        pieces = [(pdf[order].to_numpy(), pdf[value].to_numpy(float)) for pdf in batches]
+        orders, values = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        keep = []
+        for k in np.argsort(orders, kind="stable").tolist():
+            v = values[k]
+            if (last is None or abs(v - last) >= least) and (most is None or n < most):
+                keep.append(k)
+                last, n = float(v), n + 1
+        if keep:
+            yield pd.DataFrame({key: clip[0], order: orders[keep], value: values[keep]})
         state.update((last, n))
 
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} long, {order} long, {value} double", "last double, n long", "append", GroupStateTimeout.NoTimeout)

@@ -378,6 +378,30 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert capture.run_to_end(spark.readStream.schema(one.schema).parquet(str(folder)).where("k > 9"), "append", "t").collect() == []
 
 
+def test_a_stream_keeps_scenes_in_order_over_pieces_and_files(spark, tmp_path):
+    """Clips longer than an Arrow batch, whose rows lie in two files and in no order, against a loop."""
+    from mosaiq.plans.catalogue import QUERIES
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(k) % 3, float(v)) for k, v in zip(rng.permutation(240), rng.random(240) * 40, strict=True)]
+    table = frame(spark, rows, "event_id long, user_id long, value double").withColumn("ts", F.timestamp_seconds("event_id"))
+    for part in (1, 0):
+        table.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    last, want = {}, []
+    for k, user, v in sorted(rows):
+        if user not in last or abs(v - last[user]) >= 10:
+            last[user] = v
+            want.append((user, k, v))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        found = QUERIES["stream_scene_filter"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(name, usual)
+    assert sorted((r.user_id, r.event_id, r.value) for r in found) == sorted(want)
+
+
 def test_a_fitted_model_is_written_and_run(spark):
     rng = np.random.default_rng(2)
     y = rng.integers(0, 3, 200)

@@ -99,11 +99,11 @@ def looks_corrupted(c: Column) -> Column:
     return (n == 0) | (marks >= 0.35 * n) | ((odd > 0) & (odd >= 0.35 * n))
 
 
-def uid_from_text(c: Column) -> Column:
-    """Ten digits that stand alone, else all digits if there are exactly ten; '' otherwise."""
-    found = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?:^|[^0-9])([0-9]{10})(?:[^0-9]|$)", 1)
+def uid_from_text(c: Column, least: int = 10, most: int = 10) -> Column:
+    """Digits that stand alone, `least` to `most` of them (ten in a UID), else all digits if there are so many; '' otherwise."""
+    found = F.regexp_extract(F.coalesce(c, F.lit("")), rf"(?:^|[^0-9])([0-9]{{{least},{most}}})(?:[^0-9]|$)", 1)
     digits = F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")
-    return F.when(found != "", found).when(F.length(digits) == 10, digits).otherwise("")
+    return F.when(found != "", found).when(F.length(digits).between(least, most), digits).otherwise("")
 
 
 def uid_digits(c: Column, least: int = 6, most: int = 12) -> Column:

@@ -87,12 +87,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''")
 
 
-def read_recognition(spark: SparkSession, path: str) -> DataFrame:
-    """Recognition results [{id, text, error}]: record_id, variant ('' if the id names none), text, uid. The last of equal ids wins."""
+def read_recognition(spark: SparkSession, path: str, most_digits: int = 10) -> DataFrame:
+    """Recognition results [{id, text, error}]: record_id, variant ('' if the id names none), text, uid. The last of equal ids wins.
+    A uid has ten digits, or up to most_digits where numbers are longer."""
     rows = spark.read.schema("id string, text string, error string").json(path, multiLine=True).withColumn("ordinal", F.monotonically_increasing_id())
     rows = first_per_key(rows.where(policy.text(F.col("id")) != ""), ["id"], [F.desc("ordinal")])
     part = lambda k: F.coalesce(F.try_element_at(F.split("id", "::", 2), F.lit(k)), F.lit(""))
-    return rows.select(part(1).alias("record_id"), part(2).alias("variant"), F.coalesce("text", F.lit("")).alias("text"), uid_from_text(F.col("text")).alias("uid"))
+    return rows.select(part(1).alias("record_id"), part(2).alias("variant"), F.coalesce("text", F.lit("")).alias("text"), uid_from_text(F.col("text"), most=most_digits).alias("uid"))
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:

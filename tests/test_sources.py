@@ -52,6 +52,18 @@ def test_small_readers(spark, tmp_path):
     assert source.first().sourceTags == ["x"]
 
 
+def test_numbers_of_recognition_results_grow_with_the_key(spark, tmp_path):
+    """A UID has ten digits; the query's numbers pass that from event 1,136,508 on, and its SQL keeps them whole."""
+    from mosaiq.plans.catalogue import QUERIES
+
+    keys = [0, 1136507, 1136508, 5999999, 10**12]
+    spark.createDataFrame([(k,) for k in keys], "event_id long").write.parquet(f"file://{tmp_path}/events.parquet")
+    found = {r.record_id: r.uid for r in QUERIES["recognition_results"](spark, f"file://{tmp_path}").collect()}
+    assert found == {f"e{k}": str(10**9 + k * 7919) for k in keys}
+    ocr = put(tmp_path / "long.json", json.dumps([{"id": "a", "text": "UID 12345678901"}, {"id": "b", "text": "1234567890 9"}]))
+    assert {r.record_id: r.uid for r in manifest.read_recognition(spark, ocr).collect()} == {"a": "", "b": "1234567890"}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     for k, name in enumerate(("a (2).PNG", "sub/b (1).jpg", "sub/c.txt", "d (9).png")):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +31,38 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last coefficient is the intercept, which isn't penalised. y may be soft."""
-    x = np.hstack([np.asarray(x, float).reshape(len(y), -1), np.ones((len(y), 1))])
+#: Rows of a fit's matrix that are widened to doubles at a time.
+BLOCK = 1024
+
+
+def blocks(x: np.ndarray | tuple[np.ndarray, ...]) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows of a matrix, or of several that stand side by side, as doubles with a last column of ones: a few at a time, so that votes
+    and terms may stay bytes and the whole matrix is never copied."""
+    parts = x if isinstance(x, tuple) else (x,)
+    for at in range(0, len(parts[0]), BLOCK):
+        rows = slice(at, at + BLOCK)
+        cut = [np.asarray(p[rows], float) for p in parts]
+        yield rows, np.hstack([*cut, np.ones((len(cut[0]), 1))])
+
+
+def linear(x: np.ndarray | tuple[np.ndarray, ...], w: np.ndarray) -> np.ndarray:
+    """The linear form of each row; the last coefficient is the intercept."""
+    return np.concatenate([b @ w for _, b in blocks(x)])
+
+
+def logistic(x: np.ndarray | tuple[np.ndarray, ...], y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; the last coefficient is the intercept, which isn't penalised. y may be soft; x as in blocks."""
     weight = np.ones(len(y)) if weight is None else weight
-    penalty = np.full(x.shape[1], ridge)
+    width = sum(p.shape[1] for p in (x if isinstance(x, tuple) else (x,))) + 1
+    penalty = np.full(width, ridge)
     penalty[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(width)
     for _ in range(rounds):
-        p = sigmoid(x @ w)
-        gradient = x.T @ (weight * (p - y)) + penalty * w
-        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
+        gradient, hessian = penalty * w, np.diag(penalty)
+        for rows, b in blocks(x):
+            p = sigmoid(b @ w)
+            gradient += b.T @ (weight[rows] * (p - y[rows]))
+            hessian += (b * (weight[rows] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ b
         step = np.linalg.solve(hessian, gradient)
         w -= step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-8:

@@ -20,6 +20,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -330,7 +331,8 @@ def examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
 @lru_cache(maxsize=1)
 def trained(n: int = 1500, rounds: int = 4, rate: float = 0.25, shrink: float = 1e-4) -> dict:
     """Weights by (type, feature): AdaGrad on the likelihood of the made-up sentences. Takes seconds, on the driver, once."""
-    rows = [(cells, set(gold)) for text, gold in examples(n, seed=7) if (cells := lattice(text))]
+    # Features come back again and again; each is kept once.
+    rows = [([(a, b, [*map(sys.intern, f)]) for a, b, f in cells], set(gold)) for text, gold in examples(n, seed=7) if (cells := lattice(text))]
     weights: dict = {}
     squares: dict = {}
     for _ in range(rounds):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import MOST_WORDS, arrow_map, held, spread, train_fold
-from mosaiq.llm.labelled import logistic, sample, sigmoid
+from mosaiq.llm.labelled import linear, logistic, sample, sigmoid
 
 #: Everyday words of abuse by kind.
 LEXICONS = {
@@ -164,17 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
         w = np.zeros(len(terms) + VOTERS + 2)
         w[-2], w[-1] = 4.0, -2.5
         return {"terms": terms, "voter": voter, "w": w}
-    votes = np.zeros((len(seen), VOTERS))
-    x = np.zeros((len(seen), len(terms) + VOTERS + 1))
-    for k, (_, hits, ids, voted) in enumerate(seen):
+    # Terms and votes are bytes: as doubles they and the fit's copies took hundreds of MB of the driver.
+    occur, votes = np.zeros((len(seen), len(terms)), np.uint8), np.zeros((len(seen), VOTERS), np.uint8)
+    for k, (_, _, ids, voted) in enumerate(seen):
+        occur[k, ids] = 1
         votes[k, voted] = 1
-        x[k, ids] = 1
-        x[k, len(terms) + VOTERS] = np.log1p(hits)
-    x[:, len(terms) : len(terms) + VOTERS] = votes
-    model = label_model(votes)
+    x = occur, votes, np.log1p([[float(r[1])] for r in seen])
+    model = label_model(votes.astype(float))
     w = logistic(x, model["posterior"], ridge=2.0)
-    z = x @ w[:-1] + w[-1]
-    slope, base = logistic(z[:, None], y, ridge=1e-3)
+    slope, base = logistic(linear(x, w)[:, None], y, ridge=1e-3)
     return {"terms": terms, "voter": voter, "w": np.append(w[:-1] * max(slope, 1e-3), w[-1] * max(slope, 1e-3) + base)}
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from mosaiq.llm import quality, toxicity
-from mosaiq.llm.labelled import logistic, sigmoid
+from mosaiq.llm.labelled import linear, logistic, sigmoid
 
 
 def held(doc_id):
@@ -86,6 +86,32 @@ def test_logistic_is_at_its_optimum():
     assert np.abs(grad).max() < 1e-5
 
 
+def test_a_wide_fit_takes_little_memory():
+    """Terms as bytes beside a column of doubles: the coefficients of one matrix of doubles, which would take 64 MB and each copy as much."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    terms, hits = (rng.random((20_000, 400)) < 0.01).astype(np.uint8), rng.random((20_000, 1))
+    y = sigmoid(terms[:, :5].sum(axis=1) * 2.0 - 1)
+    tracemalloc.start()
+    w = logistic((terms, hits), y, ridge=2.0)
+    z = linear((terms, hits), w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    x = np.hstack([terms, hits])
+    assert np.allclose(z, x @ w[:-1] + w[-1], atol=1e-9)
+    assert np.allclose(w, logistic(x, y, ridge=2.0), atol=1e-9)
+
+
+def test_the_fit_of_toxicity_takes_little_memory(documents, labels, monkeypatch):
+    """What the fit is given: terms and votes as bytes, not doubles."""
+    given = []
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y, **more: given.append(x) or logistic(x, y, **more))
+    toxicity.fit(documents, labels)
+    assert [p.dtype for p in given[0]] == [np.uint8, np.uint8, np.float64] and given[0][2].shape[1] == 1
+
+
 def test_quality_scores_equal_a_loop(documents, labels):
     import zstandard
 
